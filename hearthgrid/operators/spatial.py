@@ -82,12 +82,14 @@ def spatial_join(
     left_levels: list[int] | None = None,
     right_levels: list[int] | None = None,
     how: str = "inner",
+    on: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Pairs whose boxes come within ``eps`` and that satisfy ``predicate``.
 
     Both sides carry xmin, ymin, xmax, ymax; other column names must differ. ``predicate`` gets two
     functions that return the columns of the left and of the right side. Levels are known for
-    points (``[point_level(eps)]``); otherwise one small job reads them from the boxes.
+    points (``[point_level(eps)]``); otherwise one small job reads them from the boxes. ``on`` adds
+    pairs of columns that must be equal to the join key.
     """
     if how not in ("inner", "left_semi"):
         raise ValueError("how must be inner or left_semi")
@@ -110,6 +112,8 @@ def spatial_join(
         & (F.col("__cx") == F.floor(F.greatest(F.col("xmin") - eps, F.col("__r_xmin")) / F.pow(F.lit(2.0), F.col("__lv"))))
         & (F.col("__cy") == F.floor(F.greatest(F.col("ymin") - eps, F.col("__r_ymin")) / F.pow(F.lit(2.0), F.col("__lv"))))
     )
+    for a, b in on or []:
+        cond = cond & (F.col(a) == F.col(b))
     pairs = l.join(r, cond, "inner")
     if predicate is not None:
         right_box = set(BOX)
@@ -123,15 +127,15 @@ def spatial_join(
 
 
 def half_pairs(df: DataFrame, key: str, cols: list[str], predicate, eps: float,
-               levels: list[int] | None = None) -> DataFrame:
-    """Unordered pairs a < b within ``eps``; columns get the prefixes a_ and b_."""
+               levels: list[int] | None = None, same: list[str] | None = None) -> DataFrame:
+    """Unordered pairs a < b within ``eps`` with equal ``same`` columns; prefixes a_ and b_."""
     keep = [key, *cols]
     a = df.select(*[F.col(c).alias(f"a_{c}") for c in keep], *BOX)
     b = df.select(*[F.col(c).alias(f"b_{c}") for c in keep], *BOX)
     return spatial_join(
         a, b, lambda l, r: (l(f"a_{key}") < r(f"b_{key}")) & predicate(
             lambda c: l(f"a_{c}"), lambda c: r(f"b_{c}")),
-        eps, levels, levels).drop(*BOX)
+        eps, levels, levels, on=[(f"a_{c}", f"b_{c}") for c in same or []]).drop(*BOX)
 
 
 def both_directions(pairs: DataFrame) -> DataFrame:
@@ -291,22 +295,27 @@ def point_to_box(l, r) -> Column:
 
 
 def nearest_within(points: DataFrame, lines: DataFrame, key: str, line_key: str, line: str, radius: float,
-                   beyond: float | None = None, rings: tuple[float, ...] = (1 / 16, 1 / 4, 1.0)) -> DataFrame:
+                   beyond: float | None = None, rings: tuple[float, ...] = (1 / 16, 1 / 4, 1.0),
+                   on: str | None = None, exclude: tuple[str, str] | None = None) -> DataFrame:
     """Nearest line of each point (columns x, y) at ``beyond`` < distance <= ``radius``.
 
     The search grows in rings; a point settled in a ring is complete there, because every line
-    within that distance was a candidate. Only the others go on to the next ring.
+    within that distance was a candidate. Only the others go on to the next ring. ``on`` is a column
+    both sides share; ``exclude`` names a point column that must differ from a line column.
     """
-    right = with_line_box(lines.select(line_key, line), line)
-    todo = points.select(key, "x", "y").filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    right = with_line_box(lines.select(line_key, line, *([F.col(on).alias("__on")] if on else [])), line)
+    carried = list(dict.fromkeys([key, "x", "y", *([on] if on else []), *([exclude[0]] if exclude else [])]))
+    todo = points.select(*carried).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     done = None
     for part in rings:
         r = radius * part
         left = todo.withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")})
-        found = spatial_join(left, right, None, r, [point_level(r)], None).withColumn(
+        found = spatial_join(left, right, None, r, [point_level(r)], None, on=[(on, "__on")] if on else None).withColumn(
             "dist", G.distance_point_line(G.make_point("x", "y"), line)).filter(F.col("dist") <= r)
         if beyond is not None:
             found = found.filter(F.col("dist") > beyond)
+        if exclude is not None:
+            found = found.filter(~F.col(exclude[0]).eqNullSafe(F.col(exclude[1])))
         best = found.groupBy(key).agg(F.min_by(
             F.struct("dist", line_key, line), F.struct("dist", line_key)).alias("__b")).select(key, "__b.*")
         done = best if done is None else done.unionByName(best)

@@ -214,7 +214,7 @@ def touching_neighbours(b: DataFrame, eps: float = TOUCH_EPS) -> DataFrame:
     home = spatial.with_polygon_box(b.filter(F.col("building_use") == "Residential"), "geom")
     pairs = spatial.half_pairs(
         home, "id", ["ags", "floor_area", "floor_number", "geom"],
-        lambda x, y: (x("ags") == y("ags")) & G.dwithin_polygons(x("geom"), y("geom"), eps), eps)
+        lambda x, y: G.dwithin_polygons(x("geom"), y("geom"), eps), eps, same=["ags"])
     return spatial.both_directions(pairs.drop("a_geom", "b_geom"))
 
 
@@ -352,7 +352,7 @@ def _stage(stage: str):
             ("SFH", 1, adj > F.col("pool"), rest, "MFH", grown),
         ]
     if stage == "TH":
-        return "target_th", F.lit(0).cast("bigint"), [
+        return "target_th", F.count_if(F.lit(False)), [
             ("TH", -1, F.lit(True), F.abs(adj), "SFH", F.lit(1)),
             ("SFH", 1, F.lit(True), adj, "TH", hh),
         ]
@@ -370,9 +370,7 @@ def rebalance(b: DataFrame, targets: DataFrame, stage: str, cell: list[str]) ->
     home = b.filter(F.col("building_use") == "Residential").join(targets.select(*cell, target, "total_target"), cell)
     now = home.groupBy(*group).agg(
         F.count_if(_is(stage)).alias("__have"), F.count("*").alias("__all"),
-        (F.any_value(pool) if stage == "TH" else pool).alias("pool"), F.first(target).alias("__t"), F.first("total_target").alias("__tt"))
-    if stage == "TH":
-        now = now.withColumn("pool", F.lit(0).cast("bigint"))
+        pool.alias("pool"), F.first(target).alias("__t"), F.first("total_target").alias("__tt"))
     plan = now.filter("__tt > 0").withColumn(
         "adjustment", F.expr("(2 * __t * __all + __tt) div (2 * __tt)") - F.col("__have")).filter(
         "adjustment <> 0").select(*group, "pool", "adjustment")
