@@ -44,7 +44,8 @@ def read_geojson(spark: SparkSession, path: str | list[str], layer: str = "germa
                  kind: str = "multi") -> DataFrame:
     """Features of GeoJSON collections: requested properties, ``geom`` and the layer name."""
     rows = spark.read.schema(_GEOJSON).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    rows = rows.repartition(F.xxhash64("f.properties")) if kind == "multi" else rows
+    # one file is one document for the reader: spread its features before the geometry work
+    rows = rows.repartition(F.xxhash64("f.geometry.coordinates"))
     coords, gtype = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
     if kind == "multi":
         geom = F.when(gtype == "Polygon", F.array(F.transform(F.from_json(coords, "array<array<array<double>>>"), _ring))).otherwise(
@@ -140,14 +141,19 @@ def read_timeseries_json(spark: SparkSession, path: str | list[str]) -> DataFram
         "grid_id", "longitude", "latitude", "start", "step_seconds", F.explode("hourly").alias("variable", "values"))
 
 
-def read_city_xml(spark: SparkSession, path: str | list[str], row_tag: str = "Building") -> dict[str, DataFrame]:
+def read_city_xml(spark: SparkSession, path: str | list[str], row_tag: str = "bldg:Building") -> dict[str, DataFrame]:
     """Building elements of city XML as feature, property and geometry rows.
 
-    Elements are read as text fields of a fixed schema; Spark splits the files between tasks.
+    The closing tag is the record separator, so Spark splits large files between tasks. Namespace
+    prefixes, which are declared far away in the root element, are dropped before parsing.
     """
     schema = ("_id string, function string, storeysAboveGround long, measuredHeight double, "
               "attribute array<struct<_name:string, value:string>>, posList array<string>")
-    rows = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(schema).load(path)
+    tag = row_tag.split(":")[-1]
+    text = spark.read.text(path, lineSep=f"</{row_tag}>").filter(F.col("value").contains(f"<{row_tag}"))
+    body = F.regexp_extract("value", rf"(?s)<{row_tag}([\s>].*)$", 1)
+    plain = F.regexp_replace(F.regexp_replace(body, r"(</?)[\w.-]+:", "$1"), r"(\s)[\w.-]+:([\w.-]+\s*=)", "$1$2")
+    rows = text.select(F.from_xml(F.concat(F.lit(f"<{tag}"), plain, F.lit(f"</{tag}>")), schema).alias("b")).select("b.*")
     rows = rows.withColumn("feature_id", F.xxhash64("_id"))
     feature = rows.select(F.col("feature_id").alias("id"), F.col("_id").alias("objectid"), F.lit(901).alias("objectclass_id"))
     typed = F.array(
