@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G
+from ..session import spread_small
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -114,7 +115,7 @@ SELECT user_id AS ts_metadata_id, ts AS time, value - 30 AS value, event_type FR
 
 
 def members(spark, sf) -> DataFrame:
-    return frame(spark, sf, MEMBERS)
+    return spread_small(frame(spark, sf, MEMBERS))
 
 
 def outlines(spark, sf) -> DataFrame:
@@ -137,7 +138,7 @@ def cells(spark, sf) -> DataFrame:
 
 
 def ways(spark, sf, sql: str = WAYS) -> DataFrame:
-    w = frame(spark, sf, sql)
+    w = spread_small(frame(spark, sf, sql))
     return w.withColumn("geom", G.make_line(G.make_point("x1", "y1"), G.make_point("x2", "y2")))
 
 

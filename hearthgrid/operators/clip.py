@@ -35,18 +35,20 @@ def _trapezoids(segs: np.ndarray) -> list[tuple[float, ...]]:
 
 def convex_pieces(areas: DataFrame, poly: str, key: str | None = None) -> DataFrame:
     """Trapezoids (columns x0 .. t1 and a box) that tile each polygon with its holes."""
-    flat = areas.select(*([key] if key else []), *[
-        F.transform(G.polygon_segments(poly), lambda s, c=c: s[c]).alias(c) for c in ("ax", "ay", "bx", "by")])
+    def coordinates(c: str):
+        return F.transform(G.polygon_segments(poly), lambda s: s[c]).alias(c)
+
+    flat = areas.select(*([key] if key else []), *[coordinates(c) for c in ("ax", "ay", "bx", "by")])
     head = f"{areas.select(key).schema.simpleString()[7:-1].replace(':', ' ')}, " if key else ""
     fields = ["x0", "x1", "b0", "b1", "t0", "t1"]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                segs = np.column_stack([np.asarray(getattr(row, c), float) for c in ("ax", "ay", "bx", "by")])
-                out = pd.DataFrame(_trapezoids(segs), columns=fields)
+            owners = pdf[key] if key else [None] * len(pdf)
+            for owner, *ends in zip(owners, pdf["ax"], pdf["ay"], pdf["bx"], pdf["by"]):
+                out = pd.DataFrame(_trapezoids(np.column_stack(ends).astype(float)), columns=fields)
                 if key:
-                    out.insert(0, key, getattr(row, key))
+                    out.insert(0, key, owner)
                 yield out
 
     rows = flat.mapInPandas(pieces, head + ", ".join(f"{f} double" for f in fields))
@@ -69,7 +71,7 @@ def _half_plane(ring: np.ndarray, a: float, b: float, c: float) -> np.ndarray:
     return np.array(out).reshape(-1, 2)
 
 
-def _cut_ring(ring: np.ndarray, piece: tuple[float, ...]) -> np.ndarray:
+def _cut_ring(ring: np.ndarray, piece: np.ndarray) -> np.ndarray:
     x0, x1, b0, b1, t0, t1 = piece
     mb, mt = (b1 - b0) / (x1 - x0), (t1 - t0) / (x1 - x0)
     for plane in ((1, 0, x0), (-1, 0, -x1), (-mb, 1, b0 - mb * x0), (mt, -1, mt * x0 - t0)):
@@ -89,15 +91,14 @@ def clip_polygon_pairs(pairs: DataFrame, key: str, poly: str) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys, parts = [], []
-            for row in pdf.itertuples(index=False):
-                xy = np.column_stack([row.xs, row.ys]).astype(float)
-                at = np.concatenate([[0], np.cumsum(row.n)]).astype(int)
-                piece = tuple(getattr(row, f) for f in names)
+            for owner, n, xs, ys, piece in zip(pdf[key], pdf["n"], pdf["xs"], pdf["ys"], pdf[names].to_numpy(float)):
+                xy = np.column_stack([xs, ys]).astype(float)
+                at = np.concatenate([[0], np.cumsum(n)]).astype(int)
                 rings = [_cut_ring(xy[a:b - 1], piece) for a, b in zip(at[:-1], at[1:])]
                 if len(rings[0]) < 3:
                     continue
                 closed = [np.vstack([r, r[:1]]) for r in rings if len(r) >= 3]
-                keys.append(getattr(row, key))
+                keys.append(owner)
                 parts.append([[{"x": float(x), "y": float(y)} for x, y in r] for r in closed])
             yield pd.DataFrame({key: keys, "part": parts})
 

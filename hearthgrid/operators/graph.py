@@ -62,27 +62,39 @@ def propagate_seed(components: DataFrame, seeds: DataFrame, seed_key: str = "id"
     return components.join(marked, "component", "left_semi").select("node")
 
 
+_LEVELS_PER_ROUND = 4
+
+
 def descendants(roots: DataFrame, edges: DataFrame, parent: str = "parent", child: str = "child",
                 max_rounds: int = 1000) -> DataFrame:
     """Closure (root, node, depth) under parent -> child, each root included at depth 0.
 
-    Cycles end because a (root, node) pair is visited once.
+    A round expands several levels in one plan and then keeps only pairs not seen before, so cycles
+    end and the number of jobs stays small.
     """
     e = edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c")).filter(
         "__p is not null and __c is not null").distinct()
     first = roots.columns[0]
     seen = cut_lineage(roots.select(F.col(first).alias("root"), F.col(first).alias("node")).distinct().withColumn(
         "depth", F.lit(0)))
-    front = seen
-    for depth in range(1, max_rounds):
-        step = front.join(e, F.col("node") == F.col("__p")).select(
-            "root", F.col("__c").alias("node")).distinct().join(
-            seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        front = cut_lineage(step)
+    front, low = seen, 0
+    for _ in range(max_rounds):
+        cur = front
+        for level in range(low, low + _LEVELS_PER_ROUND):
+            here = F.struct("node", "depth")
+            below = F.when(F.col("__c").isNotNull() & (F.col("depth") == level), F.struct(
+                F.col("__c").alias("node"), (F.col("depth") + 1).alias("depth")))
+            cur = cur.join(e, F.col("node") == F.col("__p"), "left").select(
+                "root", F.explode(F.array_compact(F.array(here, below))).alias("n")).groupBy(
+                "root", F.col("n.node").alias("node")).agg(F.min("n.depth").alias("depth"))
+        low += _LEVELS_PER_ROUND
+        new = cut_lineage(cur.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
+        seen = seen.unionByName(new)
+        front = new.filter(F.col("depth") == low)
         if front.isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
-    raise RuntimeError(f"closure deeper than {max_rounds}")
+        seen = cut_lineage(seen)
+    raise RuntimeError(f"closure deeper than {max_rounds * _LEVELS_PER_ROUND}")
 
 
 def class_descendants(classes: DataFrame, root: Column | int, only_concrete: bool = False) -> DataFrame:

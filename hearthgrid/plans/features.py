@@ -99,17 +99,18 @@ def cascade_delete(store: dict[str, DataFrame], ids: DataFrame, max_rounds: int
     feature, prop = store["feature"], store["property"]
     new = cut_lineage(ids.select("id").distinct().join(feature.select("id"), "id", "left_semi"))
     gone_f = new
-    gone_p = cut_lineage(prop.select("id").limit(0))
-    pending = cut_lineage(prop.select(F.col("val_feature_id").alias("id")).limit(0))
+    gone_p = None
+    flat = "parent_id" not in prop.columns or prop.filter("parent_id is not null").isEmpty()
     for _ in range(max_rounds):
         own = prop.join(new.withColumnRenamed("id", "feature_id"), "feature_id", "left_semi").select("id")
         refs = prop.join(new.withColumnRenamed("id", "val_feature_id"), "val_feature_id", "left_semi").select("id")
-        tree = _children_closed(_same_named_ancestors(refs, prop), prop)
-        gone_p = cut_lineage(gone_p.unionByName(own).unionByName(tree).distinct())
+        tree = refs if flat else _children_closed(_same_named_ancestors(refs, prop), prop)
+        step = own.unionByName(tree)
+        gone_p = cut_lineage((step if gone_p is None else gone_p.unionByName(step)).distinct())
         dropped = prop.join(gone_p, "id", "left_semi")
         left = prop.join(gone_p, "id", "left_anti")
         owned = dropped.filter(F.col("val_feature_id").isNotNull() & (F.col("val_relation_type") == CONTAINS)).select(
-            F.col("val_feature_id").alias("id")).unionByName(pending).distinct().join(gone_f, "id", "left_anti")
+            F.col("val_feature_id").alias("id")).distinct().join(gone_f, "id", "left_anti")
         holders = left.filter(F.col("val_feature_id").isNotNull()).groupBy(F.col("val_feature_id").alias("id")).agg(
             F.bool_or(F.coalesce(F.col("val_relation_type"), F.lit(0)) == 0).alias("loose"))
         new = cut_lineage(owned.join(holders, "id", "left").filter("loose is null or loose").select("id").join(
@@ -216,13 +217,16 @@ def placed_matrix(matrix_json, ref_point) -> Column:
 
 
 def _corners(points) -> Column:
-    """The ring that the store uses for an envelope box of 3D points."""
+    """Extent of 3D points as struct<xmin, xmax, ymin, ymax, zmin, zmax>."""
+    def values(axis: str) -> Column:
+        return F.transform(points, lambda p: p[axis])
+
     return F.struct(*[
-        f(F.transform(points, lambda p, a=a: p[a])).alias(f"{a}{n}")
-        for a in "xyz" for f, n in ((F.array_min, "min"), (F.array_max, "max"))])
+        f(values(a)).alias(f"{a}{n}") for a in "xyz" for f, n in ((F.array_min, "min"), (F.array_max, "max"))])
 
 
 def box_ring(b) -> Column:
+    """The ring that stands for an envelope: lower corners below, upper corners above."""
     b = G.col(b)
     lo, hi = b["zmin"], b["zmax"]
     return F.array(
