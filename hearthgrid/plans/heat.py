@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,23 +147,24 @@ def ordered_layers(rows: DataFrame) -> DataFrame:
 
 def construction_table(rows: DataFrame) -> DataFrame:
     """Thermal resistance R and inner capacity C per construction; windows store no heat."""
-    schema = "building_type string, element_name string, construction_data string, start_year int, end_year int, R double, C double"
-
-    def thermal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("layer_index", ascending=False)
-        head = pdf.iloc[0]
-        outside, inside = SURFACE_COEFFICIENTS[head["element_name"]]
-        thick, cond = pdf["thickness"].to_numpy(float), pdf["thermal_conduc"].to_numpy(float)
-        r = float((thick / cond).sum()) + 1 / inside + 1 / outside
-        c = 0.0
-        if head["element_name"] != "Window":
-            c = _internal_capacity(thick, cond, pdf["density"].to_numpy(float), pdf["heat_capac"].to_numpy(float),
-                                   1 / inside, 1 / outside)
-        return pd.DataFrame([{**{k: head[k] for k in CONSTRUCTION_KEY}, "R": r, "C": 0.0 if np.isnan(c) else c}])
-
-    typed = rows.withColumns({c: F.col(c).cast("int") for c in ("start_year", "end_year", "layer_index")}).withColumns(
-        {c: F.col(c).cast("double") for c in ("thickness", "thermal_conduc", "heat_capac", "density")})
-    return typed.groupBy(*CONSTRUCTION_KEY).applyInPandas(thermal, schema)
+    @F.pandas_udf("R double, C double")
+    def thermal(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for names, thick, cond, heat, dens in batches:
+            out = []
+            for name, d, k, c, rho in zip(names, thick, cond, heat, dens):
+                outside, inside = SURFACE_COEFFICIENTS[name]
+                r = float((d / k).sum()) + 1 / inside + 1 / outside
+                cap = 0.0 if name == "Window" else _internal_capacity(d, k, rho, c, 1 / inside, 1 / outside)
+                out.append((r, 0.0 if np.isnan(cap) else cap))
+            yield pd.DataFrame(out, columns=["R", "C"])
+
+    def values(field: str) -> Column:
+        return F.transform("layers", lambda v: v[field].cast("double"))
+
+    return ordered_layers(rows).withColumn("t", thermal(
+        "element_name", values("thickness"), values("thermal_conduc"), values("heat_capac"), values("density"))).select(
+        "building_type", "element_name", "construction_data", F.col("start_year").cast("int").alias("start_year"),
+        F.col("end_year").cast("int").alias("end_year"), "t.R", "t.C")
 
 
 def building_rc(b: DataFrame, constructions: DataFrame, ratio: float = 1.0, key: str = "objectid") -> DataFrame:

@@ -5,6 +5,8 @@ Ways: id, ags, klasse, objektart, geom (line), length_geo. All municipalities ru
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -238,18 +240,30 @@ def _walk(parts: list[np.ndarray], tol: float) -> list[np.ndarray]:
 
 
 def line_merge(df: DataFrame, group: str, line: str = "geom", tol: float = SNAP_TOL) -> DataFrame:
-    """Longest merged line per group. A group becomes one output row, so it fits in one task."""
-    schema = df.select(group).schema.simpleString()[7:-1].replace(":", " ") + f", {line} {G.LINE}"
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.array([[x, y] for x, y in zip(xs, ys)]) for xs, ys in zip(pdf["xs"], pdf["ys"])]
-        merged = max(_walk(parts, tol), key=lambda p: float(np.hypot(*np.diff(p, axis=0).T).sum()))
-        keep = np.concatenate([[True], np.any(np.diff(merged, axis=0) != 0, axis=1)])
-        pts = [{"x": float(x), "y": float(y)} for x, y in merged[keep]]
-        return pd.DataFrame({group: [pdf[group].iloc[0]], line: [pts]})
-
-    flat = df.select(group, F.transform(line, lambda p: p["x"]).alias("xs"), F.transform(line, lambda p: p["y"]).alias("ys"))
-    return flat.groupBy(group).applyInPandas(merge, schema)
+    """Longest merged line per group.
+
+    The parts of a group end up in one output row in any case, so they are gathered into arrays and
+    joined in Arrow batches of many groups.
+    """
+    @F.pandas_udf("xs array<double>, ys array<double>")
+    def merged(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for sizes, xs, ys in batches:
+            out_x, out_y = [], []
+            for n, x, y in zip(sizes, xs, ys):
+                xy = np.column_stack([x, y]).astype(float)
+                lines = _walk(np.split(xy, np.cumsum(n)[:-1]), tol)
+                best = max(lines, key=lambda p: float(np.hypot(*np.diff(p, axis=0).T).sum()))
+                best = best[np.concatenate([[True], np.any(np.diff(best, axis=0) != 0, axis=1)])]
+                out_x.append(best[:, 0])
+                out_y.append(best[:, 1])
+            yield pd.DataFrame({"xs": out_x, "ys": out_y})
+
+    part = F.struct(F.transform(line, lambda p: p["x"]).alias("xs"), F.transform(line, lambda p: p["y"]).alias("ys"))
+    parts = df.groupBy(group).agg(F.array_sort(F.collect_list(part)).alias("p"))
+    joined = parts.select(group, merged(
+        F.transform("p", lambda v: F.size(v["xs"])), F.flatten(F.transform("p", lambda v: v["xs"])),
+        F.flatten(F.transform("p", lambda v: v["ys"]))).alias("m"))
+    return joined.select(group, F.zip_with("m.xs", "m.ys", lambda x, y: G.make_point(x, y)).alias(line))
 
 
 def merge_chains(ways: DataFrame, tol: float = MERGE_TOL) -> tuple[DataFrame, DataFrame]:
