@@ -104,8 +104,8 @@ def _linked(spark, sf):
 
 
 @query("r8_connectors", f"""
-SELECT id AS connected_way_id, CAST(ags AS BIGINT) AS ags, md5('connector:' || CAST(b AS VARCHAR)) AS id, 'connection_line' AS klasse,
- round(CASE WHEN f * len < 0.15 THEN sqrt(power(x - x1, 2) + power(y - y1, 2)) WHEN (1 - f) * len < 0.15 THEN sqrt(power(x - x2, 2) + power(y - y2, 2)) ELSE {_SEG} END, 5) AS length_geo FROM ({_LINKS}) q""")
+SELECT * FROM (SELECT id AS connected_way_id, CAST(ags AS BIGINT) AS ags, md5('connector:' || CAST(b AS VARCHAR)) AS id, 'connection_line' AS klasse,
+ round(CASE WHEN f * len < 0.15 THEN sqrt(power(x - x1, 2) + power(y - y1, 2)) WHEN (1 - f) * len < 0.15 THEN sqrt(power(x - x2, 2) + power(y - y2, 2)) ELSE {_SEG} END, 5) AS length_geo FROM ({_LINKS}) q) z WHERE length_geo > 0""")
 def _(spark, sf):
     w = ways(spark, sf).withColumn("length_geo", G.length("geom"))
     return R.connect_buildings(_linked(spark, sf), w)[0].select("connected_way_id", "ags", "id", "klasse", F.round("length_geo", 5).alias("length_geo"))

@@ -523,11 +523,13 @@ def _cross_params(a: Column, b: Column) -> Column:
     dx, dy = a["bx"] - a["ax"], a["by"] - a["ay"]
     ex, ey = b["bx"] - b["ax"], b["by"] - b["ay"]
     den = dx * ey - dy * ex
-    safe = F.when(den == 0, F.lit(1.0)).otherwise(den)
+    # nearly parallel segments overlap rather than cross; the bound is relative to their lengths
+    skew = den * den > 1e-20 * (dx * dx + dy * dy) * (ex * ex + ey * ey)
+    safe = F.when(skew, den).otherwise(F.lit(1.0))
     t = ((b["ax"] - a["ax"]) * ey - (b["ay"] - a["ay"]) * ex) / safe
     u = ((b["ax"] - a["ax"]) * dy - (b["ay"] - a["ay"]) * dx) / safe
     return F.when(
-        (den != 0) & t.between(0, 1) & u.between(0, 1), F.array(t)
+        skew & t.between(0, 1) & u.between(0, 1), F.array(t)
     ).otherwise(F.array().cast("array<double>"))
 
 
