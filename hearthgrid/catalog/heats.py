@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G, scalar as S
 from ..plans import heat as H
+from ..session import spread_small
 from .base import MEMBERS, WAYS, frame, members, query, table, ways
 from .scalars import _AGE
 
@@ -112,7 +113,7 @@ SELECT objectid, round(1 / sum(CASE WHEN element_name IN ('OuterWall', 'Rooftop'
 @query("h6_building_rc", _rc_sql())
 def _(spark, sf):
     cons = frame(spark, sf, _CONS.replace('"R"', "R").replace('"C"', "C"))
-    status = frame(spark, sf, _STATUS.format(w="win")).withColumnRenamed("win", "window")
+    status = spread_small(frame(spark, sf, _STATUS.format(w="win"))).withColumnRenamed("win", "window")
     return H.building_rc(status, cons, 0.9).select("objectid", F.round("resistance", 9).alias("resistance"), F.round("capacitance", 4).alias("capacitance"))
 
 

@@ -102,7 +102,9 @@ def classify_use(code) -> Column:
 
 def classify_use_by_list(df: DataFrame, code: str, code_list: DataFrame) -> DataFrame:
     """The same with the exact list as a table (code, building_use); codes not listed raise."""
-    out = df.join(code_list.withColumnRenamed("code", code), code, "left")
+    from ..operators.tables import lookup
+
+    out = df.join(lookup(code_list.withColumnRenamed("code", code)), code, "left")
     return out.withColumn("building_use", F.when(
         F.col(code).isNull() | F.col("building_use").isNotNull(), F.col("building_use")
     ).otherwise(F.raise_error(F.concat(F.lit("unknown building function code: "), F.col(code))).cast("string")))

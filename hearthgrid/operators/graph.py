@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
     before = _signature(current)
     for _ in range(max_rounds):
         if before[0] == 0:
-            break
+            return nodes.select("node", F.col("node").alias("component"))
         # large star: every larger neighbour of u points to the smallest neighbour of u
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("__m")).withColumn("m", F.least("u", "__m")).drop("__m")

@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G
+from ..session import cut_lineage
 
 # The level range keeps cell edges between about 1/1000 and 16 million map units.
 MIN_LEVEL, MAX_LEVEL = -10, 24
@@ -304,20 +305,24 @@ def nearest_within(points: DataFrame, lines: DataFrame, key: str, line_key: str,
     both sides share; ``exclude`` names a point column that must differ from a line column.
     """
     right = with_line_box(lines.select(line_key, line, *([F.col(on).alias("__on")] if on else [])), line)
+    levels = _levels_present(right, 0.0)
     carried = list(dict.fromkeys([key, "x", "y", *([on] if on else []), *([exclude[0]] if exclude else [])]))
     todo = points.select(*carried).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     done = None
     for part in rings:
         r = radius * part
         left = todo.withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")})
-        found = spatial_join(left, right, None, r, [point_level(r)], None, on=[(on, "__on")] if on else None).withColumn(
+        found = spatial_join(left, right, None, r, [point_level(r)], levels, on=[(on, "__on")] if on else None).withColumn(
             "dist", G.distance_point_line(G.make_point("x", "y"), line)).filter(F.col("dist") <= r)
         if beyond is not None:
             found = found.filter(F.col("dist") > beyond)
         if exclude is not None:
             found = found.filter(~F.col(exclude[0]).eqNullSafe(F.col(exclude[1])))
-        best = found.groupBy(key).agg(F.min_by(
-            F.struct("dist", line_key, line), F.struct("dist", line_key)).alias("__b")).select(key, "__b.*")
+        # each ring is used twice: in the result and to find what is left for the next one
+        best = cut_lineage(found.groupBy(key).agg(F.min_by(
+            F.struct("dist", line_key), F.struct("dist", line_key)).alias("__b")).select(
+            # a new attribute, so that callers can join the result back to their points
+            F.col(key).alias(key), "__b.*"))
         done = best if done is None else done.unionByName(best)
         todo = todo.join(best.select(key), key, "left_anti")
     return done

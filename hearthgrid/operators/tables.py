@@ -77,15 +77,44 @@ def share_of_total(df: DataFrame, group: list[str], weight: str, total: str = "t
     return df.join(sums, cond, "inner").drop(*[sums[g] for g in group])
 
 
+BROADCAST_ROWS = 200_000
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Count up to the bound; the check behind every broadcast of a lookup table."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a lookup table for broadcast when its size permits.
+
+    Lookups have few keys, so a shuffle by them would send a huge table to a handful of tasks.
+    Beyond the bound the join stays a shuffle join, whose skewed partitions AQE splits.
+    """
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
 def interval_or_nearest(rows: DataFrame, intervals: DataFrame, on: list[str], year: str, row_key: list[str],
                         start: str = "start_year", end: str = "end_year") -> DataFrame:
-    """The interval that holds the year, else the closest one (ties: earlier start)."""
-    gap = F.greatest(F.col(start) - F.col(year), F.col(year) - F.col(end), F.lit(0))
+    """The interval that holds the year, else the closest one (ties: earlier start).
+
+    A small interval table is broadcast with one array per key and searched inside the row. A large
+    one is joined row by row and reduced per row key.
+    """
     payload = [c for c in intervals.columns if c not in on]
-    joined = rows.join(intervals, on).withColumn("__gap", gap)
+
+    def gap(s, e):
+        return F.greatest(s - F.col(year), F.col(year) - e, F.lit(0))
+
+    if is_small(intervals):
+        packed = intervals.groupBy(*on).agg(F.collect_list(F.struct(*payload)).alias("__spans"))
+        best = F.array_min(F.transform("__spans", lambda v: F.struct(
+            gap(v[start], v[end]).alias("g"), v[start].alias("s"), v[end].alias("e"), v.alias("v"))))["v"]
+        return rows.join(F.broadcast(packed), on).withColumn("__m", best).select(*rows.columns, "__m.*")
     rest = [c for c in rows.columns if c not in row_key]
+    joined = rows.join(intervals, on)
     return joined.groupBy(*row_key).agg(F.min_by(
-        F.struct(*rest, *payload), F.struct("__gap", start, end)).alias("__m")).select(*row_key, "__m.*")
+        F.struct(*rest, *payload), F.struct(gap(F.col(start), F.col(end)), start, end)).alias("__m")).select(*row_key, "__m.*")
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:

@@ -427,11 +427,14 @@ def build_nodes(ways: DataFrame, tol: float = NODE_TOL) -> DataFrame:
         "cx": F.floor(F.col("x") / (tol / 2)), "cy": F.floor(F.col("y") / (tol / 2)),
         "place": F.struct("x", "y")}))
     heads = places.groupBy("cx", "cy").agg(F.min("place").alias("head"))
-    inside = places.join(heads, ["cx", "cy"]).select(F.col("place").alias("source"), F.col("head").alias("target"))
+    inside = places.join(heads, ["cx", "cy"]).filter("place <> head").select(
+        F.col("place").alias("source"), F.col("head").alias("target"))
     near = spatial.within_distance_points(places, "place", tol, ["cx", "cy"]).filter(
         "a_cx <> b_cx or a_cy <> b_cy").select(F.col("a_place").alias("source"), F.col("b_place").alias("target"))
-    comp = graph.connected_components(inside.unionByName(near))
-    placed = ends.join(comp.select(F.col("node.x").alias("x"), F.col("node.y").alias("y"), "component"), ["x", "y"])
+    comp = graph.connected_components(inside.unionByName(near)).select(
+        F.col("node.x").alias("x"), F.col("node.y").alias("y"), "component")
+    # most ends meet exactly and take part in no edge
+    placed = ends.join(comp, ["x", "y"], "left").withColumn("component", F.coalesce("component", F.struct("x", "y")))
     return placed.groupBy("component").agg(
         F.array_sort(F.collect_set("way_id")).alias("way_ids"), F.min("ags").alias("ags"),
         F.avg("x").alias("cx"), F.avg("y").alias("cy")).select(
@@ -441,8 +444,9 @@ def build_nodes(ways: DataFrame, tol: float = NODE_TOL) -> DataFrame:
 
 def nearest_street(b: DataFrame, streets: DataFrame, radius: float = STREET_RADIUS) -> DataFrame:
     """Nearest street within ``radius`` with distance and connector; ``b``: id, x, y."""
-    near = spatial.nearest_within(b, streets.select(F.col("id").alias("street_id"), "geom"), "id", "street_id", "geom", radius)
-    return near.join(b.select("id", "x", "y"), "id").select(
+    named = streets.select(F.col("id").alias("street_id"), "geom")
+    near = spatial.nearest_within(b, named, "id", "street_id", "geom", radius)
+    return near.join(b.select("id", "x", "y"), "id").join(named, "street_id").select(
         F.col("id").alias("building_id"), "street_id", F.col("dist").alias("nearest_distance"),
         G.shortest_line_point(G.make_point("x", "y"), "geom").alias("geom"))
 
