@@ -206,9 +206,8 @@ r AS (SELECT DISTINCT s AS id, s AS node FROM e UNION SELECT r.id, e.t FROM r JO
 SELECT id, min(node) AS cluster FROM r GROUP BY id""")
 def _(spark, sf):
     m = members(spark, sf).select("id", "x", "y")
-    pairs = spatial.within_distance_points(m, "id", float(_EPS))
-    comp = graph.connected_components(pairs, "a_id", "b_id")
-    return m.select("id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    placed = m.join(spatial.cluster_within(m, float(_EPS)), ["x", "y"])
+    return placed.join(placed.groupBy("component").agg(F.min("id").alias("cluster")), "component").select("id", "cluster")
 
 
 _P0, _P1 = box_span("x1", "y1", "x2", "y2", "px1", "py1", "px2", "py2")

@@ -248,7 +248,7 @@ def _(spark, sf):
         ("03_double", lambda df: df.withColumn("top", F.col("top") * 2))], low=1000)
 
 
-_HREFS = r"""SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages"""
+_HREFS = r"""SELECT page_id, url, replace(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)), '&amp;', '&') AS href FROM pages"""
 _ABSOLUTE = r"""CASE WHEN regexp_matches(href, '^[a-zA-Z][\w+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([a-zA-Z][\w+.-]*:)', 1) || href
  WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-zA-Z][\w+.-]*://[^/?#]*)', 1) || href
  ELSE regexp_extract(url, '^([a-zA-Z][\w+.-]*://[^/?#]*)', 1) || CASE WHEN regexp_extract(url, '^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)', 1), '[^/]*$', '') END || href END"""

@@ -165,6 +165,29 @@ def within_distance_points(df: DataFrame, key: str, eps: float, cols: list[str]
         eps, [point_level(eps)], [point_level(0.0)]).drop(*BOX)
 
 
+def cluster_within(points: DataFrame, eps: float) -> DataFrame:
+    """Clusters of points (x, y) linked by steps of at most ``eps``: x, y, component (its least point).
+
+    Equal points collapse first. Points of one cell of half the distance belong together, so they
+    are tied to one point of the cell instead of to each other; only points of different cells are
+    compared. A crowd in one place therefore costs no more than its points.
+    """
+    from . import graph
+
+    places = cut_lineage(points.select("x", "y").distinct().withColumns({
+        "cx": F.floor(F.col("x") / (eps / 2)), "cy": F.floor(F.col("y") / (eps / 2)), "place": F.struct("x", "y")}))
+    heads = places.groupBy("cx", "cy").agg(F.min("place").alias("head"))
+    inside = places.join(heads, ["cx", "cy"]).filter("place <> head").select(
+        F.col("place").alias("source"), F.col("head").alias("target"))
+    near = within_distance_points(places, "place", eps, ["cx", "cy"]).filter(
+        "a_cx <> b_cx or a_cy <> b_cy").select(F.col("a_place").alias("source"), F.col("b_place").alias("target"))
+    comp = graph.connected_components(inside.unionByName(near)).select(
+        F.col("node.x").alias("x"), F.col("node.y").alias("y"), "component")
+    # lone points take part in no edge
+    return places.select("x", "y").join(comp, ["x", "y"], "left").withColumn(
+        "component", F.coalesce("component", F.struct("x", "y")))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point: str, poly: str,
                        how: str = "inner") -> DataFrame:
     """Rows of ``points`` with the polygon that strictly contains them."""

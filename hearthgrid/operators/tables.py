@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -59,22 +57,36 @@ def eav_pivot(properties: DataFrame, key: list[str], wanted: dict[str, tuple[str
         F.max(F.when(F.col("name") == name, F.col(value))).alias(out) for out, (name, value) in wanted.items()])
 
 
-def median_with_support(df: DataFrame, keys: list[str], value: Column, min_count: int) -> DataFrame:
-    """Exact median per group, kept only with enough samples."""
-    return df.groupBy(*keys).agg(
-        F.percentile(value, F.lit(0.5)).alias("median"), F.count("*").alias("sample_count")
-    ).filter(F.col("sample_count") >= min_count)
+MEDIAN_VALUES = 1_000_000
 
 
-def share_of_total(df: DataFrame, group: list[str], weight: str, total: str = "total_weight") -> DataFrame:
-    """Attach the group sum by a join with a pre-aggregated side.
+def median_with_support(df: DataFrame, keys: list[str], value: Column, min_count: int) -> DataFrame:
+    """Exact median per group, kept only with enough samples.
 
-    A window would sort whole groups in one task; the aggregate combines map-side, and a hot group
-    is split by AQE in the join.
+    Equal values are counted first. Groups of few distinct values then need little memory; when some
+    group has very many, the middle rows are found by their position instead, spread over tasks.
     """
-    sums = df.groupBy(*group).agg(F.sum(weight).alias(total))
-    cond = reduce(lambda a, b: a & b, [df[g].eqNullSafe(sums[g]) for g in group])
-    return df.join(sums, cond, "inner").drop(*[sums[g] for g in group])
+    from ..session import cut_lineage
+
+    counted = cut_lineage(df.groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("__n")))
+    widest = counted.groupBy(*keys).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    if widest <= MEDIAN_VALUES:
+        return counted.groupBy(*keys).agg(
+            F.percentile("__v", F.lit(0.5), F.col("__n")).alias("median"), F.sum("__n").alias("sample_count")
+        ).filter(F.col("sample_count") >= min_count)
+    return _median_by_position(counted, keys, min_count)
+
+
+def _median_by_position(counted: DataFrame, keys: list[str], min_count: int) -> DataFrame:
+    sizes = counted.groupBy(*keys).agg(
+        F.sum("__n").alias("sample_count"), F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).alias("__m"))
+    placed = rank_within(counted.filter("__v is not null"), keys, [F.col("__v")], "__last", weight="__n")
+    low, high = F.floor((F.col("__m") + 1) / 2), F.floor((F.col("__m") + 2) / 2)
+    first = F.col("__last") - F.col("__n") + 1
+    middle = placed.join(sizes, keys).filter((first <= high) & (F.col("__last") >= low)).groupBy(*keys).agg(
+        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    return sizes.join(middle, keys, "left").filter(F.col("sample_count") >= min_count).select(
+        *keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * 0.5).alias("median"), "sample_count")
 
 
 BROADCAST_ROWS = 200_000
@@ -117,34 +129,28 @@ def interval_or_nearest(rows: DataFrame, intervals: DataFrame, on: list[str], ye
         F.struct(*rest, *payload), F.struct(gap(F.col(start), F.col(end)), start, end)).alias("__m")).select(*row_key, "__m.*")
 
 
-def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """Position of each row inside its group, also for groups too large for one task.
+def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
+                weight: str | None = None) -> DataFrame:
+    """Position of each row inside its group (or running sum of ``weight``), also for huge groups.
 
-    Rows are bucketed by a range partitioning on (group, order): every range is sorted on its own,
-    and a second, tiny aggregate supplies the number of rows of the same group in earlier ranges.
+    Rows are range partitioned by (group, order), so a large group spreads over many tasks; each
+    range is sorted on its own, and a small aggregate adds what the same group has in earlier ranges.
+    The ranges are fixed by a checkpoint, because their bounds come from a sample.
     """
-    return _ranged_rank(df, group, order, name)
-
-
-def _ranged_rank(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
-    spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = df.withColumn("__ord", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    ranged = keyed.repartitionByRange(parts, *[F.col(g) for g in group], F.col("__ord")).withColumn(
-        "__part", F.spark_partition_id())
-    return _rank_from_ranges(ranged, group, name)
-
-
-def _rank_from_ranges(ranged: DataFrame, group: list[str], name: str) -> DataFrame:
     from ..session import cut_lineage
 
-    fixed = cut_lineage(ranged)
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = df.withColumn("__ord", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    fixed = cut_lineage(keyed.repartitionByRange(parts, *[F.col(g) for g in group], F.col("__ord")).withColumn(
+        "__part", F.spark_partition_id()))
+    size = F.sum(weight) if weight else F.count("*")
     inside = Window.partitionBy(*group, "__part").orderBy("__ord")
-    sizes = fixed.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(
+    here = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(inside)
+    # one row per group and range: at most as many rows per group as there are ranges
+    before = fixed.groupBy(*group, "__part").agg(size.alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(
         Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return fixed.withColumn("__in", F.row_number().over(inside)).join(before, [*group, "__part"]).withColumn(
-        name, F.col("__in") + F.col("__before")).drop("__in", "__before", "__part", "__ord")
+    return fixed.withColumn("__here", here).join(before, [*group, "__part"]).withColumn(
+        name, F.col("__here") + F.col("__before")).drop("__here", "__before", "__part", "__ord")
 
 
 def outside_range(c: Column, low) -> Column:

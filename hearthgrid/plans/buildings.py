@@ -132,29 +132,29 @@ def allocate_occupants(b: DataFrame, cells: DataFrame, cell: list[str], weight:
     has one, by their share of the weight there; the default keeps the strict result.
     """
     weight = F.col("height") * F.col("floor_area") if weight is None else weight
-    home = b.filter(F.col("building_use") == "Residential").withColumn("weight", weight)
-    placed = home.join(cells.select(*cell, population), cell)
-    shares = tables.share_of_total(placed.withColumn("__cell", F.struct("ags", *cell)), ["__cell"], "weight")
-    people = F.when(
-        F.col("total_weight") > 0,
-        F.greatest(F.rint(F.col("weight") / F.when(F.col("total_weight") > 0, F.col("total_weight"))
-                          * F.col(population)), F.lit(1.0)).cast("int")).otherwise(F.lit(0))
-    out = shares.select("id", people.alias("occupants"), F.col(population).alias("__pop"), "weight")
+    group = ["ags", *cell]
+    home = F.col("building_use") == "Residential"
+    # the sums are aggregated before they meet the rows; the buildings themselves move once per key
+    totals = b.filter(home).withColumn("__w", weight).groupBy(*group).agg(F.sum("__w").alias("__total"))
+    placed = b.join(cells.select(*cell, F.col(population).alias("__pop"), F.lit(True).alias("__in")), cell, "left").join(
+        totals, group, "left")
+
+    def people(share, count):
+        return F.greatest(F.rint(share * count), F.lit(1.0)).cast("int")
+
+    total = F.when(F.col("__total") > 0, F.col("__total"))
+    own = F.when(total.isNotNull(), people(weight / total, F.col("__pop"))).otherwise(F.lit(0))
+    out = placed.withColumn("occupants", F.when(F.col("__in") & home, own))
     if fallback:
-        unknown = placed.filter(F.col(population).isNull()).select("id", "x", "y", "ags", "weight")
-        size_of = cells.filter(F.col(population).isNotNull())
-        near = spatial.knn_join(unknown, size_of.select(
-            "ags", F.struct(*cell).alias("__near"), F.col(population).alias("__near_pop"), *spatial.BOX),
-            "id", "__near", spatial.point_to_box, by=["ags"])
-        totals = shares.groupBy(F.col("__cell").alias("__key")).agg(F.first("total_weight").alias("__total"))
-        near = near.join(unknown.select("id", "weight"), "id").withColumn(
-            "__key", F.struct("ags", *[F.col(f"__near.{c}").alias(c) for c in cell])).join(totals, "__key")
-        extra = near.select("id", F.greatest(F.rint(
-            F.col("weight") / F.when(F.col("__total") > 0, F.col("__total")) * F.col("__near_pop")), F.lit(1.0)
-        ).cast("int").alias("__o"))
-        out = out.join(extra, "id", "left").withColumn("occupants", F.when(
-            F.col("__pop").isNull() & F.col("__o").isNotNull(), F.col("__o")).otherwise(F.col("occupants"))).drop("__o")
-    return b.join(out.select("id", "occupants"), "id", "left")
+        lost = out.filter(F.col("__in") & home & F.col("__pop").isNull()).select("id", "x", "y", "ags", weight.alias("__w"))
+        known = cells.filter(F.col(population).isNotNull()).select(
+            "ags", F.struct(*cell).alias("__near"), F.col(population).alias("__near_pop"), *spatial.BOX)
+        near = spatial.knn_join(lost, known, "id", "__near", spatial.point_to_box, by=["ags"]).select(
+            F.col("id").alias("__id"), "ags", "__near.*", "__near_pop")
+        share = near.join(totals.filter("__total > 0"), group).join(lost.select(F.col("id").alias("__id"), "__w"), "__id").select(
+            F.col("__id").alias("id"), people(F.col("__w") / F.col("__total"), F.col("__near_pop")).alias("__o"))
+        out = out.join(share, "id", "left").withColumn("occupants", F.coalesce("__o", "occupants")).drop("__o")
+    return out.drop("__pop", "__in", "__total")
 
 
 def derive_households(b: DataFrame, cells: DataFrame, cell: list[str], size: str = "durchschnhhgroesse") -> DataFrame:

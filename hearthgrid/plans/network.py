@@ -417,24 +417,9 @@ def connector_postcode(connectors: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def build_nodes(ways: DataFrame, tol: float = NODE_TOL) -> DataFrame:
-    """Way ends clustered by distance: ags, id, geom (mean of the ends), way_ids.
-
-    Equal ends collapse first. Ends of one cell of half the tolerance belong together, so they are
-    tied to one end of the cell instead of to each other; only ends of different cells are compared.
-    """
+    """Way ends clustered by distance: ags, id, geom (mean of the ends), way_ids."""
     ends = _ends(ways).select("way_id", "ags", "x", "y")
-    places = cut_lineage(ends.select("x", "y").distinct().withColumns({
-        "cx": F.floor(F.col("x") / (tol / 2)), "cy": F.floor(F.col("y") / (tol / 2)),
-        "place": F.struct("x", "y")}))
-    heads = places.groupBy("cx", "cy").agg(F.min("place").alias("head"))
-    inside = places.join(heads, ["cx", "cy"]).filter("place <> head").select(
-        F.col("place").alias("source"), F.col("head").alias("target"))
-    near = spatial.within_distance_points(places, "place", tol, ["cx", "cy"]).filter(
-        "a_cx <> b_cx or a_cy <> b_cy").select(F.col("a_place").alias("source"), F.col("b_place").alias("target"))
-    comp = graph.connected_components(inside.unionByName(near)).select(
-        F.col("node.x").alias("x"), F.col("node.y").alias("y"), "component")
-    # most ends meet exactly and take part in no edge
-    placed = ends.join(comp, ["x", "y"], "left").withColumn("component", F.coalesce("component", F.struct("x", "y")))
+    placed = ends.join(spatial.cluster_within(ends, tol), ["x", "y"])
     return placed.groupBy("component").agg(
         F.array_sort(F.collect_set("way_id")).alias("way_ids"), F.min("ags").alias("ags"),
         F.avg("x").alias("cx"), F.avg("y").alias("cy")).select(

@@ -201,7 +201,8 @@ def _absolute(base: Column, href: Column) -> Column:
 
 
 def page_hrefs(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    return pages.select("*", F.explode(F.regexp_extract_all(html, F.lit(r"""<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), 1)).alias("href")).drop(html)
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), 1)
+    return pages.select("*", F.explode(F.transform(found, lambda h: F.replace(h, F.lit("&amp;"), F.lit("&")))).alias("href")).drop(html)
 
 
 def extract_links(pages: DataFrame, ending: str, contains: str = "", key: str = "page_id") -> DataFrame:

@@ -118,3 +118,29 @@ def test_clip_concave_area_with_hole(spark):
     layer = boxes.select("id", F.array(G.make_box("x1", "y1", "x2", "y2")).alias("g"))
     got = {r.id: r.a for r in clip.clip_multi(layer, "g", areas, "a").select("id", G.area_multi("g").alias("a")).collect()}
     assert np.isclose(got[0], 75 - 1) and 1 not in got and np.isclose(got[2], 2) and np.isclose(got[3], 3) and 4 not in got
+
+
+def test_median_paths_agree(spark, monkeypatch):
+    rows = [("hot" if i % 3 else f"g{i % 4}", None if i % 11 == 0 else float((i * 7919) % 101)) for i in range(1001)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {k: float(np.median([v for q, v in rows if q == k and v is not None])) for k in {r[0] for r in rows}}
+    for limit in (10**6, 0):
+        monkeypatch.setattr(tables, "MEDIAN_VALUES", limit)
+        got = {r.g: (r.median, r.sample_count) for r in tables.median_with_support(df, ["g"], F.col("v"), 5).collect()}
+        assert {k: v[0] for k, v in got.items()} == want
+        assert sum(v[1] for v in got.values()) == 1001
+
+
+def test_clusters_of_a_crowded_place(spark):
+    a = skewed(900, 9)
+    a.loc[:50, ["x", "y"]] = [500.0, 500.0]
+    got = spatial.cluster_within(spark.createDataFrame(a), 2.0).toPandas()
+    pts = a[["x", "y"]].drop_duplicates().to_numpy()
+    near = np.hypot(pts[:, 0][:, None] - pts[:, 0], pts[:, 1][:, None] - pts[:, 1]) <= 2.0
+    label = np.arange(len(pts))
+    for _ in range(len(pts)):
+        new = np.array([label[row].min() for row in near])
+        if (new == label).all():
+            break
+        label = new
+    assert len(got) == len(pts) and got.component.nunique() == len(set(label))
