@@ -12,9 +12,8 @@ def _settled(edges: DataFrame) -> bool:
 
     One aggregate by node; only the answer reaches the driver.
     """
-    roles = edges.select(F.explode(F.array(
-        F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("r"))
-    return roles.groupBy("r.n").agg(F.sum("r.up").alias("ups"), F.min("r.up").alias("low")).filter(
+    roles = edges.selectExpr("explode(array(struct(u AS n, 1 AS up), struct(v AS n, 0 AS up))) AS r")
+    return roles.groupBy("r.n").agg(F.expr("sum(r.up) AS ups"), F.expr("min(r.up) AS low")).filter(
         "ups > 1 or (ups = 1 and low = 0)").isEmpty()
 
 
@@ -36,16 +35,13 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
         if _settled(current):
             break
         # large star: every larger neighbour of u points to the smallest neighbour of u
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("__m")).withColumn("m", F.least("u", "__m")).drop("__m")
-        star = both.filter("v > u").join(low, "u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = current.selectExpr("explode(array(struct(u, v), struct(v AS u, u AS v))) AS e").select("e.u", "e.v")
+        low = both.groupBy("u").agg(F.expr("least(u, min(v)) AS m"))
+        star = both.filter("v > u").join(low, "u").selectExpr("v AS u", "m AS v").distinct()
         # small star: smaller neighbours of u, and u itself, point to the smallest of them
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        star = star.join(low, "u").select(F.explode(F.array(
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-            F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select(
-            "e.u", "e.v").filter("u <> v").distinct()
+        low = star.groupBy("u").agg(F.expr("min(v) AS m"))
+        star = star.join(low, "u").selectExpr(
+            "explode(array(struct(v AS u, m AS v), struct(u, m AS v))) AS e").select("e.u", "e.v").filter("u <> v").distinct()
         current = cut_lineage(star)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -44,11 +44,14 @@ def with_polygon_box(df: DataFrame, poly: str) -> DataFrame:
     return with_box(df, G.bbox_polygon(poly))
 
 
-def _level(eps: float) -> Column:
-    """Smallest level whose cell is at least as large as the object grown by eps."""
-    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) + 2 * eps
-    floor_size = float(2.0**MIN_LEVEL)
-    return F.least(F.lit(MAX_LEVEL), F.ceil(F.log2(F.greatest(size, F.lit(floor_size)))).cast("int"))
+def _num(v: float) -> str:
+    return f"{float(v)!r}D"
+
+
+def _level(eps: float) -> str:
+    """Smallest level whose cell is at least as large as the object grown by eps, as SQL."""
+    size = f"greatest(xmax - xmin, ymax - ymin) + {_num(2 * eps)}"
+    return f"cast(least({MAX_LEVEL}, ceil(log2(greatest({size}, {_num(2.0**MIN_LEVEL)})))) as int)"
 
 
 def point_level(eps: float) -> int:
@@ -57,22 +60,19 @@ def point_level(eps: float) -> int:
 
 def _levels_present(df: DataFrame, eps: float) -> list[int]:
     """One small aggregate: at most MAX_LEVEL - MIN_LEVEL + 1 integers reach the driver."""
-    found = df.select(_level(eps).alias("l")).agg(F.collect_set("l").alias("ls")).first()["ls"]
-    return sorted(found)
+    return sorted(df.selectExpr(f"{_level(eps)} AS l").agg(F.collect_set("l").alias("ls")).first()["ls"])
 
 
 def _entries(df: DataFrame, eps: float, levels: list[int], prefix: str) -> DataFrame:
     """One row per (object, level at or above its own, cell it touches there)."""
-    lv = F.array(*[F.lit(v) for v in levels])
-    out = df.withColumn(f"{prefix}own", _level(eps)).withColumn(
-        "__lv", F.explode(F.filter(lv, lambda v: v >= F.col(f"{prefix}own"))))
-    size = F.pow(F.lit(2.0), F.col("__lv"))
+    lv, e = ", ".join(map(str, levels)), _num(eps)
 
-    def span(lo, hi):
-        return F.sequence(F.floor((F.col(lo) - eps) / size), F.floor((F.col(hi) + eps) / size))
+    def cells(lo: str, hi: str) -> str:
+        return f"explode(sequence(floor(({lo} - {e}) / pow(2D, __lv)), floor(({hi} + {e}) / pow(2D, __lv))))"
 
-    return out.withColumn("__cx", F.explode(span("xmin", "xmax"))).withColumn(
-        "__cy", F.explode(span("ymin", "ymax")))
+    return df.selectExpr("*", f"{_level(eps)} AS {prefix}own").selectExpr(
+        "*", f"explode(filter(array({lv}), v -> v >= {prefix}own)) AS __lv").selectExpr(
+        "*", f"{cells('xmin', 'xmax')} AS __cx").selectExpr("*", f"{cells('ymin', 'ymax')} AS __cy")
 
 
 def spatial_join(
@@ -97,31 +97,24 @@ def spatial_join(
     left_levels = left_levels or _levels_present(left, eps)
     right_levels = right_levels or _levels_present(right, 0.0)
     shared = sorted(set(left_levels) | set(right_levels))
-    l = _entries(left, eps, shared, "__l_")
-    r = _entries(right, 0.0, shared, "__r_")
-    for c in BOX:
-        r = r.withColumnRenamed(c, f"__r_{c}")
     key = ["__lv", "__cx", "__cy"]
-    r = r.withColumnsRenamed({k: f"__r{k}" for k in key})
-    cond = (
-        (F.col("__lv") == F.col("__r__lv")) & (F.col("__cx") == F.col("__r__cx")) & (F.col("__cy") == F.col("__r__cy"))
+    l = _entries(left, eps, shared, "__l_")
+    r = _entries(right, 0.0, shared, "__r_").withColumnsRenamed({c: f"__r_{c}" for c in (*BOX, *key)})
+    e = _num(eps)
+    cond = " AND ".join([
+        "__lv = __r___lv", "__cx = __r___cx", "__cy = __r___cy", *[f"`{a}` = `{b}`" for a, b in on or []],
         # the pair belongs to the level of the larger object
-        & (F.greatest("__l_own", "__r_own") == F.col("__lv"))
-        & (F.col("xmin") - eps <= F.col("__r_xmax")) & (F.col("__r_xmin") <= F.col("xmax") + eps)
-        & (F.col("ymin") - eps <= F.col("__r_ymax")) & (F.col("__r_ymin") <= F.col("ymax") + eps)
+        "greatest(__l_own, __r_own) = __lv",
+        f"xmin - {e} <= __r_xmax", f"__r_xmin <= xmax + {e}", f"ymin - {e} <= __r_ymax", f"__r_ymin <= ymax + {e}",
         # and to the one cell that holds the lower left corner of the common box
-        & (F.col("__cx") == F.floor(F.greatest(F.col("xmin") - eps, F.col("__r_xmin")) / F.pow(F.lit(2.0), F.col("__lv"))))
-        & (F.col("__cy") == F.floor(F.greatest(F.col("ymin") - eps, F.col("__r_ymin")) / F.pow(F.lit(2.0), F.col("__lv"))))
-    )
-    for a, b in on or []:
-        cond = cond & (F.col(a) == F.col(b))
-    pairs = l.join(r, cond, "inner")
+        f"__cx = floor(greatest(xmin - {e}, __r_xmin) / pow(2D, __lv))",
+        f"__cy = floor(greatest(ymin - {e}, __r_ymin) / pow(2D, __lv))"])
+    pairs = l.join(r, F.expr(cond), "inner")
     if predicate is not None:
         right_box = set(BOX)
         pairs = pairs.filter(predicate(
             lambda c: F.col(c), lambda c: F.col(f"__r_{c}") if c in right_box else F.col(c)))
-    drop = key + ["__l_own", "__r_own"] + [f"__r{k}" for k in key] + [f"__r_{c}" for c in BOX]
-    out = pairs.drop(*drop)
+    out = pairs.drop(*key, "__l_own", "__r_own", *[f"__r_{c}" for c in (*BOX, *key)])
     if how == "left_semi":
         out = out.select(*left.columns).distinct()
     return out
@@ -208,16 +201,13 @@ _BITS = 2          # a step down splits a cell into 4 x 4
 _TOP_STEPS = 3     # 4 ** (2 * 3) = 4096 cells at most: a proven bound for a broadcast
 
 
-def _mindist2(p: Column, b: Column) -> Column:
-    dx = F.greatest(b["xmin"] - p["xmax"], p["xmin"] - b["xmax"], F.lit(0.0))
-    dy = F.greatest(b["ymin"] - p["ymax"], p["ymin"] - b["ymax"], F.lit(0.0))
-    return dx * dx + dy * dy
+def _mindist2(p: str, b: str) -> str:
+    return " + ".join(
+        f"pow(greatest({b}.{a}min - {p}.{a}max, {p}.{a}min - {b}.{a}max, 0D), 2)" for a in "xy")
 
 
-def _maxdist2(p: Column, b: Column) -> Column:
-    dx = F.greatest(b["xmax"] - p["xmin"], p["xmax"] - b["xmin"])
-    dy = F.greatest(b["ymax"] - p["ymin"], p["ymax"] - b["ymin"])
-    return dx * dx + dy * dy
+def _maxdist2(p: str, b: str) -> str:
+    return " + ".join(f"pow(greatest({b}.{a}max - {p}.{a}min, {p}.{a}max - {b}.{a}min), 2)" for a in "xy")
 
 
 def knn_join(
@@ -252,51 +242,47 @@ def knn_join(
     steps = max(1, math.ceil(math.log(n, 4 ** _BITS)) + (2 if n > 4 ** (_BITS * _TOP_STEPS) else 0))
     side = 1 << (_BITS * steps)
 
-    cx = F.least(F.floor(((F.col("xmin") + F.col("xmax")) / 2 - x0) / extent * side), F.lit(side - 1))
-    cy = F.least(F.floor(((F.col("ymin") + F.col("ymax")) / 2 - y0) / extent * side), F.lit(side - 1))
-    leaf = right.withColumn("__cx", cx).withColumn("__cy", cy)
-    bounds = leaf.groupBy(*by, "__cx", "__cy").agg(
-        F.count("*").alias("n"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"),
-        F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
+    def index(lo: str, hi: str, origin: float) -> str:
+        return f"least(floor((({lo} + {hi}) / 2 - {_num(origin)}) / {_num(extent)} * {side}), {side - 1})"
+
+    leaf = right.selectExpr("*", f"{index('xmin', 'xmax', x0)} AS __cx", f"{index('ymin', 'ymax', y0)} AS __cy")
+    merged = [F.expr(e) for e in (
+        "sum(n) AS n", "min(xmin) AS xmin", "min(ymin) AS ymin", "max(xmax) AS xmax", "max(ymax) AS ymax")]
+    bounds = leaf.select(*by, "__cx", "__cy", F.lit(1).alias("n"), *BOX).groupBy(*by, "__cx", "__cy").agg(*merged)
 
     def nodes_at(step: int) -> DataFrame:
         """Cells after ``step`` splits with their members' box, keyed by their parent cell."""
         shift = _BITS * (steps - step)
         up = bounds
         if shift:
-            up = bounds.groupBy(
-                *by, F.shiftright("__cx", shift).alias("__cx"), F.shiftright("__cy", shift).alias("__cy")
-            ).agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in BOX[:2]], *[F.max(c).alias(c) for c in BOX[2:]])
-        return up.select(
-            *by, F.shiftright("__cx", _BITS).alias("__cx"), F.shiftright("__cy", _BITS).alias("__cy"),
-            F.col("__cx").alias("__nx"), F.col("__cy").alias("__ny"),
-            F.struct("n", *BOX).alias("__node"))
-
-    limit2 = None if radius is None else float(radius) ** 2
-    if left_cols is None:
-        box = F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))
-    else:
-        box = F.col("lbox")
-    frontier = left.withColumn("__p", box).filter("__p.xmin is not null and __p.ymin is not null").select(
-        *carried, "__p", F.lit(0).cast("bigint").alias("__cx"), F.lit(0).cast("bigint").alias("__cy"))
-    own = Window.partitionBy(*lkeys)
+            up = bounds.selectExpr(
+                *by, f"shiftright(__cx, {shift}) AS __cx", f"shiftright(__cy, {shift}) AS __cy", "n", *BOX
+            ).groupBy(*by, "__cx", "__cy").agg(*merged)
+        return up.selectExpr(
+            *by, f"shiftright(__cx, {_BITS}) AS __cx", f"shiftright(__cy, {_BITS}) AS __cy", "__cx AS __nx", "__cy AS __ny",
+            "struct(n, xmin, ymin, xmax, ymax) AS __node")
+
+    box = "struct(x AS xmin, y AS ymin, x AS xmax, y AS ymax)" if left_cols is None else "lbox"
+    frontier = left.withColumn("__p", F.expr(box)).filter("__p.xmin is not null and __p.ymin is not null").selectExpr(
+        *carried, "__p", "0L AS __cx", "0L AS __cy")
+    own = ", ".join(lkeys)
+    # the slack keeps ties that rounding in the squared sums could push over the bound
+    slack = "(1 + 1e-9D)"
     for step in range(1, steps + 1):
         nodes = nodes_at(step)
         if step <= _TOP_STEPS and not by:
             nodes = F.broadcast(nodes)
-        frontier = frontier.join(nodes, [*by, "__cx", "__cy"]).withColumns({
-            "__lo": _mindist2(F.col("__p"), F.col("__node")), "__hi": _maxdist2(F.col("__p"), F.col("__node"))})
-        if k == 1:
-            bound = F.min("__hi").over(own)
-        else:
-            frontier = frontier.withColumn("__seen", F.sum("__node.n").over(own.orderBy("__hi", "__nx", "__ny")))
-            bound = F.min(F.when(F.col("__seen") >= k, F.col("__hi"))).over(own)
-        frontier = frontier.withColumn("__bound", bound)
-        # the slack keeps ties that rounding in the squared sums could push over the bound
-        keep = F.col("__lo") <= F.coalesce(F.col("__bound"), F.lit(float("inf"))) * (1 + 1e-9)
-        if limit2 is not None:
-            keep = keep & (F.col("__lo") <= limit2 * (1 + 1e-9))
-        frontier = frontier.filter(keep).select(*carried, "__p", F.col("__nx").alias("__cx"), F.col("__ny").alias("__cy"))
+        frontier = frontier.join(nodes, [*by, "__cx", "__cy"]).selectExpr(
+            *carried, "__p", "__nx", "__ny", "__node.n AS __n",
+            f"{_mindist2('__p', '__node')} AS __lo", f"{_maxdist2('__p', '__node')} AS __hi")
+        if k > 1:
+            frontier = frontier.selectExpr("*", f"sum(__n) OVER (PARTITION BY {own} ORDER BY __hi, __nx, __ny) AS __seen")
+        reach = "__hi" if k == 1 else f"CASE WHEN __seen >= {k} THEN __hi END"
+        keep = f"__lo <= coalesce(__bound, double('infinity')) * {slack}"
+        if radius is not None:
+            keep += f" AND __lo <= {_num(radius ** 2)} * {slack}"
+        frontier = frontier.selectExpr("*", f"min({reach}) OVER (PARTITION BY {own}) AS __bound").filter(keep).selectExpr(
+            *carried, "__p", "__nx AS __cx", "__ny AS __cy")
 
     pairs = frontier.join(leaf, [*by, "__cx", "__cy"]).withColumn("dist", distance(F.col, F.col))
     if radius is not None:
@@ -307,7 +293,7 @@ def knn_join(
         best = pairs.groupBy(*lkeys).agg(
             F.min_by(F.struct("dist", *shown, *payload), F.struct("dist", right_key)).alias("__best"))
         return best.select(*lkeys, "__best.*")
-    rank = F.row_number().over(own.orderBy("dist", right_key))
+    rank = F.row_number().over(Window.partitionBy(*lkeys).orderBy("dist", right_key))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(*lkeys, "dist", "rank", *shown, *payload)
 
 

@@ -404,9 +404,11 @@ def rebalance(b: DataFrame, targets: DataFrame, stage: str, cell: list[str]) ->
 
 
 def rebalance_all(b: DataFrame, targets: DataFrame, cell: list[str]) -> DataFrame:
+    """Apartment blocks first, then multi-family and terraced houses; single houses follow."""
     out = b
     for stage in ("AB", "MFH", "TH"):
-        out = rebalance(out, targets, stage, cell)
+        # a stage reads its input several times
+        out = cut_lineage(rebalance(out, targets, stage, cell))
     return out
 
 

@@ -281,7 +281,7 @@ def demand_overview(status: DataFrame, demand: DataFrame, rc: DataFrame, b: Data
         "demand_per_area", F.try_divide("demand_kwh", F.col("floor_area") * F.col("floor_number")))
 
 
-def heat_pipeline(b: DataFrame, surfaces: DataFrame, constructions: DataFrame, links: DataFrame, meta: DataFrame,
+def heat_demand_of_buildings(b: DataFrame, surfaces: DataFrame, constructions: DataFrame, links: DataFrame, meta: DataFrame,
                   data: DataFrame, plans: dict[str, Refurbishment], year: int, t_in: float, ratio: float = 1.0,
                   seed: int = 42) -> dict[str, DataFrame]:
     """Areas, years, refurbishment, quota, thermal values and annual demand."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import crs, geometry as G, scalar as S, text as T
-from ..operators import spatial
+from ..operators.clip import clip_lines, clip_multi, clip_points
 
 
 def read_census_csv(spark: SparkSession, path: str | list[str], x_col: str, y_col: str, types: dict[str, str],
@@ -22,17 +22,10 @@ def read_census_csv(spark: SparkSession, path: str | list[str], x_col: str, y_co
     x, y = x_col.lower(), y_col.lower()
     typed = S.cast_by_map(raw, types, (x, y))
     out = typed.withColumn("geom", crs.transform_point(G.make_point(x, y), srid_src, srid_dst))
-    if clip is not None:
-        pts = spatial.with_point_box(out, "geom")
-        areas = spatial.with_polygon_box(clip.select(clip_poly), clip_poly)
-        keyed = pts.withColumn("__k", F.struct(x, y))
-        hit = spatial.spatial_join(keyed.select("__k", "geom", *spatial.BOX).distinct(), areas,
-                                   lambda l, r: G.covers(r(clip_poly), l("geom")),
-                                   right_levels=None, left_levels=[spatial.point_level(0.0)]).select("__k").distinct()
-        out = keyed.join(hit, "__k", "left_semi").drop("__k", *spatial.BOX)
-    return out
+    return out if clip is None else clip_points(out, "geom", clip, clip_poly)
 
 
+_FEATURE = "type string, properties map<string,string>, geometry struct<type:string, coordinates:string>"
 _GEOJSON = "type string, features array<struct<type:string, properties:map<string,string>, geometry:struct<type:string, coordinates:string>>>"
 
 
@@ -41,11 +34,17 @@ def _ring(c: Column) -> Column:
 
 
 def read_geojson(spark: SparkSession, path: str | list[str], layer: str = "germany", properties: list[str] | None = None,
-                 kind: str = "multi") -> DataFrame:
-    """Features of GeoJSON collections: requested properties, ``geom`` and the layer name."""
-    rows = spark.read.schema(_GEOJSON).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    # one file is one document for the reader: spread its features before the geometry work
-    rows = rows.repartition(F.xxhash64("f.geometry.coordinates"))
+                 kind: str = "multi", lines: bool = False) -> DataFrame:
+    """Features of GeoJSON: requested properties, ``geom`` and the layer name.
+
+    Collections are one document per file, so a file is read by one task and its features are spread
+    afterwards. Large layers should come with one feature per line (``lines``), which Spark splits.
+    """
+    if lines:
+        rows = spark.read.schema(_FEATURE).json(path).select(F.struct("type", "properties", "geometry").alias("f"))
+    else:
+        rows = spark.read.schema(_GEOJSON).json(path, multiLine=True).select(F.explode("features").alias("f"))
+        rows = rows.repartition(F.xxhash64("f.geometry.coordinates"))
     coords, gtype = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
     if kind == "multi":
         geom = F.when(gtype == "Polygon", F.array(F.transform(F.from_json(coords, "array<array<array<double>>>"), _ring))).otherwise(
@@ -80,8 +79,6 @@ def read_vector_layers(spark: SparkSession, paths: list[str], layers: list[str],
         change = {"multi": crs.transform_multi, "line": crs.transform_line, "point": crs.transform_point}[kind]
         df = df.withColumn("geom", change("geom", srid_src, srid_dst))
         if clip is not None:
-            from ..operators.clip import clip_lines, clip_multi, clip_points
-
             df = {"multi": clip_multi, "line": clip_lines, "point": clip_points}[kind](df, "geom", clip, clip_poly)
         out[f"{prefix}{(names or {}).get(layer, layer)}"] = df
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,10 +13,14 @@ from ..functions import text as T
 
 def begin_changelog(spark: SparkSession, tool: str, comment: str = "no comment", modified_by: str | None = None,
                     ags: str | None = None, process_id: int | None = None) -> DataFrame:
-    """One audit row. The id is a hash of its content and time, so no counter is shared."""
+    """One audit row. The id is a hash of its content and time, so no counter is shared.
+
+    The time is taken once here: the row that is written and the id on the data rows agree.
+    """
     user = F.lit(modified_by) if modified_by else F.current_user()
+    now = F.lit(datetime.now(timezone.utc))
     return spark.range(1).select(
-        F.lit(tool).alias("tool"), F.current_timestamp().alias("modified_at"), F.lit(comment).alias("comment"),
+        F.lit(tool).alias("tool"), now.alias("modified_at"), F.lit(comment).alias("comment"),
         user.alias("modified_by"), F.lit(ags).cast("string").alias("ags"),
         F.lit(process_id if process_id is not None else os.getpid()).cast("bigint").alias("process_id")
     ).select(changelog_id("tool", "ags", "modified_at").alias("id"), "*")
