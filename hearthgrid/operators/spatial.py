@@ -329,9 +329,9 @@ def nearest_within(points: DataFrame, lines: DataFrame, key: str, line_key: str,
             found = found.filter(~F.col(exclude[0]).eqNullSafe(F.col(exclude[1])))
         # each ring is used twice: in the result and to find what is left for the next one
         best = cut_lineage(found.groupBy(key).agg(F.min_by(
-            F.struct("dist", line_key), F.struct("dist", line_key)).alias("__b")).select(
-            # a new attribute, so that callers can join the result back to their points
-            F.col(key).alias(key), "__b.*"))
+            F.struct("dist", line_key), F.struct("dist", line_key)).alias("__b")))
+        # unpacked after the checkpoint: a bare checkpoint under a union and a join trips the optimizer
+        best = best.select(key, F.abs("__b.dist").alias("dist"), F.col("__b")[line_key].alias(line_key))
         done = best if done is None else done.unionByName(best)
         todo = todo.join(best.select(key), key, "left_anti")
     return done
