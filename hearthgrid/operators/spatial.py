@@ -63,15 +63,19 @@ def _levels_present(df: DataFrame, eps: float) -> list[int]:
     return sorted(df.selectExpr(f"{_level(eps)} AS l").agg(F.collect_set("l").alias("ls")).first()["ls"])
 
 
-def _entries(df: DataFrame, eps: float, levels: list[int], prefix: str) -> DataFrame:
-    """One row per (object, level at or above its own, cell it touches there)."""
-    lv, e = ", ".join(map(str, levels)), _num(eps)
+def _entries(df: DataFrame, eps: float, others: list[int], prefix: str) -> DataFrame:
+    """One row per (object, level, cell it touches there).
+
+    A pair meets at the level of its larger object: an object is needed at its own level, when the
+    other side has anything as small, and at the levels of larger objects of the other side.
+    """
+    own, e = f"{prefix}own", _num(eps)
+    lv = f"filter(array_union(array({own}), array({', '.join(map(str, others))})), v -> v >= {own} AND v >= {min(others)})"
 
     def cells(lo: str, hi: str) -> str:
         return f"explode(sequence(floor(({lo} - {e}) / pow(2D, __lv)), floor(({hi} + {e}) / pow(2D, __lv))))"
 
-    return df.selectExpr("*", f"{_level(eps)} AS {prefix}own").selectExpr(
-        "*", f"explode(filter(array({lv}), v -> v >= {prefix}own)) AS __lv").selectExpr(
+    return df.selectExpr("*", f"{_level(eps)} AS {own}").selectExpr("*", f"explode({lv}) AS __lv").selectExpr(
         "*", f"{cells('xmin', 'xmax')} AS __cx").selectExpr("*", f"{cells('ymin', 'ymax')} AS __cy")
 
 
@@ -96,10 +100,12 @@ def spatial_join(
         raise ValueError("how must be inner or left_semi")
     left_levels = left_levels or _levels_present(left, eps)
     right_levels = right_levels or _levels_present(right, 0.0)
-    shared = sorted(set(left_levels) | set(right_levels))
+    # an empty side has no level; any one serves
+    if not left_levels or not right_levels:
+        left_levels = right_levels = [MIN_LEVEL]
     key = ["__lv", "__cx", "__cy"]
-    l = _entries(left, eps, shared, "__l_")
-    r = _entries(right, 0.0, shared, "__r_").withColumnsRenamed({c: f"__r_{c}" for c in (*BOX, *key)})
+    l = _entries(left, eps, right_levels, "__l_")
+    r = _entries(right, 0.0, left_levels, "__r_").withColumnsRenamed({c: f"__r_{c}" for c in (*BOX, *key)})
     e = _num(eps)
     cond = " AND ".join([
         "__lv = __r___lv", "__cx = __r___cx", "__cy = __r___cy", *[f"`{a}` = `{b}`" for a, b in on or []],
@@ -305,7 +311,7 @@ def point_to_box(l, r) -> Column:
 
 
 def nearest_within(points: DataFrame, lines: DataFrame, key: str, line_key: str, line: str, radius: float,
-                   beyond: float | None = None, rings: tuple[float, ...] = (1 / 16, 1 / 4, 1.0),
+                   beyond: float | None = None, rings: tuple[float, ...] = (1 / 8, 1.0),
                    on: str | None = None, exclude: tuple[str, str] | None = None) -> DataFrame:
     """Nearest line of each point (columns x, y) at ``beyond`` < distance <= ``radius``.
 

@@ -19,6 +19,8 @@ from ..session import cut_lineage
 MERGE_TOL, SNAP_TOL, NODE_TOL = 0.20, 0.25, 0.20
 NEAR_WAY, END_SNAP = 10.0, 0.15
 STREET_RADIUS, WAY_RADIUS, MIN_WAY_DISTANCE, NAME_RADIUS = 100.0, 2000.0, 0.1, 1000.0
+# The wide search first looks close by.
+WAY_RINGS = (1 / 32, 1 / 8, 1.0)
 CONNECTOR, SEGMENT = "connection_line", "segmented_way"
 
 
@@ -105,7 +107,7 @@ def assign_way(b: DataFrame, ways: DataFrame, use_address: bool = True) -> DataF
     todo = out.filter("__way is null").select("id", "ags", "x", "y")
     near = spatial.nearest_within(
         todo, roads.withColumnRenamed("id", "way_id"), "id", "way_id", "geom", WAY_RADIUS, MIN_WAY_DISTANCE,
-        on="ags").select("id", F.col("way_id").alias("__near"))
+        WAY_RINGS, on="ags").select("id", F.col("way_id").alias("__near"))
     return out.join(near, "id", "left").withColumn("assigned_way_id", F.coalesce("__way", "__near")).drop("__way", "__near")
 
 
@@ -118,7 +120,7 @@ def reassign(b: DataFrame, mapping: DataFrame, ways: DataFrame | None = None) ->
         todo = out.filter("__hit and __new is null").select("id", "ags", "x", "y", "assigned_way_id")
         near = spatial.nearest_within(
             todo, ways.filter(F.col("klasse") != CONNECTOR).withColumnRenamed("id", "way_id"), "id", "way_id", "geom",
-            WAY_RADIUS, MIN_WAY_DISTANCE, on="ags", exclude=("assigned_way_id", "way_id")).select(
+            WAY_RADIUS, MIN_WAY_DISTANCE, WAY_RINGS, on="ags", exclude=("assigned_way_id", "way_id")).select(
             "id", F.col("way_id").alias("__near"))
         out = out.join(near, "id", "left")
         best = F.coalesce("__new", "__near")
