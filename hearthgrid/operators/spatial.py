@@ -207,6 +207,35 @@ _BITS = 2          # a step down splits a cell into 4 x 4
 _TOP_STEPS = 3     # 4 ** (2 * 3) = 4096 cells at most: a proven bound for a broadcast
 
 
+_MAX_STEPS = 13
+_LEAF_ROWS = 64
+
+
+def _depth(right: DataFrame, by: list[str], n: int, x0: float, y0: float, extent: float) -> int:
+    """Splits until the fullest cell is small; uniform data needs log n, a crowded place more.
+
+    The depth only decides speed. Cells are counted once at the finest grid and rolled up; one row
+    with a number per depth reaches the driver.
+    """
+    first = max(1, math.ceil(math.log(n, 4 ** _BITS)))
+    if n <= _LEAF_ROWS or first >= _MAX_STEPS:
+        return min(first, _MAX_STEPS)
+    side = 1 << (_BITS * _MAX_STEPS)
+
+    def index(lo: str, hi: str, origin: float) -> str:
+        return f"cast(floor((({lo} + {hi}) / 2 - {_num(origin)}) / {_num(extent)} * {side}) AS BIGINT)"
+
+    finest = right.selectExpr(*by, f"{index('xmin', 'xmax', x0)} AS cx", f"{index('ymin', 'ymax', y0)} AS cy").groupBy(
+        *by, "cx", "cy").agg(F.count("*").alias("n"))
+    depths = ", ".join(str(d) for d in range(first, _MAX_STEPS + 1))
+    fullest = finest.selectExpr(*by, "cx", "cy", "n", f"explode(array({depths})) AS d").selectExpr(
+        *by, "d", f"shiftright(cx, {_BITS} * ({_MAX_STEPS} - d)) AS cx", f"shiftright(cy, {_BITS} * ({_MAX_STEPS} - d)) AS cy", "n"
+    ).groupBy(*by, "d", "cx", "cy").agg(F.sum("n").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()
+    counts = {r["d"]: r["n"] for r in fullest}
+    best = min(counts.values())
+    return min(d for d, c in counts.items() if c <= max(_LEAF_ROWS, 2 * best))
+
+
 def _mindist2(p: str, b: str) -> str:
     return " + ".join(
         f"pow(greatest({b}.{a}min - {p}.{a}max, {p}.{a}min - {b}.{a}max, 0D), 2)" for a in "xy")
@@ -238,14 +267,19 @@ def knn_join(
     lkeys = [left_key] if isinstance(left_key, str) else list(left_key)
     by = list(by or [])
     carried = list(dict.fromkeys(lkeys + by + list(left_cols or ["x", "y"])))
+    # of right points in one place only the k smallest keys can win; the limit also works map-side
+    place = ", ".join([*by, *BOX, f"CASE WHEN xmin = xmax AND ymin = ymax THEN NULL ELSE {right_key} END"])
+    kept = right.filter("xmin is not null and ymin is not null").selectExpr(
+        "*", f"row_number() OVER (PARTITION BY {place} ORDER BY {right_key}) AS __dup").filter(f"__dup <= {k}").drop("__dup")
+    payload = [c for c in right.columns if c not in BOX and c not in lkeys and c not in by]
+    right = cut_lineage(kept)
     stats = right.agg(
         F.count("*").alias("n"), F.min("xmin").alias("x0"), F.min("ymin").alias("y0"),
         F.max("xmax").alias("x1"), F.max("ymax").alias("y1")).first()
     n = max(stats["n"], 1)
     x0, y0 = stats["x0"] or 0.0, stats["y0"] or 0.0
     extent = max((stats["x1"] or 0.0) - x0, (stats["y1"] or 0.0) - y0, 1e-9) * (1 + 1e-9)
-    # deeper than uniform data needs once the pyramid no longer fits the broadcast part
-    steps = max(1, math.ceil(math.log(n, 4 ** _BITS)) + (2 if n > 4 ** (_BITS * _TOP_STEPS) else 0))
+    steps = _depth(right, by, n, x0, y0, extent)
     side = 1 << (_BITS * steps)
 
     def index(lo: str, hi: str, origin: float) -> str:
@@ -293,7 +327,6 @@ def knn_join(
     pairs = frontier.join(leaf, [*by, "__cx", "__cy"]).withColumn("dist", distance(F.col, F.col))
     if radius is not None:
         pairs = pairs.filter(F.col("dist") <= float(radius))
-    payload = [c for c in right.columns if c not in BOX and c not in lkeys and c not in by]
     shown = [c for c in by if c not in lkeys]
     if k == 1:
         best = pairs.groupBy(*lkeys).agg(
