@@ -59,12 +59,6 @@ _CONTAINS = """SELECT 2 * o_orderkey AS id, o_orderkey AS feature_id, CAST(NULL
 UNION ALL SELECT 2 * o_orderkey + 1, o_orderkey, CAST(NULL AS BIGINT), 'boundary', 1, o_orderkey * 3 + 1, 1, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM orders WHERE o_orderkey % 7 = 6 AND o_orderkey * 3 + 1 < (SELECT max(o_orderkey) FROM orders)
 UNION ALL SELECT 100000000000 + o_orderkey, o_orderkey + 1, CAST(NULL AS BIGINT), 'boundary', 1, o_orderkey * 3 + 1, 1, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey * 3 + 1 < (SELECT max(o_orderkey) FROM orders)"""
 _ROOTS = "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 40 = 7"
-# Every feature has at most two containing features, always smaller: a child goes when all of them go.
-_GONE = f"""WITH RECURSIVE link AS (SELECT DISTINCT feature_id AS p, val_feature_id AS c FROM ({_CONTAINS}) q),
-both_p AS (SELECT c, min(p) AS p1, max(p) AS p2 FROM link GROUP BY c),
-gone AS (SELECT id FROM ({_ROOTS}) z UNION SELECT c FROM both_p JOIN gone ON p1 = gone.id WHERE p1 = p2
- UNION SELECT c FROM both_p JOIN gone g ON p1 = g.id AND p1 <> p2 WHERE EXISTS (SELECT 1 FROM ({_ROOTS}) y WHERE y.id = p2))"""
-
 
 @query("n6_cascade_delete")
 def _(spark, sf):
