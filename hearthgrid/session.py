@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +73,22 @@ def spread_small(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so that Python workers can import it.
+
+    On a cluster the executors' machines hold no copy of the repository; Spark distributes the archive.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_hearthgrid_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="hearthgrid-"), "hearthgrid.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._hearthgrid_shipped = True
