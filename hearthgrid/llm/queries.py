@@ -2,7 +2,7 @@
 
 
 def load():
-    from . import simhash  # noqa: F401
+    from . import quality, simhash, toxicity  # noqa: F401
     from .common import ORACLES, QUERIES
 
     return QUERIES, ORACLES
