@@ -2,7 +2,7 @@
 
 
 def load():
-    from . import quality, simhash, toxicity  # noqa: F401
+    from . import bpe, quality, simhash, token_files, toxicity  # noqa: F401
     from .common import ORACLES, QUERIES
 
     return QUERIES, ORACLES
