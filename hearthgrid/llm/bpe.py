@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import in_arrow, key_and_bytes, query, table
 from .wordpieces import public_path, read_tokenizer, splitter
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 
 
 class _Places(dict):
@@ -56,8 +56,8 @@ def _buckets(words: list[str], count: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh32_intdigest(w) % count for w in words), dtype=np.int64, count=len(words))
 
 
-def _blocks(batches, spec: str, size: int):
-    """Yield (block id, doc ids, positions per doc, word list). The block id is a hash of its content and place."""
+def _blocks(batches, spec: str, size: int, positions: bool = True):
+    """Yield (block id, doc ids, positions per doc if wanted, word list). The block id is a hash of its content and place."""
     words, part = splitter(spec), TaskContext.get().partitionId()
     ids, codes, places, held = [], [], _Places(), 0
 
@@ -68,9 +68,14 @@ def _blocks(batches, spec: str, size: int):
         return told.intdigest() >> 1, ids, codes, listed
     for b in batches:
         for i, text in zip(b["id"], b["text"]):
-            found = [np.fromiter(map(places.__getitem__, w), dtype="<u4", count=len(w)) for w in words.words(text.decode("utf-8", "replace"))]
             ids.append(i)
-            codes.append(np.concatenate(found) if len(found) != 1 else found[0])
+            found = words.words(text.decode("utf-8", "replace"))
+            if positions:
+                found = [np.fromiter(map(places.__getitem__, w), dtype="<u4", count=len(w)) for w in found]
+                codes.append(np.concatenate(found) if len(found) != 1 else found[0])
+            else:
+                for w in found:
+                    places.update(dict.fromkeys(w))  # keeps the order of first sight
             held += len(text)
             if held >= size:
                 yield block()
@@ -93,7 +98,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
     rows = key_and_bytes(docs, id_col, text_col)
 
     def lists(batches):
-        for block, _, _, listed in _blocks(batches, spec, block_bytes):
+        for block, _, _, listed in _blocks(batches, spec, block_bytes, positions=False):
             where = _buckets(listed, count)
             order = np.argsort(where, kind="stable")
             for part in np.split(order, np.nonzero(np.diff(where[order]))[0] + 1):
@@ -198,21 +203,27 @@ def decode_documents(encoded: DataFrame, tokenizer_file: str, digests: bool = Fa
     raw = [b"" if p is None else (bytes(letters[c] for c in p) if byte_level and all(c in letters for c in p) else p.encode()) for p in pieces]
     joint = b"" if byte_level else b" "
 
-    def text_of(ids: list[int]) -> bytes:
-        found = joint.join([raw[i] for i in ids if 0 <= i < len(raw)])
+    def text_of(ids: np.ndarray) -> bytes:
+        inside = ids if not len(ids) or 0 <= ids.min() and ids.max() < len(raw) else ids[(ids >= 0) & (ids < len(raw))]
+        found = joint.join(map(raw.__getitem__, inside.tolist()))
         return found.decode("utf-8", "replace").encode() if byte_level else found
 
     def run(batches):
-        for b in batches:
+        for batch in batches:
+            listed = batch.column(batch.schema.get_field_index("ids"))
+            values = listed.values.to_numpy(zero_copy_only=False)
+            starts = listed.offsets.to_numpy()
+            ids = [values[a:b] for a, b in zip(starts.tolist(), starts[1:].tolist())]
+            out = {"id": batch.column(batch.schema.get_field_index("id"))}
             if digests:
-                ids = [i or [] for i in b["ids"]]
-                yield {"id": b["id"], "n_tokens": [len(i) for i in ids],
-                       "ids_sha256": [hashlib.sha256(np.array(i, dtype="<u4").tobytes()).hexdigest() for i in ids],
-                       "decoded_sha256": [hashlib.sha256(text_of(i)).hexdigest() for i in ids]}
+                out |= {"n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+                        "ids_sha256": pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], pa.string()),
+                        "decoded_sha256": pa.array([hashlib.sha256(text_of(i)).hexdigest() for i in ids], pa.string())}
             else:
-                yield {"id": b["id"], "decoded": [text_of(i or []).decode() for i in b["ids"]]}
-    return in_arrow(encoded.select("id", "ids"), run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests
-                    else "id long, decoded string")
+                out |= {"decoded": pa.array([text_of(i).decode() for i in ids], pa.string())}
+            yield pa.RecordBatch.from_pydict(out)
+    rows = encoded.select("id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "id long, decoded string")
 
 
 @query("op7_bpe_encode_decode")
