@@ -191,7 +191,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 def decode_documents(encoded: DataFrame, tokenizer_file: str, digests: bool = False) -> DataFrame:
-    """Columns id, decoded (with ``digests``: n_tokens and the SHA-256 of ids and decoded text instead).
+    """Columns id, ids, decoded (with ``digests``: id, n_tokens and the SHA-256 of ids and decoded text instead).
 
     The id-to-piece table has one row per id of the vocabulary and is sent to every task. A null
     array decodes to the empty text; an id outside the table adds nothing.
@@ -220,10 +220,10 @@ def decode_documents(encoded: DataFrame, tokenizer_file: str, digests: bool = Fa
                         "ids_sha256": pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], pa.string()),
                         "decoded_sha256": pa.array([hashlib.sha256(text_of(i)).hexdigest() for i in ids], pa.string())}
             else:
-                out |= {"decoded": pa.array([text_of(i).decode() for i in ids], pa.string())}
+                out |= {"ids": listed, "decoded": pa.array([text_of(i).decode() for i in ids], pa.string())}
             yield pa.RecordBatch.from_pydict(out)
     rows = encoded.select("id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "id long, decoded string")
+    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "id long, ids array<int>, decoded string")
 
 
 @query("op7_bpe_encode_decode")

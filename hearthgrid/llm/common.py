@@ -36,13 +36,13 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def key_and_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two columns id, text: the whole text as UTF-8 bytes, null as the empty text.
+def key_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """Columns id, text (and ``more``): the whole text as UTF-8 bytes, null as the empty text.
 
-    Only these two are read, so extra columns of any name do no harm.
+    Only these are read, so extra columns of any name do no harm.
     """
     return docs.select(F.col(id_col).cast("long").alias("id"),
-                       F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"))
+                       F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"), *more)
 
 
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
@@ -59,6 +59,15 @@ def in_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, wanted: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """Rows of which the whole text (null: empty) is wanted; all columns pass through untouched."""
+    def run(batches):
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield b.filter(pa.array(np.asarray(wanted(texts), dtype=bool)))
+    return df.mapInArrow(run, df.schema)
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered for the common words of a task; emptied when it has grown large."""
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_arrow, key_and_bytes, query, table
+from .common import in_arrow, keep_rows, key_and_bytes, query, table
 
 RATE, BLOCK_CHARS = 0.05, 4_000_000
 
@@ -147,6 +147,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_c
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id",
+                      item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of ``docs`` that hold no item within its budget, all columns kept; nothing is shuffled."""
+    for block in _item_blocks(benchmark, item_col, item_text_col, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        ready: list[Matcher] = []  # one per task
+
+        def clean(texts, sent=sent, ready=ready):
+            if not ready:
+                ready.append(Matcher(sent.value, rate))
+            return [next(ready[0].match(plain(t.decode("utf-8", "replace"))), None) is None for t in texts]
+        docs = keep_rows(docs, text_col, clean)
+    return docs
+
+
 @query("op10_benchmark_decontamination")
 def op10(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

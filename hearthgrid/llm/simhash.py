@@ -22,9 +22,15 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 
 
 def covering_masks(radius: int) -> list[int]:
-    """The 2^(radius+1) - 1 masks over 64 bits; positions take the non-zero vectors in turn."""
+    """The 2^(radius+1) - 1 masks over 64 bits.
+
+    Positions take the non-zero vectors in turn, or the upper half of them if there are more than 64
+    positions can take: either way each mask keeps about half of the positions or more.
+    """
+    if not 0 <= radius <= 6:
+        raise ValueError("radius must be from 0 to 6")
     top = 2 ** (radius + 1)
-    vectors = [1 + i % (top - 1) for i in range(64)]
+    vectors = [1 + i % (top - 1) if top <= 64 else top // 2 + i % (top // 2) for i in range(64)]
     return [sum(1 << i for i, p in enumerate(vectors) if (p & v).bit_count() % 2) for v in range(1, top)]
 
 
@@ -51,6 +57,11 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(parts)).tobytes(), "big")
 
 
+def word_set_fingerprint(text: bytes, seed: int = SEED) -> int:
+    """Majority bits over the distinct words: one changed word moves it less than the shingles around it."""
+    return fingerprint(b" ".join(sorted(set(text.lower().split()))), 1, seed)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
                  seed: int = SEED) -> DataFrame:
     """Columns id, fp (64 bits as a signed long), one row per input row."""
@@ -116,34 +127,29 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def near_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that keep every component within the radius.
-
-    Every table is dealt out by its masked value. Inside one value all links within the radius are
-    found, and a spanning forest of them is returned, so a crowded value gives no more rows than it
-    has fingerprints.
-    """
+def _meetings(rows: DataFrame, radius: int, links, schema: str) -> DataFrame:
+    """Deal rows (fp, further long columns) out to every table, and call ``links(mask, columns)`` on the rows
+    that agree under a mask. Values go in their sorted order through a task; only one is held at a time."""
     masks = covering_masks(radius)
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
-    dealt = distinct.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])).alias("e")
-    ).select("fp", F.col("e.t").alias("t"), F.col("e.key").alias("key"))
+    names = ["t", "key", *rows.columns]
+    dealt = rows.withColumn("e", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]))).select(
+        F.col("e.t").alias("t"), F.col("e.key").alias("key"), *rows.columns)
 
-    def groups(t, key, fp):
-        """Links inside the runs of equal (table, key)."""
+    def groups(columns):
+        t, key = columns[:2]
         edge = np.nonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]))[0] + 1
         starts, ends = np.r_[0, edge], np.r_[edge, len(t)]
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            values = np.sort(fp[s:e].view(np.uint64))
-            label = _forest(len(values), *_near(values, ~masks[t[s]] & (2**64 - 1), radius))
-            moved = np.nonzero(label != np.arange(len(label)))[0]
-            if len(moved):
-                yield {"a": values[moved].view(np.int64), "b": values[label[moved]].view(np.int64)}
+        some = ends - starts > 1
+        found = [links(masks[t[s]], [c[s:e] for c in columns[2:]]) for s, e in zip(starts[some].tolist(), ends[some].tolist())]
+        if found := [f for f in found if f is not None]:
+            yield {c: np.concatenate([f[c] for f in found]) for c in found[0]}
 
     def run(batches):
         held = None
         for b in batches:
-            now = [np.array(b[c], dtype=np.int64) for c in ("t", "key", "fp")]
+            now = [np.array(b[c], dtype=np.int64) for c in names]
             if not len(now[0]):
                 continue
             if held is not None:
@@ -151,11 +157,118 @@ def near_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             last = np.nonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[0]
             cut = last[-1] + 1 if len(last) else 0  # the last value may go on in the next batch
             if cut:
-                yield from groups(*[x[:cut] for x in now])
+                yield from groups([x[:cut] for x in now])
             held = [x[cut:] for x in now]
         if held is not None:
-            yield from groups(*held)
-    return in_arrow(dealt.repartition("t", "key").sortWithinPartitions("t", "key"), run, "a long, b long")
+            yield from groups(held)
+    return in_arrow(dealt.repartition("t", "key").sortWithinPartitions("t", "key"), run, schema)
+
+
+def near_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that keep every component within the radius.
+
+    Every table is dealt out by its masked value. Inside one value all links within the radius are
+    found, and a spanning forest of them is returned, so a crowded value gives no more rows than it
+    has fingerprints.
+    """
+    def links(mask, columns):
+        values = np.sort(columns[0].view(np.uint64))
+        label = _forest(len(values), *_near(values, ~mask & (2**64 - 1), radius))
+        moved = np.nonzero(label != np.arange(len(label)))[0]
+        return {"a": values[moved].view(np.int64), "b": values[label[moved]].view(np.int64)} if len(moved) else None
+    return _meetings(distinct.select("fp"), radius, links, "a long, b long")
+
+
+SMALL_GROUP = 16
+
+
+def _candidates(rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b, many) of ids a < b among rows (fp, id) whose fingerprints meet within the radius.
+
+    In a group of up to SMALL_GROUP rows all pairs that are near; in a larger one (many) the smallest id
+    with every other, so the rows grow with the group and not with its square.
+    """
+    def links(mask, columns):
+        order = np.lexsort((columns[1], columns[0].view(np.uint64)))
+        fp, ids = columns[0].view(np.uint64)[order], columns[1][order]
+        first = np.r_[0, np.nonzero(fp[1:] != fp[:-1])[0] + 1]
+        values, n = fp[first], np.diff(np.r_[first, len(fp)])
+        p, q = _near(values, ~mask & (2**64 - 1), radius) if len(values) > 1 else (first[:0], first[:0])
+        group = np.repeat(_forest(len(values), p, q), n)
+        out = []
+        by = np.argsort(group, kind="stable")
+        cuts = np.r_[0, np.nonzero(np.diff(group[by]))[0] + 1, len(by)]
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            member = by[s:e]
+            if len(member) == 1:
+                continue
+            if len(member) > SMALL_GROUP:
+                low = ids[member].min()
+                rest = ids[member][ids[member] != low]
+                out.append((np.full(len(rest), low), rest, np.ones(len(rest), dtype=np.int64)))
+            else:
+                i, j = np.nonzero(np.triu(np.bitwise_count(fp[member][:, None] ^ fp[member][None, :]) <= radius, 1))
+                i, j = ids[member[i]], ids[member[j]]
+                out.append((np.minimum(i, j), np.maximum(i, j), np.zeros(len(i), dtype=np.int64)))
+        if not out:
+            return None
+        return {c: np.concatenate(x) for c, x in zip(("a", "b", "many"), zip(*out))}
+    return _meetings(rows.select("fp", "id"), radius, links, "a long, b long, many long").groupBy("a", "b").agg(F.max("many").alias("many"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 6, id_col: str = "doc_id",
+                         text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """Rows of ``docs`` without near-duplicates, all columns kept: of every group the row of the smallest id stays.
+
+    Candidates are texts whose word-set fingerprints differ in at most ``radius`` bits, all of them found
+    by the covering tables; a candidate pair is a duplicate if the sets of ``width``-word shingles (A-Z
+    lowered) have a Jaccard similarity of at least ``similarity``. Groups are what such pairs connect.
+    Texts of equal words are duplicates. In a crowded group of candidates the smallest id is compared
+    with all; what is not its duplicate is compared again in the next round, until nothing is left to
+    compare. Null texts count as empty, and only one empty text stays; a null id counts as the smallest.
+    An empty table stays empty.
+    """
+    kid, th = F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)), F.xxhash64(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
+    keyed = docs.select(kid.alias("kid"), th.alias("th"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+
+    def read(batches):
+        for b in batches:
+            words = [b" ".join(t.lower().split()) for t in b["text"]]
+            yield {"kid": b["kid"], "th": b["th"], "same": [xxhash.xxh3_128_digest(w) for w in words],
+                   "fp": np.array([word_set_fingerprint(w, seed) for w in words], dtype=np.uint64).astype(np.int64)}
+
+    # one row per document: ids of rows are replaced by a dense key, so repeated ids are told apart
+    rows = store(in_arrow(keyed, read, "kid long, th long, same binary, fp long").dropDuplicates(["kid", "th"]), "word-sets")
+    first = rows.groupBy("same").agg(F.min_by(F.struct("kid", "th", "fp"), F.struct("kid", "th")).alias("r")).select("r.*")
+    # ascending in (kid, th), and the same in every run over the same rows
+    rest = store(first.repartitionByRange("kid", "th").sortWithinPartitions("kid", "th").withColumn("id", F.monotonically_increasing_id()), "distinct")
+
+    def shingles(batches):
+        for b in batches:
+            yield {"id": b["id"], "set": [np.unique(np.array([xxhash.xxh3_64_intdigest(p) for p in shingle_bytes(t, width)],
+                                                              dtype=np.uint64)).view(np.int64).tolist() for t in b["text"]]}
+    open_rows, merged = rest.select("fp", "id"), None
+    while True:
+        pairs = store(_candidates(open_rows, radius), "candidates")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = keyed.join(rest.join(wanted, "id").select("kid", "th", "id"), ["kid", "th"]).select("id", "text").dropDuplicates(["id"])
+        sets = store(in_arrow(texts, shingles, "id long, set array<long>"), "shingles")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(
+            sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        near = cut_lineage(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+        merged = near if merged is None else merged.unionByName(near)
+        gone = near.select(F.col("b").alias("id")).distinct()
+        # who met only the smallest id of a crowded group, and was not its duplicate, meets the others next
+        open_rows = cut_lineage(open_rows.join(pairs.filter("many = 1").select(F.col("b").alias("id")).distinct(), "id", "left_semi").join(
+            gone, "id", "left_anti").select("fp", "id"))
+        if open_rows.isEmpty():
+            break
+    # every component keeps its smallest id
+    labels = connected_components(merged, "a", "b").filter("node <> component").select(F.col("node").alias("id"))
+    kept = cut_lineage(rest.join(labels, "id", "left_anti").select(F.col("kid").alias("__kid"), F.col("th").alias("__th")))
+    return docs.withColumns({"__kid": kid, "__th": th}).join(kept, ["__kid", "__th"], "left_semi").dropDuplicates(
+        ["__kid", "__th"]).select(*docs.columns)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,

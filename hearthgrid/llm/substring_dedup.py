@@ -30,9 +30,9 @@ WINDOW, BLOCK_BYTES, ATTEMPTS = 20, 8_000_000, 4
 _NO_ID = -2**63
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """id, text, and the key of a row: its id (null first) and a hash of its text, as ids may repeat."""
-    return key_and_bytes(docs, id_col, text_col).withColumns({
+    return key_and_bytes(docs, id_col, text_col, *more).withColumns({
         "kid": F.coalesce("id", F.lit(_NO_ID)), "th": F.xxhash64("text")})
 
 
@@ -170,8 +170,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 block_bytes: int = BLOCK_BYTES, with_text: bool = False) -> DataFrame:
     """Remove every word in a run of ``window`` words that also starts earlier in the corpus.
 
-    Columns id, n_words, n_removed, kept_sha256 (and the kept text, words joined by one space); one
-    row per input row. Earlier means a smaller id, or the same id and an earlier start; rows of equal
+    Columns id, n_words, n_removed, kept_sha256 (``with_text`` adds the row key kid, th and kept, the
+    kept words joined by one space); one row per input row. Earlier means a smaller id, or the same id and an earlier start; rows of equal
     id count as one document, a null id as the smallest. Words are runs of bytes other than ASCII
     white space, unchanged. Null and empty texts have no words; texts shorter than a run keep all.
     Repeated rows give equal results; extra columns are not read; an empty table gives an empty one.
@@ -207,8 +207,8 @@ def _cut(keyed: DataFrame, window: int, seed: int, block_bytes: int, hash_bytes:
 
     def finish(batches):
         for b in batches:
-            out = {c: [] for c in ("id", "n_words", "n_removed", "kept_sha256", "kept", "own", "asked")}
-            for i, kid, th, packed, cut_, asked_ in zip(*(b[c] for c in ("id", "kid", "th", "packed", "cut", "asked"))):
+            out = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "kept", "own", "asked")} | {c: b[c] for c in ("id", "kid", "th")}
+            for kid, th, packed, cut_, asked_ in zip(*(b[c] for c in ("kid", "th", "packed", "cut", "asked"))):
                 words = zstandard.decompress(packed).split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 for s in cut_ or ():
@@ -216,7 +216,6 @@ def _cut(keyed: DataFrame, window: int, seed: int, block_bytes: int, hash_bytes:
                     gone[s["start"] + s["edges"] + window - 1] -= 1
                 left = np.nonzero(np.cumsum(gone)[:-1] == 0)[0]
                 kept = b" ".join([words[k] for k in left.tolist()]) if len(left) < len(words) else b" ".join(words)
-                out["id"].append(i)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(left))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
@@ -229,12 +228,24 @@ def _cut(keyed: DataFrame, window: int, seed: int, block_bytes: int, hash_bytes:
 
     joined = texts.join(cut, ["kid", "th"], "left").join(asked, ["kid", "th"], "left").select("id", "kid", "th", "packed", "cut", "asked")
     place = "array<struct<kid:long,th:long,start:long,edges:long,sum:long>>"
-    done = store(in_arrow(joined, finish, f"id long, n_words long, n_removed long, kept_sha256 string, kept string, own {place}, asked {place}"), "cut")
+    done = store(in_arrow(joined, finish, f"id long, kid long, th long, n_words long, n_removed long, kept_sha256 string, kept string, own {place}, asked {place}"), "cut")
     own = done.select(F.explode("own").alias("s")).select("s.*").distinct()
     source = done.select(F.explode("asked").alias("s")).select("s.*").distinct()
     if not own.join(source, ["kid", "th", "start", "edges", "sum"], "left_anti").isEmpty():
         return None
-    return done.drop("own", "asked") if with_text else done.drop("own", "asked", "kept")
+    return done.drop("own", "asked") if with_text else done.select("id", "n_words", "n_removed", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, size_col: str | None = None) -> DataFrame:
+    """``docs`` with the kept words as text, other columns as they are; ``size_col`` gets the new number of characters."""
+    cut = cut_repeats(docs, id_col, text_col, window, with_text=True).select(
+        F.col("kid").alias("__kid"), F.col("th").alias("__th"), "kept").dropDuplicates(["__kid", "__th"])
+    joined = _keyed(docs.withColumn("__row", F.struct(*[c for c in docs.columns if c != text_col])), id_col, text_col, "__row").withColumnsRenamed(
+        {"kid": "__kid", "th": "__th"}).drop("id", "text").join(cut, ["__kid", "__th"])
+    out = {c: F.col("kept") if c == text_col else F.col("__row")[c] for c in docs.columns}
+    if size_col is not None:
+        out[size_col] = F.length("kept").cast(docs.schema[size_col].dataType)
+    return joined.select(*[v.alias(c) for c, v in out.items()])
 
 
 @query("op1_substring_dedup", """

@@ -22,7 +22,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_arrow, key_and_bytes, query, table
+from .common import in_arrow, keep_rows, key_and_bytes, query, store, table
 from .labelled import labelled_sample, training_rows, with_verdict
 
 # fixed values: function words of the grammar
@@ -174,6 +174,34 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
     return w
 
 
+class Grammar:
+    """The learnt insults and the curve, sent to the tasks with the code that applies them."""
+
+    def __init__(self, insults: dict[str, float], weights: np.ndarray):
+        self.insults, self.weights, self.finder = insults, weights, _finder(insults)
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        return np.array([clause_features(t.decode("utf-8", "replace"), self.insults, self.finder) for t in texts], dtype=float).reshape(-1, 3)
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.weights[:3] + self.weights[3], -700, 700)))
+
+
+def learn_grammar(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, per_class: int = PER_CLASS,
+                  id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Grammar:
+    """Insults and curve from at most ``per_class`` labelled texts of each class, without those held out."""
+    sample = store(labelled_sample(docs, labels, label, training_rows(modulus, held_out, id_col), per_class, id_col, text_col), "labelled")
+    grammar = Grammar(learn_insults(sample), np.zeros(4))
+
+    def run(batches):
+        for b in batches:
+            f = grammar.features(b["text"])
+            yield {"y": b["y"], "f1": f[:, 0], "f2": f[:, 1], "f3": f[:, 2]}
+    seen = in_arrow(sample.select("text", "y"), run, "y int, f1 double, f2 double, f3 double").collect()
+    rows = np.array(sorted(tuple(r) for r in seen), dtype=float).reshape(-1, 4)
+    return Grammar(grammar.insults, fit_curve(rows[:, 1:], rows[:, 0]))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, threshold: float = 0.3,
                    per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> DataFrame:
     """Columns doc_id, held_out, score, predicted; one row per input row.
@@ -184,23 +212,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
     out. Without labels of both classes nothing can be learnt: only threats match then. Repeated
     rows keep one row each; extra columns are not read.
     """
-    sample = labelled_sample(docs, labels, label, training_rows(modulus, held_out, id_col), per_class, id_col, text_col)
-    insults = learn_insults(sample)
-    finder = _finder(insults)
+    grammar = learn_grammar(docs, labels, modulus, held_out, per_class, id_col, text_col, label)
 
-    def run(batches, extra=()):
+    def run(batches):
         for b in batches:
-            found = [clause_features(t.decode("utf-8", "replace"), insults, finder) for t in b["text"]]
-            f = np.array(found, dtype=float).reshape(-1, 3)
-            yield {c: b[c] for c in ("id", *extra)} | {"f1": f[:, 0], "f2": f[:, 1], "f3": f[:, 2]}
-
-    seen = in_arrow(sample, lambda b: run(b, ("y",)), "id long, y int, f1 double, f2 double, f3 double").select(
-        "y", "f1", "f2", "f3").collect()
-    rows = np.array([tuple(r) for r in seen], dtype=float).reshape(-1, 4)
-    w = fit_curve(rows[:, 1:], rows[:, 0])
-    found = in_arrow(key_and_bytes(docs, id_col, text_col), run, "id long, f1 double, f2 double, f3 double")
-    z = sum((F.col(c) * float(v) for c, v in zip(("f1", "f2", "f3"), w)), F.lit(float(w[3])))
-    return with_verdict(found.select("id", (1 / (1 + F.exp(-z))).alias("score")), modulus, held_out, threshold)
+            yield {"id": b["id"], "score": grammar.scores(b["text"])}
+    return with_verdict(in_arrow(key_and_bytes(docs, id_col, text_col), run, "id long, score double"), modulus, held_out, threshold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **learning) -> DataFrame:
+    """Rows of ``docs`` that score below the threshold, all columns kept; nothing is shuffled but the sample."""
+    grammar = learn_grammar(docs, labels, id_col=id_col, text_col=text_col, **learning)
+    return keep_rows(docs, text_col, lambda texts: grammar.scores(texts) < threshold)
 
 
 @query("op5_toxicity")
