@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_path
 
+UNPACKED_BYTES = 4_000_000
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -46,15 +48,23 @@ def key_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Da
 
 
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow over column dicts: lists of Python values or numpy arrays in, the same out."""
+    """mapInArrow over column dicts: lists of Python values or numpy arrays in, the same out.
+
+    Batches of long texts are unpacked a few MB at a time.
+    """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        read = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches)
-        for out in fn(read):
+        def read():
+            for b in batches:
+                step = max(1, b.num_rows * UNPACKED_BYTES // max(b.nbytes, UNPACKED_BYTES))
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    yield {n: part.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+        for out in fn(read()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
     return df.mapInArrow(run, schema)
 

@@ -53,16 +53,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
         ids, ends, at = [], [], 0
         for b in batches:
             out = []
-            for text in b["text"]:
-                raw = words.encode(text.decode("utf-8", "replace"))
+            for raw in words.encode([t.decode("utf-8", "replace") for t in b["text"]]):
                 if width != words.width:
                     raw = np.frombuffer(raw, dtype=f"<u{words.width}").astype(f"<u{width}").tobytes()
                 at += len(raw) // width + 1
                 ends.append(at)
                 out.append(raw + end[:-1])
-                if len(out) == 256:
-                    yield {"value": out}
-                    out = []
             ids.extend(_NULL_ID if i is None else i for i in b["id"])
             yield {"value": out}
         if ids:

@@ -11,12 +11,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
-import numpy as np
-
 _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 # no combining marks, no letters beyond Latin-1, and only blanks on which all engines agree
@@ -24,7 +24,7 @@ _UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff‐-‧]")
 _BYTE_LEVEL = re.compile(rf"{_ENDINGS}| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+")
 _WORD_LEVEL = re.compile(rf"{_ENDINGS}|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LONG_TEXT = 4_000_000
+LONG_TEXT, TOGETHER = 4_000_000, 500_000
 
 
 def read_tokenizer(path: str) -> str:
@@ -91,20 +91,38 @@ class Splitter:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Little-endian ids of each word, by the tokenizers library."""
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, dtype=kind).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian ids of a text; words met before are not encoded again."""
+        kind = "H" if self.width == 2 else "I"
+        out = [array(kind, e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in out:
+                ids.byteswap()
+        return [ids.tobytes() for ids in out]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text; words met before are not encoded again."""
         out = []
-        for words in self.words(text):
-            distinct = set(words)
+        for group in _grouped(texts, TOGETHER):
+            lists = [list(self.words(t)) for t in group]
+            distinct = set().union(*(w for found in lists for w in found))
             if len(self.new) > self.REMEMBERED:  # two generations: words still in use move on, others are forgotten
                 self.new, self.old = {}, self.new
-            missing = [w for w in distinct if w not in self.new]
-            unknown = [w for w in missing if w not in self.old]
-            self.new.update((w, self.old[w]) for w in missing if w in self.old)
-            if unknown:
+            missing = distinct.difference(self.new)
+            known = missing.intersection(self.old)
+            self.new.update((w, self.old[w]) for w in known)
+            if unknown := list(missing - known):
                 self.new.update(zip(unknown, self.encode_words(unknown)))
-            out.append(b"".join(map(self.new.__getitem__, words)))
-        return b"".join(out)
+            take = self.new.__getitem__
+            out += [b"".join([b"".join(map(take, w)) for w in found]) for found in lists]
+        return out
+
+
+def _grouped(texts: list[str], size: int) -> Iterator[list[str]]:
+    group, held = [], 0
+    for t in texts:
+        group.append(t)
+        held += len(t)
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
