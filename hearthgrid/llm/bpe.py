@@ -19,7 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_arrow, key_and_bytes, query, table
+from .common import in_arrow, key_and_bytes, query, store, table
 from .wordpieces import public_path, read_tokenizer, splitter
 
 BLOCK_BYTES = 8_000_000
@@ -33,6 +33,16 @@ class _Places(dict):
         return place
 
 
+def _joined(words: list[str]) -> bytes:
+    """Words in one string of bytes; no UTF-8 text holds the separator."""
+    return b"\xff".join([w.encode() for w in words])
+
+
+def _listed(blob: bytes) -> list[str]:
+    raw = zstandard.decompress(blob)
+    return [w.decode() for w in raw.split(b"\xff")] if raw else []
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
     """Integers as compressed byte planes, each array behind its length."""
     head = np.array([len(a) for a in arrays], dtype="<u4").tobytes()
@@ -63,7 +73,7 @@ def _blocks(batches, spec: str, size: int, positions: bool = True):
 
     def block():
         listed = list(places)
-        told = xxhash.xxh64("\n".join(listed))
+        told = xxhash.xxh64(_joined(listed))
         told.update(repr((part, ids[:1], len(ids))))
         return told.intdigest() >> 1, ids, codes, listed
     for b in batches:
@@ -103,13 +113,13 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
             order = np.argsort(where, kind="stable")
             for part in np.split(order, np.nonzero(np.diff(where[order]))[0] + 1):
                 if len(part):
-                    blob = "\n".join([listed[k] for k in part.tolist()]).encode()
+                    blob = _joined([listed[k] for k in part.tolist()])
                     yield {"bucket": [int(where[part[0]])], "block": [block], "sum": [zlib.crc32(blob)], "words": [zstandard.compress(blob, 3)]}
 
     def encode(group: pa.Table) -> pa.Table:
         """All lists of one bucket: each distinct word is encoded once."""
         words = splitter(spec)
-        listed = [zstandard.decompress(w).decode().split("\n") for w in group["words"].to_pylist()]
+        listed = [_listed(w) for w in group["words"].to_pylist()]
         distinct = list(set().union(*listed))
         ids = {}
         for at in range(0, len(distinct), 20_000):
@@ -126,7 +136,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
         for block, ids, codes, listed in _blocks(batches, spec, block_bytes):
             yield {"block": [block], "docs": [pa.array(ids, type=pa.int64()).to_pylist()],
                    "codes": [_packed(np.array([len(c) for c in codes]), np.concatenate(codes))],
-                   "listed": [zstandard.compress("\n".join(listed).encode(), 3)]}
+                   "listed": [zstandard.compress(_joined(listed), 3)]}
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         """Give the texts of one block their ids."""
@@ -134,8 +144,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
         got = {(b, s): i for b, s, i in zip(right["bucket"].to_pylist(), right["sum"].to_pylist(), right["ids"].to_pylist())}
         out_docs, out_values, out_sizes = [], [], []
         for docs_, codes, listed in zip(left["docs"].to_pylist(), left["codes"].to_pylist(), left["listed"].to_pylist()):
-            listed = zstandard.decompress(listed).decode()
-            listed = listed.split("\n") if listed else []
+            listed = _listed(listed)
             sizes, codes = _unpacked(codes)
             where = _buckets(listed, count)
             order = np.argsort(where, kind="stable")
@@ -143,7 +152,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
             parts, values = np.split(order, np.nonzero(np.diff(where[order]))[0] + 1) if len(listed) else [], []
             for part in parts:
                 own = [listed[k] for k in part.tolist()]
-                key = (int(where[part[0]]), zlib.crc32("\n".join(own).encode()))
+                key = (int(where[part[0]]), zlib.crc32(_joined(own)))
                 if key in got:
                     lengths[part], ids = _unpacked(got[key])
                 else:  # the input changed between its two reads: these words are not in the table
@@ -229,5 +238,5 @@ def decode_documents(encoded: DataFrame, tokenizer_file: str, digests: bool = Fa
 @query("op7_bpe_encode_decode")
 def op7(spark, sf_dir):
     file = public_path("word_bpe_49k.json")
-    return decode_documents(encode_documents(table(spark, sf_dir, "documents"), file), file, digests=True).select(
-        F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    done = decode_documents(encode_documents(table(spark, sf_dir, "documents"), file), file, digests=True)
+    return store(done, "token-digests", texts=True).withColumnRenamed("id", "doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,23 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def text_batches(spark, rows: int = 1000):
+    """Within the block, jobs hand rows to Python in batches that suit texts: a task holds few MB of them at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def store(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
     """Write to the shared folder and read back: the plan below is done once and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with text_batches(df.sparkSession) if texts else nullcontext():
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

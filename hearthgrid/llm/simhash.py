@@ -238,7 +238,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
                    "fp": np.array([word_set_fingerprint(w, seed) for w in words], dtype=np.uint64).astype(np.int64)}
 
     # one row per document: ids of rows are replaced by a dense key, so repeated ids are told apart
-    rows = store(in_arrow(keyed, read, "kid long, th long, same binary, fp long").dropDuplicates(["kid", "th"]), "word-sets")
+    rows = store(in_arrow(keyed, read, "kid long, th long, same binary, fp long").dropDuplicates(["kid", "th"]), "word-sets", texts=True)
     first = rows.groupBy("same").agg(F.min_by(F.struct("kid", "th", "fp"), F.struct("kid", "th")).alias("r")).select("r.*")
     # ascending in (kid, th), and the same in every run over the same rows
     rest = store(first.repartitionByRange("kid", "th").sortWithinPartitions("kid", "th").withColumn("id", F.monotonically_increasing_id()), "distinct")
@@ -252,7 +252,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
         pairs = store(_candidates(open_rows, radius), "candidates")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = keyed.join(rest.join(wanted, "id").select("kid", "th", "id"), ["kid", "th"]).select("id", "text").dropDuplicates(["id"])
-        sets = store(in_arrow(texts, shingles, "id long, set array<long>"), "shingles")
+        sets = store(in_arrow(texts, shingles, "id long, set array<long>"), "shingles", texts=True)
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
@@ -281,7 +281,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Equal fingerprints are one node, so a group of copies of any size costs one row in the tables.
     """
-    rows = store(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
+    rows = store(fingerprints(docs, id_col, text_col, width, seed), "fingerprints", texts=True)
     classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("low")))
     joined = connected_components(near_fingerprints(classes.select("fp"), radius), "a", "b").select(
         F.col("node").alias("fp"), "component")

@@ -192,7 +192,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _cut(keyed: DataFrame, window: int, seed: int, block_bytes: int, hash_bytes: int, with_text: bool) -> DataFrame | None:
     """One attempt; None if a digest does not agree."""
-    spans = store(repeated_paths(keyed, window, seed, block_bytes, hash_bytes), "paths")
+    spans = store(repeated_paths(keyed, window, seed, block_bytes, hash_bytes), "paths", texts=True)
     cut = spans.groupBy("kid", "th").agg(F.collect_list(F.struct("start", "edges", "skid", "sth", "sstart")).alias("cut"))
     asked = spans.select(F.col("skid").alias("kid"), F.col("sth").alias("th"), F.col("sstart").alias("start"), "edges").distinct().groupBy(
         "kid", "th").agg(F.collect_list(F.struct("start", "edges")).alias("asked"))
@@ -228,7 +228,7 @@ def _cut(keyed: DataFrame, window: int, seed: int, block_bytes: int, hash_bytes:
 
     joined = texts.join(cut, ["kid", "th"], "left").join(asked, ["kid", "th"], "left").select("id", "kid", "th", "packed", "cut", "asked")
     place = "array<struct<kid:long,th:long,start:long,edges:long,sum:long>>"
-    done = store(in_arrow(joined, finish, f"id long, kid long, th long, n_words long, n_removed long, kept_sha256 string, kept string, own {place}, asked {place}"), "cut")
+    done = store(in_arrow(joined, finish, f"id long, kid long, th long, n_words long, n_removed long, kept_sha256 string, kept string, own {place}, asked {place}"), "cut", texts=True)
     own = done.select(F.explode("own").alias("s")).select("s.*").distinct()
     source = done.select(F.explode("asked").alias("s")).select("s.*").distinct()
     if not own.join(source, ["kid", "th", "start", "edges", "sum"], "left_anti").isEmpty():

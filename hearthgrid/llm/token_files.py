@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_path
-from .common import in_arrow, key_and_bytes, query, store, table
+from .common import in_arrow, key_and_bytes, query, store, table, text_batches
 from .wordpieces import public_path, read_tokenizer, splitter
 
 PARTITION_BYTES, END_ID = 32_000_000, 0
@@ -65,7 +65,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
             yield {"value": [np.array(ids + ends + [len(ids), at, width], dtype="<i8").tobytes()[:-1]]}
 
     placed = rows.repartitionByRange(max(1, -(-size // partition_bytes)), "id").sortWithinPartitions("id", "text")
-    in_arrow(placed, encode, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
+    with text_batches(docs.sparkSession):
+        in_arrow(placed, encode, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
 
 
 def parse_token_file(content) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

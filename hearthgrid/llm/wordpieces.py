@@ -46,7 +46,7 @@ def splitter(spec: str) -> "Splitter":
 
 
 class Splitter:
-    REMEMBERED = 300_000
+    REMEMBERED = 200_000
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
