@@ -34,6 +34,7 @@ from .substring_dedup import _blocks, _keyed, _long, _short
 
 LENGTH, GRAM, BLOCK_BYTES = 50, 16, 2_000_000
 ANCHOR_BYTES, CONTEXT_BYTES = 5, 6
+SENT_BYTES, SPLIT = 8_000_000, 16  # stretches held before they are sent; buckets of the second round per bucket of the first
 _TOP = np.uint64(2**64 - 1)
 _SYMBOLS = mixed(np.arange(1, 258, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # 256 byte values and the gap
 
@@ -181,29 +182,38 @@ def _expand(texts: DataFrame, codes: DataFrame, length: int, buckets: int) -> Da
     """Bucket -1: marked window starts of a text (kid, th, blob). Others: stretches that need the suffix order."""
     reach = length - GRAM
 
+    def rows_of(marked, sent):
+        rows = [(-1, *m) for m in marked]
+        for bucket, pieces in sent.items():
+            kid, th, low, parts = zip(*pieces)
+            rows.append((bucket, 0, 0, pack(np.array(kid), np.array(th), np.array(low), np.array([len(p) for p in parts])) + b"".join(parts)))
+        return {c: [r[k] for r in rows] for k, c in enumerate(("bucket", "kid", "th", "blob"))}
+
     def run(batches):
+        marked, sent, held = [], {}, 0
         for b in batches:
-            marked, sent = [], {}
             for kid, th, packed, blob in zip(b["kid"], b["th"], b["packed"], b["codes"]):
                 text = zstandard.decompress(packed)
                 where, code = unpack(blob)
                 starts, least, window, _, _, _ = _anchors([text], length)
                 at = where + starts[0]
-                # windows whose least hash is that of the anchor: one run around it
-                near = window[at[:, None] + np.arange(-reach, 1)] == least[at][:, None]
-                low, high = np.argmax(near, axis=1) - reach, -np.argmax(near[:, ::-1], axis=1)
-                low, high = where + low, where + high
+                low, high = np.empty_like(where), np.empty_like(where)
+                for c in range(0, len(at), 50_000):
+                    s = slice(c, c + 50_000)
+                    # windows whose least hash is that of the anchor: one run around it
+                    near = window[at[s, None] + np.arange(-reach, 1)] == least[at[s]][:, None]
+                    low[s], high[s] = where[s] + np.argmax(near, axis=1) - reach, where[s] - np.argmax(near[:, ::-1], axis=1)
                 one = code == 1
                 if one.any():
                     marked.append((kid, th, pack(low[one], high[one] - low[one] + 1)))
                 for k in np.nonzero(~one)[0].tolist():
-                    to = sent.setdefault(int(least[at[k]] % np.uint64(buckets)), [])
-                    to.append((kid, th, int(low[k]), text[low[k]:high[k] + length]))
-            rows = [(-1, *m) for m in marked]
-            for bucket, pieces in sent.items():
-                kid, th, low, parts = zip(*pieces)
-                rows.append((bucket, 0, 0, pack(np.array(kid), np.array(th), np.array(low), np.array([len(p) for p in parts])) + b"".join(parts)))
-            yield {c: [r[k] for r in rows] for k, c in enumerate(("bucket", "kid", "th", "blob"))}
+                    part = text[low[k]:high[k] + length]
+                    sent.setdefault(int(least[at[k]] % np.uint64(buckets)), []).append((kid, th, int(low[k]), part))
+                    held += len(part)
+            if held >= SENT_BYTES or len(marked) >= 2000:
+                yield rows_of(marked, sent)
+                marked, sent, held = [], {}, 0
+        yield rows_of(marked, sent)
     joined = texts.join(codes, ["kid", "th"]).select("kid", "th", "packed", "codes")
     return in_arrow(joined, run, "bucket int, kid long, th long, blob binary")
 
@@ -295,7 +305,7 @@ def cut_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield {"id": b["id"], "kid": b["kid"], "th": b["th"], "packed": [zstandard.compress(t, 1) for t in b["text"]]}
     texts = in_arrow(keyed, shrink, "id long, kid long, th long, packed binary")
     codes = anchor_codes(keyed, length, block_bytes)
-    open_ = store(_expand(texts, codes, length, buckets), "stretches", texts=True)
+    open_ = store(_expand(texts, codes, length, SPLIT * buckets), "stretches", texts=True)
     marked = open_.filter("bucket < 0").select("kid", "th", "blob").unionByName(marked_windows(open_.filter("bucket >= 0").select("bucket", "blob"), length))
     cut = marked.groupBy("kid", "th").agg(F.collect_list("blob").alias("blobs"))
 
