@@ -67,7 +67,7 @@ def _(spark, sf):
         F.min(F.least("o_totalprice", F.col("o_orderkey").cast("double"))).alias("low"))
 
 
-_PAIRS = "SELECT CAST(o_custkey AS STRING) AS a, CAST(o_custkey % 700 + 5000000 AS STRING) AS b FROM orders WHERE o_orderkey % 4 = 0"
+_PAIRS = "SELECT CAST(o_custkey AS STRING) AS a, CAST(o_custkey % 700 + 5000000 AS STRING) AS b FROM orders"
 
 
 @query("a8_component_rollup", f"""

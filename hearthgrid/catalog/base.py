@@ -99,7 +99,7 @@ LATTICE = f"""
 SELECT id, o, x1, y1, x1 + 50 * ((o % 3) - 1) AS x2, y1 + 50 * (CAST(floor(o / 3e0) AS BIGINT) % 3 - 1) AS y2, 1 AS ags, klasse, objektart
 FROM (SELECT CAST(o_orderkey AS STRING) AS id, o_orderkey AS o, 50 * floor(({_OX}) / 50) AS x1, 50 * floor(({_OY}) / 50) AS y1,
              o_orderpriority AS klasse, o_orderstatus AS objektart FROM orders) q
-WHERE o % 9 <> 4"""
+"""
 
 # Rectangles that tile the plane: municipalities (2500) and postcodes (1250 x 1000).
 AREAS = f"""

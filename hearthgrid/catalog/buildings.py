@@ -9,7 +9,7 @@ from ..operators import spatial
 from ..plans import buildings as B, features as FE
 from ..session import cut_lineage
 from .base import (AREAS, CELLS, MEMBERS, POSTCODES, STATIONS, areas, cells, frame, members, outlines, postcodes, query, stations, table)
-from .scalars import _UNIFORM
+from .scalars import _UNIFORM, use_codes
 
 
 def _store(spark, sf):
@@ -286,5 +286,5 @@ def _(spark, sf):
     ground = m.select(F.col("objectid").alias("building_objectid"), F.lit(710).alias("objectclass_id"), F.col("floor_area").alias("area"),
                       F.lit(None).cast("array<array<array<struct<x:double,y:double,z:double>>>>").alias("geom"))
     census = cells(spark, sf).withColumns({"x_mp": (F.col("cx") * 500 + 250).cast("int"), "y_mp": (F.col("cy") * 500 + 250).cast("int")}).drop("cx", "cy")
-    out = B.enrich_buildings(view, ground, census, postcodes(spark, sf), 42, 3035, 500)
+    out = B.enrich_buildings(view, ground, census, postcodes(spark, sf), use_codes(spark, sf), 42, 3035, 500)
     return out.select("id", "objectid", "ags", "building_use", "building_type", "floor_number", "occupants", "households", "construction_year", "postcode")

@@ -111,7 +111,7 @@ def _(spark, sf):
 
 
 _FOOT = segment_foot_sql("x", "y")
-_PROBE = f"SELECT w.*, m.x, m.y FROM ({WAYS}) w JOIN ({MEMBERS}) m ON m.id = o % 1000"
+_PROBE = f"SELECT w.*, m.x, m.y FROM ({WAYS}) w JOIN ({MEMBERS}) m ON m.id = CAST(floor(o / 10e0) AS BIGINT)"
 
 
 def _probe(spark, sf):

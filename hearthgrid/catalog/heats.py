@@ -120,14 +120,14 @@ def _(spark, sf):
 # Buildings are linked to the series of one user; user 0 .. n have hourly values.
 _RC = f"SELECT objectid AS building_objectid, 0.002e0 + (id % 50) * 0.0001e0 AS resistance, id FROM ({MEMBERS}) m"
 _SPAN = "value < 20 AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-30'"
-_DEMAND = f"""SELECT building_objectid, round(count(value) / resistance * (20 - avg(value)) / 1000, 6) AS demand_kwh, round(max((20 - value) / resistance), 4) AS pmax
-FROM ({_RC}) b JOIN (SELECT DISTINCT user_id FROM events WHERE user_id % 3 <> 0) m ON m.user_id = b.id % 150 JOIN (SELECT user_id, ts, value FROM events WHERE {_SPAN}) e ON e.user_id = m.user_id GROUP BY building_objectid, resistance"""
+_DEMAND = f"""SELECT building_objectid, round(count(value) / resistance * (20 - avg(value)) / 1000, 9) AS demand_kwh, round(max((20 - value) / resistance), 4) AS pmax
+FROM ({_RC}) b JOIN (SELECT DISTINCT user_id FROM events WHERE user_id % 3 <> 0) m ON m.user_id = CAST(floor(b.id / 10e0) AS BIGINT) JOIN (SELECT user_id, ts, value FROM events WHERE {_SPAN}) e ON e.user_id = m.user_id GROUP BY building_objectid, resistance"""
 
 
 def _demand_inputs(spark, sf):
     e = table(spark, sf, "events")
     rc = frame(spark, sf, _RC)
-    links = rc.select(F.col("building_objectid").alias("bld_objectid"), (F.col("id") % 150).alias("ts_metadata_id"))
+    links = rc.select(F.col("building_objectid").alias("bld_objectid"), F.floor(F.col("id") / 10).alias("ts_metadata_id"))
     meta = e.select(F.col("user_id").alias("id")).distinct().withColumn("name", F.when(F.col("id") % 3 != 0, H.TEMPERATURE).otherwise("wind"))
     data = e.select(F.col("user_id").alias("ts_metadata_id"), F.col("ts").alias("time"), "value")
     return rc.select("building_objectid", "resistance"), links, meta, data
@@ -136,7 +136,7 @@ def _demand_inputs(spark, sf):
 def demand(spark, sf, direct: bool = False):
     fn = H.annual_heat_demand_direct if direct else H.annual_heat_demand
     out = fn(*_demand_inputs(spark, sf), 20.0, "2024-01-01", "2024-01-30")
-    return out.select("building_objectid", F.round("demand_kwh", 6).alias("demand_kwh"), F.round("pmax", 4).alias("pmax"))
+    return out.select("building_objectid", F.round("demand_kwh", 9).alias("demand_kwh"), F.round("pmax", 4).alias("pmax"))
 
 
 @query("h7_annual_heat_demand", _DEMAND)

@@ -49,7 +49,7 @@ def _(spark, sf):
     return spatial.points_in_polygons(m.select("id", "pt"), postcodes(spark, sf).select("plz", "plz_geom"), "pt", "plz_geom").select("id", "plz")
 
 
-_CELL_BOX = f"SELECT DISTINCT cx, cy, ags, cx * 500e0 - 200 AS gx1, cy * 500e0 - 200 AS gy1, cx * 500e0 + 300 AS gx2, cy * 500e0 + 300 AS gy2 FROM ({MEMBERS}) q WHERE id % 2 = 0"
+_CELL_BOX = f"SELECT DISTINCT cx, cy, ags, cx * 500e0 - 200 AS gx1, cy * 500e0 - 200 AS gy1, cx * 500e0 + 300 AS gx2, cy * 500e0 + 300 AS gy2 FROM ({MEMBERS}) q"
 
 
 @query("j5_polygon_semi_join", f"""
@@ -139,12 +139,12 @@ def _(spark, sf):
 
 
 @query("j12_preferred_else_nearest", f"""
-SELECT m.id, coalesce(d.id, n.way_id) AS assigned_way_id FROM ({MEMBERS}) m LEFT JOIN (SELECT id, o FROM ({WAYS}) w WHERE klasse <> 'connection_line' AND o % 4 = 0) d ON d.o = m.id * 2
+SELECT m.id, coalesce(d.id, n.way_id) AS assigned_way_id FROM ({MEMBERS}) m LEFT JOIN (SELECT id, o FROM ({WAYS}) w WHERE klasse <> 'connection_line') d ON d.o = m.id * 2
 LEFT JOIN (SELECT id, way_id FROM (SELECT m.id, w.id AS way_id, row_number() OVER (PARTITION BY m.id ORDER BY {_SEG}, w.id) AS rn
- FROM ({MEMBERS}) m JOIN ({WAYS}) w ON m.ags = w.ags AND o % 4 = 0 AND x BETWEEN least(x1, x2) - 2000 AND greatest(x1, x2) + 2000 WHERE {_SEG} <= 2000 AND {_SEG} > 0.1) q WHERE rn = 1) n ON n.id = m.id""")
+ FROM ({MEMBERS}) m JOIN ({WAYS}) w ON m.ags = w.ags AND x BETWEEN least(x1, x2) - 2000 AND greatest(x1, x2) + 2000 WHERE {_SEG} <= 2000 AND {_SEG} > 0.1) q WHERE rn = 1) n ON n.id = m.id""")
 def _(spark, sf):
     b = members(spark, sf).withColumn("address_street_id", F.col("id") * 2)
-    return R.assign_way(b, ways(spark, sf).filter("o % 4 = 0")).select("id", "assigned_way_id")
+    return R.assign_way(b, ways(spark, sf)).select("id", "assigned_way_id")
 
 
 @query("j13_or_equi_join_nearest", f"""

@@ -74,8 +74,8 @@ def _(spark, sf):
 
 
 @query("r6_filter_ways_topology", f"""
-WITH c AS (SELECT l.id, {_LEN} AS len, coalesce(k, 0) AS k FROM ({LATTICE}) l LEFT JOIN (SELECT id, count(DISTINCT n) AS k FROM ({_END_PAIRS}) p GROUP BY id) n ON n.id = l.id)
-SELECT id AS old_way_id, NULL::VARCHAR AS new_way_id, round(len, 6) AS old_length_geo, CASE WHEN k = 0 THEN 'isolated' ELSE 'short' END AS filter_type, CAST(k AS INTEGER) AS connection_count FROM c WHERE k = 0 OR len < 60""")
+WITH c AS (SELECT l.id, {_LEN} AS len, coalesce(k, 0) AS k, heir FROM ({LATTICE}) l LEFT JOIN (SELECT id, count(DISTINCT n) AS k, min(n) AS heir FROM ({_END_PAIRS}) p GROUP BY id) n ON n.id = l.id)
+SELECT id AS old_way_id, CASE WHEN len = 0 THEN heir END AS new_way_id, round(len, 6) AS old_length_geo, CASE WHEN len = 0 THEN 'loop' WHEN k = 0 THEN 'isolated' ELSE 'short' END AS filter_type, CAST(k AS INTEGER) AS connection_count FROM c WHERE k = 0 OR len < 60""")
 def _(spark, sf):
     w = ways(spark, sf, LATTICE).withColumn("length_geo", G.length("geom"))
     return R.filter_ways_topology(w, 60.0)[1].withColumn("old_length_geo", F.round("old_length_geo", 6))
@@ -132,9 +132,9 @@ _P0, _P1 = box_span("x1", "y1", "x2", "y2", "px1", "py1", "px2", "py2")
 
 @query("r9_assign_way_postcode", f"""
 SELECT w.id, CAST(plz AS INTEGER) AS postcode FROM ({WAYS}) w LEFT JOIN (SELECT id, plz FROM (SELECT id, plz, row_number() OVER (PARTITION BY id ORDER BY ({_P1} - {_P0}) * {_LEN} DESC, plz) AS rn
- FROM ({WAYS}) w JOIN ({POSTCODES}) p ON least(x1, x2) <= px2 AND greatest(x1, x2) >= px1 AND least(y1, y2) <= py2 AND greatest(y1, y2) >= py1 WHERE {_P0} <= {_P1}) q WHERE rn = 1) b ON b.id = w.id WHERE o % 81 <> 40 AND o % 61 <> 30""")
+ FROM ({WAYS}) w JOIN ({POSTCODES}) p ON least(x1, x2) <= px2 AND greatest(x1, x2) >= px1 AND least(y1, y2) <= py2 AND greatest(y1, y2) >= py1 WHERE {_P0} <= {_P1}) q WHERE rn = 1) b ON b.id = w.id""")
 def _(spark, sf):
-    return R.assign_way_postcode(ways(spark, sf).filter("o % 81 <> 40 and o % 61 <> 30"), postcodes(spark, sf)).select("id", "postcode")
+    return R.assign_way_postcode(ways(spark, sf), postcodes(spark, sf)).select("id", "postcode")
 
 
 @query("r10_build_nodes", f"SELECT px, py, list(DISTINCT id ORDER BY id) AS way_ids, CAST(1 AS INTEGER) AS ags FROM ({_ENDS}) e GROUP BY px, py")

@@ -82,29 +82,15 @@ def resolution_meters(c) -> Column:
     return F.when(F.endswith(col(c), F.lit("km")), n * 1000).otherwise(n)
 
 
-# Fixed ranges of the public building function code list (four digit numbers), by use.
-USE_RANGES = (
-    ("Residential", ((1000, 1313), (2310, 2320))),
-    ("Commercial", ((2000, 2212), (2700, 2742))),
-    ("Public", ((2213, 2220), (2400, 2623), (3000, 3290), (9998, 9998))),
-)
-
-
-def classify_use(code) -> Column:
-    """Use of a building from its code ``31001_nnnn``; NULL stays NULL, unknown codes raise."""
-    code = col(code)
-    number = F.nullif(F.regexp_extract(code, r"^31001_(\d{4})$", 1), F.lit("")).try_cast("int")
-    out = F.when(code.isNull(), F.lit(None).cast("string"))
-    for use, ranges in USE_RANGES:
-        out = out.when(reduce(lambda a, b: a | b, [number.between(lo, hi) for lo, hi in ranges]), F.lit(use))
-    return out.otherwise(F.raise_error(F.concat(F.lit("unknown building function code: "), code)).cast("string"))
-
-
 def classify_use_by_list(df: DataFrame, code: str, code_list: DataFrame) -> DataFrame:
-    """The same with the exact list as a table (code, building_use); codes not listed raise."""
+    """Column building_use from a code list (code, building_use); a NULL code stays NULL, codes not listed raise.
+
+    A code listed twice takes the first use in order.
+    """
     from ..operators.tables import lookup
 
-    out = df.join(lookup(code_list.withColumnRenamed("code", code)), code, "left")
+    listed = code_list.filter("code is not null").groupBy(F.col("code").alias(code)).agg(F.min("building_use").alias("building_use"))
+    out = df.join(lookup(listed), code, "left")
     return out.withColumn("building_use", F.when(
         F.col(code).isNull() | F.col("building_use").isNotNull(), F.col("building_use")
     ).otherwise(F.raise_error(F.concat(F.lit("unknown building function code: "), F.col(code))).cast("string")))

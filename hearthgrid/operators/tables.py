@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -57,35 +59,33 @@ def eav_pivot(properties: DataFrame, key: list[str], wanted: dict[str, tuple[str
         F.max(F.when(F.col("name") == name, F.col(value))).alias(out) for out, (name, value) in wanted.items()])
 
 
-MEDIAN_VALUES = 1_000_000
-
+def same(left: list[str], right: list[str]) -> Column:
+    """Equality of key columns in which NULL equals NULL, as in GROUP BY."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
 
-def median_with_support(df: DataFrame, keys: list[str], value: Column, min_count: int) -> DataFrame:
-    """Exact median per group, kept only with enough samples.
 
-    Equal values are counted first. Groups of few distinct values then need little memory; when some
-    group has very many, the middle rows are found by their position instead, spread over tasks.
-    """
-    from ..session import cut_lineage
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows with the columns of their group; a NULL key is a group of its own."""
+    named = groups.withColumnsRenamed({k: f"__g_{k}" for k in keys})
+    return rows.join(named, same(keys, [f"__g_{k}" for k in keys]), how).drop(*[f"__g_{k}" for k in keys])
 
-    counted = cut_lineage(df.groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("__n")))
-    widest = counted.groupBy(*keys).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    if widest <= MEDIAN_VALUES:
-        return counted.groupBy(*keys).agg(
-            F.percentile("__v", F.lit(0.5), F.col("__n")).alias("median"), F.sum("__n").alias("sample_count")
-        ).filter(F.col("sample_count") >= min_count)
-    return _median_by_position(counted, keys, min_count)
 
+def median_with_support(df: DataFrame, keys: list[str], value: Column, min_count: int) -> DataFrame:
+    """Exact median per group, kept only with enough samples; a NULL key is a group of its own.
 
-def _median_by_position(counted: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    sizes = counted.groupBy(*keys).agg(
+    Equal values are counted first, then the middle rows are found by their position, so a group of any
+    size spreads over tasks. NULL values count as samples but not for the median; a group without other
+    values has the median NULL.
+    """
+    counted = df.groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("__n"))
+    placed = rank_within(counted, keys, [F.col("__v").isNull(), F.col("__v")], "__last", weight="__n")
+    sizes = placed.groupBy(*keys).agg(
         F.sum("__n").alias("sample_count"), F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).alias("__m"))
-    placed = rank_within(counted.filter("__v is not null"), keys, [F.col("__v")], "__last", weight="__n")
     low, high = F.floor((F.col("__m") + 1) / 2), F.floor((F.col("__m") + 2) / 2)
     first = F.col("__last") - F.col("__n") + 1
-    middle = placed.join(sizes, keys).filter((first <= high) & (F.col("__last") >= low)).groupBy(*keys).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    return sizes.join(middle, keys, "left").filter(F.col("sample_count") >= min_count).select(
+    middle = F.when(F.col("__v").isNotNull() & (first <= high) & (F.col("__last") >= low), F.col("__v"))
+    return join_groups(placed, sizes.filter(F.col("sample_count") >= min_count), keys).groupBy(*keys).agg(
+        F.min(middle).alias("__lo"), F.max(middle).alias("__hi"), F.first("sample_count").alias("sample_count")).select(
         *keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * 0.5).alias("median"), "sample_count")
 
 
@@ -106,27 +106,24 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def interval_or_nearest(rows: DataFrame, intervals: DataFrame, on: list[str], year: str, row_key: list[str],
+def interval_or_nearest(rows: DataFrame, intervals: DataFrame, on: list[str], year: str, row_key: list[str] | None = None,
                         start: str = "start_year", end: str = "end_year") -> DataFrame:
-    """The interval that holds the year, else the closest one (ties: earlier start).
+    """The interval that holds the year, else the closest one (ties: earlier start, then end, then the rest).
 
-    A small interval table is broadcast with one array per key and searched inside the row. A large
-    one is joined row by row and reduced per row key.
+    The choice depends on the key and the year alone, so it is made once per distinct pair and joined
+    back; repeated rows stay repeated. Rows whose key is NULL or has no interval drop out, as in a join.
+    A NULL year takes the earliest interval.
     """
-    payload = [c for c in intervals.columns if c not in on]
-
-    def gap(s, e):
-        return F.greatest(s - F.col(year), F.col(year) - e, F.lit(0))
+    from ..session import cut_lineage
 
-    if is_small(intervals):
-        packed = intervals.groupBy(*on).agg(F.collect_list(F.struct(*payload)).alias("__spans"))
-        best = F.array_min(F.transform("__spans", lambda v: F.struct(
-            gap(v[start], v[end]).alias("g"), v[start].alias("s"), v[end].alias("e"), v.alias("v"))))["v"]
-        return rows.join(F.broadcast(packed), on).withColumn("__m", best).select(*rows.columns, "__m.*")
-    rest = [c for c in rows.columns if c not in row_key]
-    joined = rows.join(intervals, on)
-    return joined.groupBy(*row_key).agg(F.min_by(
-        F.struct(*rest, *payload), F.struct(gap(F.col(start), F.col(end)), start, end)).alias("__m")).select(*row_key, "__m.*")
+    payload = [c for c in intervals.columns if c not in on]
+    pairs = rows.select(*on, F.col(year).alias("__year")).distinct()
+    gap = F.greatest(F.col(start) - F.col("__year"), F.col("__year") - F.col(end), F.lit(0))
+    best = cut_lineage(pairs.join(intervals, on).groupBy(*on, "__year").agg(F.min_by(
+        F.struct(*payload), F.struct(gap.alias("g"), F.col(start).alias("s"), F.col(end).alias("e"), F.struct(*payload).alias("p"))).alias("__m")))
+    named = best.withColumnsRenamed({k: f"__g_{k}" for k in on})
+    found = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__g_{k}") for k in on]) & F.col(year).eqNullSafe(F.col("__year"))
+    return rows.join(named, found).select(*rows.columns, "__m.*")
 
 
 def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str = "rank",
@@ -135,7 +132,8 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str
 
     Rows are range partitioned by (group, order), so a large group spreads over many tasks; each
     range is sorted on its own, and a small aggregate adds what the same group has in earlier ranges.
-    The ranges are fixed by a checkpoint, because their bounds come from a sample.
+    The ranges are fixed by a checkpoint, because their bounds come from a sample. A NULL group is a
+    group like any other.
     """
     from ..session import cut_lineage
 
@@ -149,7 +147,7 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str
     # one row per group and range: at most as many rows per group as there are ranges
     before = fixed.groupBy(*group, "__part").agg(size.alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(
         Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return fixed.withColumn("__here", here).join(before, [*group, "__part"]).withColumn(
+    return join_groups(fixed.withColumn("__here", here), before, [*group, "__part"]).withColumn(
         name, F.col("__here") + F.col("__before")).drop("__here", "__before", "__part", "__ord")
 
 

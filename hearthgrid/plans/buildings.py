@@ -412,15 +412,15 @@ def rebalance_all(b: DataFrame, targets: DataFrame, cell: list[str]) -> DataFram
     return out
 
 
-def enrich_buildings(view: DataFrame, surfaces: DataFrame, census: DataFrame, postcodes: DataFrame,
+def enrich_buildings(view: DataFrame, surfaces: DataFrame, census: DataFrame, postcodes: DataFrame, use_codes: DataFrame,
                      seed: int = 42, source_srid: int = 3035, cell_size: int = 100) -> DataFrame:
     """The whole enrichment: from flat buildings and surfaces to typed, populated buildings.
 
     ``view``: feature_id, objectid, ags, building_function_code, height, storeysaboveground, street,
-    house_number, geom, centroid. ``census``: x_mp, y_mp and all census columns.
+    house_number, geom, centroid. ``census``: x_mp, y_mp and all census columns. ``use_codes``: the list
+    of building function codes (code, building_use); a building with a code that is not listed raises.
     """
-    base = select_buildings(view).withColumns({
-        "building_use": S.classify_use("building_function_code"),
+    base = S.classify_use_by_list(select_buildings(view), "building_function_code", use_codes).withColumns({
         "building_use_id": F.col("building_function_code"), "id": F.col("feature_id")})
     b = drop_low(base).join(ground_area(fill_surface_area(surfaces)), "objectid", "left")
     b = drop_small(b).withColumns({"x": F.col("centroid.x"), "y": F.col("centroid.y")})

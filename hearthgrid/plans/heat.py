@@ -92,7 +92,7 @@ def harmonize_quota(b: DataFrame, plans: dict[str, Refurbishment], seed, key: st
     ranked = tables.rank_within(
         done, ["ags", "component"],
         [S.hash_uniform(F.concat_ws(":", F.lit(str(seed)), F.lit("quota"), F.col("component")), key), F.col(key)])
-    surplus = ranked.join(totals, ["ags", "component"]).filter("rank > target").groupBy(key).agg(
+    surplus = tables.join_groups(ranked, totals, ["ags", "component"]).filter("rank > target").groupBy(key).agg(
         F.collect_set("component").alias("__back"))
     out = b.join(surplus, key, "left")
     return out.withColumns({n: F.when(

@@ -90,14 +90,23 @@ def test_rank_within_hot_group(spark):
     assert (got["rank"].values == want).all()
 
 
-def test_interval_lookup_paths_agree(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, i % 3, 1890 + i) for i in range(60)], "id int, k int, year int")
-    spans = spark.createDataFrame([(k, s, s + 6, f"{k}:{s}") for k in range(3) for s in range(1900, 1940, 10)], "k int, start_year int, end_year int, name string")
-    small = tables.interval_or_nearest(rows, spans, ["k"], "year", ["id"]).select("id", "name")
-    monkeypatch.setattr(tables, "is_small", lambda *a, **k: False)
-    large = tables.interval_or_nearest(rows, spans, ["k"], "year", ["id"]).select("id", "name")
-    assert sorted(small.collect()) == sorted(large.collect())
-    assert dict(small.collect())[0] == "0:1900"
+def test_interval_lookup(spark):
+    """Repeated rows stay, ties go to the earlier start, a NULL key drops out, a NULL year takes the earliest."""
+    rows = [(i % 50, i % 3 if i % 7 else None, 1890 + i if i % 11 else None) for i in range(60)] + [(1, 1, 1891)] * 2
+    spans = [(k, s, s + 6, f"{k}:{s}") for k in range(3) for s in range(1900, 1940, 10)] + [(0, 1900, 1906, "0:0")]
+    got = tables.interval_or_nearest(
+        spark.createDataFrame(rows, "id int, k int, year int"), spark.createDataFrame(spans, "k int, start_year int, end_year int, name string"),
+        ["k"], "year").select("id", "k", "year", "name").collect()
+
+    def nearest(k, year):
+        return min((max(s - year, year - e, 0) if year is not None else 0, s, e, n) for q, s, e, n in spans if q == k)[3]
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, k, y, nearest(k, y))) for i, k, y in rows if k is not None)
+
+
+def test_rank_with_null_group(spark):
+    df = spark.createDataFrame([(g, v) for g in (None, "a") for v in range(9)], "g string, v int")
+    got = tables.rank_within(df, ["g"], [F.col("v")], "r").collect()
+    assert len(got) == 18 and all(r.r == r.v + 1 for r in got)
 
 
 def test_upserts(spark):
@@ -120,15 +129,14 @@ def test_clip_concave_area_with_hole(spark):
     assert np.isclose(got[0], 75 - 1) and 1 not in got and np.isclose(got[2], 2) and np.isclose(got[3], 3) and 4 not in got
 
 
-def test_median_paths_agree(spark, monkeypatch):
-    rows = [("hot" if i % 3 else f"g{i % 4}", None if i % 11 == 0 else float((i * 7919) % 101)) for i in range(1001)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    want = {k: float(np.median([v for q, v in rows if q == k and v is not None])) for k in {r[0] for r in rows}}
-    for limit in (10**6, 0):
-        monkeypatch.setattr(tables, "MEDIAN_VALUES", limit)
-        got = {r.g: (r.median, r.sample_count) for r in tables.median_with_support(df, ["g"], F.col("v"), 5).collect()}
-        assert {k: v[0] for k, v in got.items()} == want
-        assert sum(v[1] for v in got.values()) == 1001
+def test_median(spark):
+    rows = [(None if i % 5 == 0 else "hot" if i % 3 else f"g{i % 4}", None if i % 11 == 0 else float((i * 7919) % 101)) for i in range(1001)]
+    rows += [("none", None)] * 6 + [("few", 1.0)] * 4
+    got = {r.g: (r.median, r.sample_count) for r in tables.median_with_support(
+        spark.createDataFrame(rows, "g string, v double"), ["g"], F.col("v"), 5).collect()}
+    want = {k: (float(np.median(v)) if (v := [x for q, x in rows if q == k and x is not None]) else None, sum(q == k for q, _ in rows))
+            for k in {r[0] for r in rows} if k != "few"}
+    assert got == want
 
 
 def test_clusters_of_a_crowded_place(spark):

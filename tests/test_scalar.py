@@ -20,10 +20,14 @@ def test_street_with_umlaut(spark):
 
 
 def test_unknown_use_raises(spark):
-    assert first(spark, a=S.classify_use(F.lit("31001_2310"))).a == "Residential"
-    assert first(spark, a=S.classify_use(F.lit(None).cast("string"))).a is None
+    codes = spark.createDataFrame([("31001_2310", "Residential"), ("31001_2310", "Residential"), ("31001_3020", "Public")], "code string, building_use string")
+
+    def use(*listed):
+        rows = spark.createDataFrame([(c,) for c in listed], "c string")
+        return sorted(str(r.building_use) for r in S.classify_use_by_list(rows, "c", codes).collect())
+    assert use("31001_2310", None, "31001_3020") == ["None", "Public", "Residential"]
     with pytest.raises(Exception, match="unknown building function code"):
-        first(spark, a=S.classify_use(F.lit("31001_0000")))
+        use("31001_3001")
 
 
 def test_weighted_choice(spark):
