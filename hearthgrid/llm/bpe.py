@@ -19,7 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_arrow, key_and_bytes, query, store, table
+from .common import in_arrow, key_and_bytes, query, table
 from .wordpieces import public_path, read_tokenizer, splitter
 
 BLOCK_BYTES = 8_000_000
@@ -239,4 +239,4 @@ def decode_documents(encoded: DataFrame, tokenizer_file: str, digests: bool = Fa
 def op7(spark, sf_dir):
     file = public_path("word_bpe_49k.json")
     done = decode_documents(encode_documents(table(spark, sf_dir, "documents"), file), file, digests=True)
-    return store(done, "token-digests", texts=True).withColumnRenamed("id", "doc_id")
+    return done.withColumnRenamed("id", "doc_id")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 UNPACKED_BYTES = 4_000_000
 
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,7 +24,10 @@ ORACLES: dict[str, str] = {}
 def query(name: str, oracle: str | None = None):
     """Register a query over the driver tables."""
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            prepare(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle.strip()
         return fn
@@ -32,23 +38,19 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def text_batches(spark, rows: int = 1000):
-    """Within the block, jobs hand rows to Python in batches that suit texts: a task holds few MB of them at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def prepare(spark) -> None:
+    """Send the package to the executors, and let tasks hand texts to Python a few MB at a time.
+
+    Spark's own bound for a batch is 64 MB, which a worker holds several times over.
+    """
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(UNPACKED_BYTES))
 
 
-def store(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
+def store(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: the plan below is done once and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
-    with text_batches(df.sparkSession) if texts else nullcontext():
-        df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +63,22 @@ def key_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Da
                        F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"), *more)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, batch.num_rows * UNPACKED_BYTES // max(batch.nbytes, UNPACKED_BYTES))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def give_back() -> None:
+    """Hand free memory back to the system at the end of a task: workers live on and serve other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow over column dicts: lists of Python values or numpy arrays in, the same out.
 
@@ -74,21 +92,22 @@ def in_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
     def run(batches):
         def read():
             for b in batches:
-                step = max(1, b.num_rows * UNPACKED_BYTES // max(b.nbytes, UNPACKED_BYTES))
-                for at in range(0, b.num_rows, step):
-                    part = b.slice(at, step)
-                    yield {n: part.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+                for part in slices(b):
+                    yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
         for out in fn(read()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        give_back()
     return df.mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, text_col: str, wanted: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """Rows of which the whole text (null: empty) is wanted; all columns pass through untouched."""
     def run(batches):
-        for b in batches:
-            texts = [(t or "").encode() for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            yield b.filter(pa.array(np.asarray(wanted(texts), dtype=bool)))
+        for batch in batches:
+            for b in slices(batch):
+                texts = [(t or "").encode() for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+                yield b.filter(pa.array(np.asarray(wanted(texts), dtype=bool)))
+        give_back()
     return df.mapInArrow(run, df.schema)
 
 

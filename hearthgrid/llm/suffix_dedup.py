@@ -305,7 +305,7 @@ def cut_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield {"id": b["id"], "kid": b["kid"], "th": b["th"], "packed": [zstandard.compress(t, 1) for t in b["text"]]}
     texts = in_arrow(keyed, shrink, "id long, kid long, th long, packed binary")
     codes = anchor_codes(keyed, length, block_bytes)
-    open_ = store(_expand(texts, codes, length, SPLIT * buckets), "stretches", texts=True)
+    open_ = store(_expand(texts, codes, length, SPLIT * buckets), "stretches")
     marked = open_.filter("bucket < 0").select("kid", "th", "blob").unionByName(marked_windows(open_.filter("bucket >= 0").select("bucket", "blob"), length))
     cut = marked.groupBy("kid", "th").agg(F.collect_list("blob").alias("blobs"))
 
