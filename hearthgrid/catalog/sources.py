@@ -209,12 +209,13 @@ def _(spark, sf):
 SELECT 'loader' AS tool, CAST(n_nationkey AS VARCHAR) AS ags, count(c_custkey) AS n, CAST(1 AS BIGINT) AS ids
 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""")
 def _(spark, sf):
-    audit = table(spark, sf, "nation").select(F.lit("loader").alias("tool"), F.col("n_nationkey").cast("string").alias("ags"),
-                                             F.current_timestamp().alias("modified_at"))
-    audit = audit.withColumn("id", writers.changelog_id(F.col("tool"), F.col("ags"), F.col("modified_at")))
-    c = table(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("ags"), "c_custkey")
-    return audit.join(c, "ags", "left").groupBy("tool", "ags").agg(
-        F.count("c_custkey").alias("n"), F.count_distinct("id").alias("ids"))
+    # one run, stamped on all rows it loads
+    entry = writers.begin_changelog(spark, "loader")
+    rows = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+        F.col("n_nationkey").cast("string").alias("ags"), "c_custkey")
+    audit = entry.select(F.col("id").alias("changelog_id"), "tool")
+    return writers.stamp(rows, entry).join(audit, "changelog_id").groupBy("tool", "ags").agg(
+        F.count("c_custkey").alias("n"), F.count_distinct("changelog_id").alias("ids"))
 
 
 _POINT_SQL = f"SELECT id, x + 0.5 AS x, y, segment FROM ({MEMBERS}) m"

@@ -134,6 +134,11 @@ def to_wkb(g, kind: str) -> Column:
         F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
 
 
+def stable_geom_id(g, kind: str) -> Column:
+    """md5 of the exact binary form: equal geometries share it, any other coordinate changes it."""
+    return F.md5(to_wkb(g, kind))
+
+
 def from_wkb(blob, kind: str) -> Column:
     """Inverse of :func:`to_wkb` (two dimensional, either byte order)."""
     flat = "parts array<int>, rings array<int>, xs array<double>, ys array<double>"

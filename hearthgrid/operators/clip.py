@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
+from ..session import cut_lineage
 from . import spatial
 
 
@@ -115,9 +116,9 @@ def clip_points(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFr
 
 
 def clip_lines(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFrame:
-    """One row per piece of a line inside an area."""
+    """One row per piece of a line inside an area; equal areas count once."""
     pairs = spatial.spatial_join(
-        spatial.with_line_box(df, geom), spatial.with_polygon_box(areas.select(poly), poly),
+        spatial.with_line_box(df, geom), spatial.with_polygon_box(areas.select(poly).distinct(), poly),
         lambda l, r: G.intersects_line_polygon(l(geom), r(poly)))
     return pairs.withColumn(geom, F.explode(G.clip_line(geom, poly))).drop(poly, *spatial.BOX)
 
@@ -125,10 +126,12 @@ def clip_lines(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFra
 def clip_multi(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFrame:
     """Collections cut to the areas. Features inside one area pass as they are; the rest is cut.
 
-    The parts of a cut feature tile its intersection; their common edges are not dissolved.
+    The parts of a cut feature tile its intersection; their common edges are not dissolved. Equal rows
+    stay apart: rows get an id once, fixed by a checkpoint. Equal areas count once.
     """
     cols = [c for c in df.columns if c != geom]
-    keyed = df.withColumn("__id", F.xxhash64(*df.columns))
+    areas = areas.select(poly).distinct()
+    keyed = cut_lineage(df.withColumn("__id", F.monotonically_increasing_id()))
     parts = keyed.select("__id", F.posexplode(geom).alias("__i", "__p")).withColumn("__pid", F.struct("__id", "__i"))
     boxed = spatial.with_polygon_box(parts, "__p")
     area_rows = spatial.with_polygon_box(areas.select(F.col(poly).alias("__a")), "__a")

@@ -17,13 +17,29 @@ def _settled(edges: DataFrame) -> bool:
         "ups > 1 or (ups = 1 and low = 0)").isEmpty()
 
 
+HEAVY_EDGES, HEAVY_SHARE = 100_000, 1000
+
+
+def _with_minimum(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with the m of their u, from low (u, m, n = edges of u).
+
+    An aggregate on the key of a join cannot be split by adaptive execution, so heavy nodes take
+    another way: fewer than ``HEAVY_SHARE`` nodes can hold more than that part of the edges each.
+    """
+    if total < HEAVY_EDGES:  # no node is heavy
+        return edges.join(low.select("u", "m"), "u")
+    heavy = F.broadcast(low.filter(F.col("n") > total / HEAVY_SHARE).select("u", "m"))
+    light = low.filter(F.col("n") <= total / HEAVY_SHARE).select("u", "m")
+    return edges.join(heavy.select("u"), "u", "left_anti").join(light, "u").unionByName(edges.join(heavy, "u"))
+
+
 def connected_components(edges: DataFrame, source: str = "source", target: str = "target",
                          max_rounds: int = 100) -> DataFrame:
     """Columns node, component; the label is the smallest node of the component.
 
     Alternating large-star / small-star rounds: O(log n) rounds even on long chains. Minima are
-    partial aggregates, and the joins back to the edges are plain equi-joins that AQE can split
-    when one node holds a large share of the edges.
+    partial aggregates. Nodes with more than a thousandth of all edges are at most a few thousand; their
+    minima are broadcast, and only the edges of other nodes are shuffled to meet theirs.
     """
     # computed once: the rounds and the final node list both start from here
     base = cut_lineage(edges.select(F.col(source).alias("u"), F.col(target).alias("v")).filter(
@@ -36,11 +52,12 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
             break
         # large star: every larger neighbour of u points to the smallest neighbour of u
         both = current.selectExpr("explode(array(struct(u, v), struct(v AS u, u AS v))) AS e").select("e.u", "e.v")
-        low = both.groupBy("u").agg(F.expr("least(u, min(v)) AS m"))
-        star = both.filter("v > u").join(low, "u").selectExpr("v AS u", "m AS v").distinct()
+        size = current.count()
+        low = both.groupBy("u").agg(F.expr("least(u, min(v)) AS m"), F.expr("count(*) AS n"))
+        star = _with_minimum(both.filter("v > u"), low, 2 * size).selectExpr("v AS u", "m AS v").distinct()
         # small star: smaller neighbours of u, and u itself, point to the smallest of them
-        low = star.groupBy("u").agg(F.expr("min(v) AS m"))
-        star = star.join(low, "u").selectExpr(
+        low = star.groupBy("u").agg(F.expr("min(v) AS m"), F.expr("count(*) AS n"))
+        star = _with_minimum(star, low, size).selectExpr(
             "explode(array(struct(v AS u, m AS v), struct(u, m AS v))) AS e").select("e.u", "e.v").filter("u <> v").distinct()
         current = cut_lineage(star)
     else:

@@ -154,3 +154,19 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], name: str
 def outside_range(c: Column, low) -> Column:
     """Rows to keep after a DELETE .. WHERE c < low: NULL stays."""
     return ~F.coalesce(c < low, F.lit(False))
+
+
+def page(df: DataFrame, columns: list[str], order: list[str], limit: int = 100, offset: int = 0, equal: dict | None = None,
+         above: dict | None = None, below: dict | None = None, tolerances: dict[str, float] | None = None) -> DataFrame:
+    """One page of a filtered table in a stated order.
+
+    ``equal``, ``above`` and ``below`` filter by column before the page is cut and reach the scan;
+    ``tolerances`` maps line columns to a tolerance of simplification and is applied to the rows of the page alone.
+    """
+    from ..functions.text import simplify
+
+    for names, test in ((equal, lambda c, v: c.eqNullSafe(F.lit(v))), (above, lambda c, v: c > F.lit(v)), (below, lambda c, v: c < F.lit(v))):
+        for name, value in (names or {}).items():
+            df = df.filter(test(F.col(name), value))
+    out = df.orderBy(*order).offset(offset).limit(limit).select(*columns)
+    return out.withColumns({c: simplify(c, t) for c, t in tolerances.items()}) if tolerances else out

@@ -38,13 +38,11 @@ def stamp(df: DataFrame, entry: DataFrame) -> DataFrame:
 def write_partition(df: DataFrame, path: str, key: str | list[str], rows_per_file: int = 5_000_000) -> None:
     """Replace the partitions that ``df`` holds; others stay.
 
-    Rows of one key are spread over several tasks by a hash of the whole row, so that a key with a
-    large share of the rows does not pass one task; ``rows_per_file`` bounds the files.
+    The rows are rebalanced by key: adaptive execution joins small keys and splits large ones by size,
+    so that no key passes a single task; ``rows_per_file`` bounds the files.
     """
     keys = [key] if isinstance(key, str) else key
-    others = [c for c in df.columns if c not in keys]
-    spread = F.pmod(F.xxhash64(*others), F.lit(32)) if others else F.lit(0)
-    (df.repartition(*keys, spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).parquet(path))
 
 
@@ -57,9 +55,9 @@ def timeseries_long(wide: DataFrame, meta: DataFrame, columns: dict[str, str], o
 
 
 def write_timeseries(long: DataFrame, path: str) -> None:
-    """Fact table partitioned by month and sorted by series inside the files."""
+    """Fact table partitioned by month, rebalanced by size, and sorted by series inside the files."""
     part = long.withColumn("month", F.date_format("time", "yyyy-MM"))
-    (part.repartition("month", F.pmod(F.xxhash64("ts_metadata_id"), F.lit(32))).sortWithinPartitions("month", "ts_metadata_id", "time")
+    (part.hint("rebalance", "month").sortWithinPartitions("month", "ts_metadata_id", "time")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
 
 

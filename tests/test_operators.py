@@ -152,3 +152,33 @@ def test_clusters_of_a_crowded_place(spark):
             break
         label = new
     assert len(got) == len(pts) and got.component.nunique() == len(set(label))
+
+
+def test_components_with_heavy_nodes(spark, monkeypatch):
+    """The way of heavy nodes gives the same components."""
+    monkeypatch.setattr(graph, "HEAVY_EDGES", 1)
+    monkeypatch.setattr(graph, "HEAVY_SHARE", 10)
+    rng = np.random.default_rng(2)
+    edges = [(0, int(k)) for k in range(1, 300)] + [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 200, (150, 2))] + [(2000, 2000)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "source long, target long")).collect()}
+    label = {n: n for e in edges for n in e}
+    for _ in range(300):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
+def test_page(spark):
+    df = spark.createDataFrame([(i, i % 3 if i % 5 else None, [(0.0, 0.0), (1.0, 0.01), (2.0, 0.0)]) for i in range(30)],
+                               "id int, k int, line array<struct<x:double,y:double>>")
+    got = tables.page(df, ["id", "line"], ["id"], 4, 2, equal={"k": 1}, above={"id": 3}, below={"id": 28}, tolerances={"line": 0.1}).collect()
+    assert [r.id for r in got] == [i for i in range(4, 28) if i % 5 and i % 3 == 1][2:6] and all(len(r.line) == 2 for r in got)
+    assert [r.id for r in tables.page(df, ["id"], ["id"], 2, equal={"k": None}).collect()] == [0, 5]
+
+
+def test_clip_keeps_equal_rows_and_counts_equal_areas_once(spark):
+    area = spark.range(2).select(F.array(F.array(*[G.make_point(F.lit(x), F.lit(y)) for x, y in (
+        (0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0))])).alias("a"))
+    layer = spark.createDataFrame([(1,), (1,)], "id int").select("id", F.array(G.make_box(F.lit(5.0), F.lit(0.0), F.lit(15.0), F.lit(10.0))).alias("g"))
+    got = [r.a for r in clip.clip_multi(layer, "g", area, "a").select(G.area_multi("g").alias("a")).collect()]
+    assert np.allclose(got, [50.0, 50.0])
