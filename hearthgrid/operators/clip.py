@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geometry as G
 from ..session import cut_lineage
 from . import spatial
+from .graph import connected_components
 
 
 def _trapezoids(segs: np.ndarray) -> list[tuple[float, ...]]:
@@ -57,6 +58,70 @@ def convex_pieces(areas: DataFrame, poly: str, key: str | None = None) -> DataFr
         "xmin": F.col("x0"), "xmax": F.col("x1"), "ymin": F.least("b0", "b1"), "ymax": F.greatest("t0", "t1")})
 
 
+_SIDES = ["x0", "x1", "b0", "b1", "t0", "t1"]
+
+
+def _at(x: np.ndarray, piece: np.ndarray, low: int) -> np.ndarray:
+    """Height of the bottom (low = 2) or top (4) of pieces at x."""
+    return piece[:, low] + (piece[:, low + 1] - piece[:, low]) * (x - piece[:, 0]) / (piece[:, 1] - piece[:, 0])
+
+
+def _union(pieces: np.ndarray) -> list[tuple[float, ...]]:
+    """Disjoint trapezoids over the same points: between two neighbouring ends or crossings no sides cross."""
+    lines = np.concatenate([pieces[:, [0, 1, 2, 3]], pieces[:, [0, 1, 4, 5]]])
+    slope = (lines[:, 3] - lines[:, 2]) / (lines[:, 1] - lines[:, 0])
+    level = lines[:, 2] - slope * lines[:, 0]
+    cuts = [pieces[:, 0], pieces[:, 1]]
+    for i in range(len(lines)):
+        steep = slope[i + 1:] - slope[i]
+        other = lines[i + 1:][steep != 0]
+        x = (level[i] - level[i + 1:][steep != 0]) / steep[steep != 0]
+        cuts.append(x[(x > np.maximum(lines[i, 0], other[:, 0])) & (x < np.minimum(lines[i, 1], other[:, 1]))])
+    xs = np.unique(np.concatenate(cuts))
+    out = []
+    for xa, xb in zip(xs[:-1], xs[1:]):
+        live = pieces[(pieces[:, 0] <= xa) & (pieces[:, 1] >= xb)]
+        if not len(live):
+            continue
+        mid = (xa + xb) / 2
+        low, high = _at(mid, live, 2), _at(mid, live, 4)
+        order = np.argsort(low, kind="stable")
+        first = last = order[0]
+        for k in [*order[1:], None]:
+            if k is not None and low[k] <= high[last]:
+                last = k if high[k] > high[last] else last
+                continue
+            b, t = live[[first]], live[[last]]
+            out.append((xa, xb, *(float(_at(x, b, 2)[0]) for x in (xa, xb)), *(float(_at(x, t, 4)[0]) for x in (xa, xb))))
+            if k is not None:
+                first = last = k
+    return out
+
+
+def disjoint_pieces(pieces: DataFrame) -> DataFrame:
+    """Trapezoids of several areas made disjoint: those that overlap are united, all others pass.
+
+    Work in Python is per connected set of overlapping pieces.
+    """
+    keyed = cut_lineage(pieces.select(*_SIDES, *spatial.BOX).withColumn("__n", F.monotonically_increasing_id()))
+
+    def overlap(a, b):
+        return (F.least(a("x1"), b("x1")) > F.greatest(a("x0"), b("x0"))) & (
+            F.least(F.greatest(a("t0"), a("t1")), F.greatest(b("t0"), b("t1"))) > F.greatest(F.least(a("b0"), a("b1")), F.least(b("b0"), b("b1"))))
+
+    pairs = cut_lineage(spatial.half_pairs(keyed, "__n", _SIDES, overlap, 0.0).select("a___n", "b___n"))
+    if pairs.isEmpty():
+        return keyed.drop("__n")
+    sets = cut_lineage(connected_components(pairs, "a___n", "b___n").select(F.col("node").alias("__n"), "component"))
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_union(pdf[_SIDES].to_numpy(float)), columns=_SIDES)
+
+    united = keyed.join(sets, "__n").groupBy("component").applyInPandas(unite, ", ".join(f"{c} double" for c in _SIDES))
+    boxed = united.withColumns({"xmin": F.col("x0"), "xmax": F.col("x1"), "ymin": F.least("b0", "b1"), "ymax": F.greatest("t0", "t1")})
+    return keyed.join(sets, "__n", "left_anti").drop("__n").unionByName(boxed.select(*_SIDES, *spatial.BOX))
+
+
 def _half_plane(ring: np.ndarray, a: float, b: float, c: float) -> np.ndarray:
     """Part of an open ring where a*x + b*y >= c."""
     if not len(ring):
@@ -127,7 +192,7 @@ def clip_multi(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFra
     """Collections cut to the areas. Features inside one area pass as they are; the rest is cut.
 
     The parts of a cut feature tile its intersection; their common edges are not dissolved. Equal rows
-    stay apart: rows get an id once, fixed by a checkpoint. Equal areas count once.
+    stay apart: rows get an id once, fixed by a checkpoint. What several areas cover counts once.
     """
     cols = [c for c in df.columns if c != geom]
     areas = areas.select(poly).distinct()
@@ -141,7 +206,7 @@ def clip_multi(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFra
         # an area hole inside the part would also be missed by the edge test
         & ~F.exists(r("__a"), lambda ring: G.inside_even_odd(l("__p"), F.get(ring, 0))))).select("__id", "__i", "__p").distinct()
     rest = boxed.join(whole.select("__id", "__i"), ["__id", "__i"], "left_anti")
-    pairs = spatial.spatial_join(rest, convex_pieces(areas, poly))
+    pairs = spatial.spatial_join(rest, disjoint_pieces(convex_pieces(areas, poly)))
     cut = clip_polygon_pairs(pairs, "__id", "__p")
     merged = whole.select("__id", F.col("__p").alias("part")).unionByName(cut).groupBy("__id").agg(
         F.collect_list("part").alias(geom))

@@ -182,3 +182,30 @@ def test_clip_keeps_equal_rows_and_counts_equal_areas_once(spark):
     layer = spark.createDataFrame([(1,), (1,)], "id int").select("id", F.array(G.make_box(F.lit(5.0), F.lit(0.0), F.lit(15.0), F.lit(10.0))).alias("g"))
     got = [r.a for r in clip.clip_multi(layer, "g", area, "a").select(G.area_multi("g").alias("a")).collect()]
     assert np.allclose(got, [50.0, 50.0])
+
+
+def test_clip_by_overlapping_areas(spark):
+    def ring(*xy):
+        return F.array(F.array(*[G.make_point(F.lit(float(x)), F.lit(float(y))) for x, y in xy]))
+
+    one = ring((0, 0), (8, 0), (8, 10), (0, 10), (0, 0))
+    two = ring((4, 5), (12, 5), (12, 15), (4, 15), (4, 5))
+    tilted = ring((20, 0), (30, 5), (25, 15), (15, 10), (20, 0))
+    ell = ring((18, 3), (24, 3), (24, 6), (21, 6), (21, 12), (18, 12), (18, 3))
+    areas = spark.range(1).select(F.explode(F.array(one, two, tilted, ell)).alias("a"))
+    boxes = [(0, -5, -5, 40, 40), (1, 3, 4, 9, 11), (2, 17, 2, 26, 11), (3, 7, 4, 9, 6)]
+    layer = spark.createDataFrame(boxes, "id int, x1 int, y1 int, x2 int, y2 int").select(
+        "id", F.array(G.make_box("x1", "y1", "x2", "y2")).alias("g"))
+    got = {r.id: r.a for r in clip.clip_multi(layer, "g", areas, "a").select("id", G.area_multi("g").alias("a")).collect()}
+    x, y = np.meshgrid(np.arange(-5, 40, 0.01) + 0.005, np.arange(-5, 40, 0.01) + 0.005)
+
+    def convex(points):
+        inside = np.ones_like(x, dtype=bool)
+        for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
+            inside &= (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0
+        return inside
+    covered = ((x > 0) & (x < 8) & (y > 0) & (y < 10)) | ((x > 4) & (x < 12) & (y > 5) & (y < 15)) | convex(
+        [(20, 0), (30, 5), (25, 15), (15, 10)]) | ((x > 18) & (x < 24) & (y > 3) & (y < 6)) | ((x > 18) & (x < 21) & (y > 3) & (y < 12))
+    for i, x1, y1, x2, y2 in boxes:
+        want = (covered & (x > x1) & (x < x2) & (y > y1) & (y < y2)).sum() * 1e-4
+        assert abs(got[i] - want) < 0.05, (i, got[i], want)
