@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import in_arrow, key_and_bytes, query, table
-from .wordpieces import public_path, read_tokenizer, splitter
+from .wordpieces import byte_letters, public_path, read_tokenizer, splitter
 
 BLOCK_BYTES = 8_000_000
 
@@ -192,13 +192,6 @@ def pieces_of(tokenizer_file: str) -> tuple[list[str | None], bool]:
     return [words.tokenizer.id_to_token(i) for i in range(size)], kind == "ByteLevel"
 
 
-def _byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in byte-level pieces: printable bytes stand for themselves."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def decode_documents(encoded: DataFrame, tokenizer_file: str, digests: bool = False) -> DataFrame:
     """Columns id, ids, decoded (with ``digests``: id, n_tokens and the SHA-256 of ids and decoded text instead).
 
@@ -208,7 +201,7 @@ def decode_documents(encoded: DataFrame, tokenizer_file: str, digests: bool = Fa
     pieces, byte_level = pieces_of(tokenizer_file)
     if len(pieces) > 2_000_000:
         raise ValueError("the vocabulary is too large to be sent to every task")
-    letters = _byte_letters()
+    letters = byte_letters()
     raw = [b"" if p is None else (bytes(letters[c] for c in p) if byte_level and all(c in letters for c in p) else p.encode()) for p in pieces]
     joint = b"" if byte_level else b" "
 
