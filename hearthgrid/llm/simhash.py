@@ -179,14 +179,14 @@ def near_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _meetings(distinct.select("fp"), radius, links, "a long, b long")
 
 
-SMALL_GROUP = 16
+SMALL_GROUP, LARGEST_SMALL_GROUP = 16, 4096
 
 
-def _candidates(rows: DataFrame, radius: int) -> DataFrame:
+def _candidates(rows: DataFrame, radius: int, small: int) -> DataFrame:
     """Pairs (a, b, many) of ids a < b among rows (fp, id) whose fingerprints meet within the radius.
 
-    In a group of up to SMALL_GROUP rows all pairs that are near; in a larger one (many) the smallest id
-    with every other, so the rows grow with the group and not with its square.
+    In a group of up to ``small`` rows all pairs that are near; in a larger one (many) its ``small`` / 16
+    smallest ids with every other, so the rows grow with the group and not with its square.
     """
     def links(mask, columns):
         order = np.lexsort((columns[1], columns[0].view(np.uint64)))
@@ -202,10 +202,13 @@ def _candidates(rows: DataFrame, radius: int) -> DataFrame:
             member = by[s:e]
             if len(member) == 1:
                 continue
-            if len(member) > SMALL_GROUP:
-                low = ids[member].min()
-                rest = ids[member][ids[member] != low]
-                out.append((np.full(len(rest), low), rest, np.ones(len(rest), dtype=np.int64)))
+            if len(member) > small:
+                every = np.sort(ids[member])
+                first = small // 16
+                i, j = np.repeat(np.arange(first), len(every)), np.tile(np.arange(len(every)), first)
+                i, j = i[i < j], j[i < j]
+                # a first one has met everybody; only the others have more to meet
+                out.append((every[i], every[j], (j >= first).astype(np.int64)))
             else:
                 i, j = np.nonzero(np.triu(np.bitwise_count(fp[member][:, None] ^ fp[member][None, :]) <= radius, 1))
                 i, j = ids[member[i]], ids[member[j]]
@@ -223,9 +226,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     Candidates are texts whose word-set fingerprints differ in at most ``radius`` bits, all of them found
     by the covering tables; a candidate pair is a duplicate if the sets of ``width``-word shingles (A-Z
     lowered) have a Jaccard similarity of at least ``similarity``. Groups are what such pairs connect.
-    Texts of equal words are duplicates. In a crowded group of candidates the smallest id is compared
-    with all; what is not its duplicate is compared again in the next round, until nothing is left to
-    compare. Null texts count as empty, and only one empty text stays; a null id counts as the smallest.
+    Texts of equal words are duplicates. In a crowded group of candidates the smallest ids are compared
+    with all; what is no duplicate is compared again in the next round, with more of the others, until
+    nothing is left to compare. Null texts count as empty, and only one empty text stays; a null id counts as the smallest.
     An empty table stays empty.
     """
     kid, th = F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)), F.xxhash64(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
@@ -247,23 +250,25 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
         for b in batches:
             yield {"id": b["id"], "set": [np.unique(np.array([xxhash.xxh3_64_intdigest(p) for p in shingle_bytes(t, width)],
                                                               dtype=np.uint64)).view(np.int64).tolist() for t in b["text"]]}
-    open_rows, merged = rest.select("fp", "id"), None
+    open_rows, merged, sets, small = rest.select("fp", "id"), None, None, SMALL_GROUP
     while True:
-        pairs = store(_candidates(open_rows, radius), "candidates")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = keyed.join(rest.join(wanted, "id").select("kid", "th", "id"), ["kid", "th"]).select("id", "text").dropDuplicates(["id"])
-        sets = store(in_arrow(texts, shingles, "id long, set array<long>"), "shingles")
+        pairs = store(_candidates(open_rows, radius, small), "candidates")
+        if sets is None:  # later rounds meet no other text
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            texts = keyed.join(rest.join(wanted, "id").select("kid", "th", "id"), ["kid", "th"]).select("id", "text").dropDuplicates(["id"])
+            sets = store(in_arrow(texts, shingles, "id long, set array<long>"), "shingles")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         near = cut_lineage(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
         merged = near if merged is None else merged.unionByName(near)
         gone = near.select(F.col("b").alias("id")).distinct()
-        # who met only the smallest id of a crowded group, and was not its duplicate, meets the others next
+        # who met only the smallest ids of a crowded group, and was not their duplicate, meets the others next
         open_rows = cut_lineage(open_rows.join(pairs.filter("many = 1").select(F.col("b").alias("id")).distinct(), "id", "left_semi").join(
             gone, "id", "left_anti").select("fp", "id"))
         if open_rows.isEmpty():
             break
+        small = min(4 * small, LARGEST_SMALL_GROUP)
     # every component keeps its smallest id
     labels = connected_components(merged, "a", "b").filter("node <> component").select(F.col("node").alias("id"))
     kept = cut_lineage(rest.join(labels, "id", "left_anti").select(F.col("kid").alias("__kid"), F.col("th").alias("__th")))
