@@ -21,12 +21,20 @@ _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 # no combining marks, no letters beyond Latin-1, and only blanks on which all engines agree
 _UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff‐-‧]")
+_COMMON_BYTES = bytes([9, 10, 13, *range(0x20, 0x7f), *range(0xa1, 0x100)])
 _BYTE_LEVEL = re.compile(rf"{_ENDINGS}| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+")
 _WORD_LEVEL = re.compile(rf"{_ENDINGS}|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LONG_TEXT, TOGETHER = 4_000_000, 500_000
 
 
+def _is_common(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _COMMON_BYTES)
+    except UnicodeEncodeError:
+        return not _UNCOMMON.search(text)
+
+
 def read_tokenizer(path: str) -> str:
     """The tokenizer file as text, read on the driver and sent to the tasks (a few MB whatever the data)."""
     with open(path, encoding="utf-8") as f:
@@ -84,10 +92,10 @@ class Splitter:
 
     def words(self, text: str) -> Iterator[list[str]]:
         """Lists of the words of a text, in order; long texts come in several lists."""
-        for part in self.special.split(text) if self.special else [text]:
+        for part in self.special.split(text) if any(m in text for m in self.marks) else [text]:
             if part in self.marks:
                 yield [part]
-            elif self.pattern is not None and not _UNCOMMON.search(part):
+            elif _is_common(part):
                 part = part.lower() if self.lower else part
                 if len(part) < LONG_TEXT:
                     yield self.pattern.findall(part)
