@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.graph import connected_components
 from ..session import cut_lineage
 from .common import in_arrow, query, store, table
-from .simhash import _forest
+from .jaccard import forest
 
 THRESHOLD, MARGIN, CELL, BLOCK, MOST_CELLS, SAMPLE, ROUNDS, TILE = 0.9, 0.15, 1000, 4096, 4096, 16_000, 8, 1024
 
@@ -116,7 +116,7 @@ def near_vectors(classes: DataFrame, dim: int, count: int, threshold: float, mar
                 i, j = i[keep], j[keep]
                 np.add.at(linked, i, n[j])
                 np.add.at(linked, j, n[i])
-                label = np.minimum(label, _forest(len(label), np.r_[i, np.arange(len(label))], np.r_[j, label]))
+                label = np.minimum(label, forest(len(label), np.r_[i, np.arange(len(label))], np.r_[j, label]))
         everyone = np.arange(len(key))
         if lo == hi:
             meet(everyone[host], everyone)
@@ -124,7 +124,7 @@ def near_vectors(classes: DataFrame, dim: int, count: int, threshold: float, mar
             first, second = everyone[mine == lo], everyone[mine == hi]
             meet(first[host[first]], second)
             meet(second[host[second]], first[~host[first]])
-        label = _forest(len(label), everyone, label)
+        label = forest(len(label), everyone, label)
         some, moved = np.nonzero(linked)[0], np.nonzero(label != everyone)[0]
         return pa.table({"a": np.r_[key[some], key[moved]], "b": pa.array([None] * len(some) + key[label[moved]].tolist(), type=pa.int64()),
                          "n": np.r_[linked[some], np.zeros(len(moved), dtype=np.int64)]})

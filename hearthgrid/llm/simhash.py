@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
 from ..session import cut_lineage
-from .common import in_arrow, key_and_bytes, query, store, table
+from .common import WordHashes, in_arrow, key_and_bytes, query, store, table
+from .jaccard import forest, shingle_set, similar_groups
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 
@@ -57,11 +58,6 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(parts)).tobytes(), "big")
 
 
-def word_set_fingerprint(text: bytes, seed: int = SEED) -> int:
-    """Majority bits over the distinct words: one changed word moves it less than the shingles around it."""
-    return fingerprint(b" ".join(sorted(set(text.lower().split()))), 1, seed)
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
                  seed: int = SEED) -> DataFrame:
     """Columns id, fp (64 bits as a signed long), one row per input row."""
@@ -113,20 +109,6 @@ def _choose(n: int, k: int) -> int:
     return comb(n, k)
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from every index over the given links."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
-
-
 def _meetings(rows: DataFrame, radius: int, links, schema: str) -> DataFrame:
     """Deal rows (fp, further long columns) out to every table, and call ``links(mask, columns)`` on the rows
     that agree under a mask. Values go in their sorted order through a task; only one is held at a time."""
@@ -173,104 +155,39 @@ def near_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     def links(mask, columns):
         values = np.sort(columns[0].view(np.uint64))
-        label = _forest(len(values), *_near(values, ~mask & (2**64 - 1), radius))
+        label = forest(len(values), *_near(values, ~mask & (2**64 - 1), radius))
         moved = np.nonzero(label != np.arange(len(label)))[0]
         return {"a": values[moved].view(np.int64), "b": values[label[moved]].view(np.int64)} if len(moved) else None
     return _meetings(distinct.select("fp"), radius, links, "a long, b long")
 
 
-SMALL_GROUP, LARGEST_SMALL_GROUP = 16, 4096
-
-
-def _candidates(rows: DataFrame, radius: int, small: int) -> DataFrame:
-    """Pairs (a, b, many) of ids a < b among rows (fp, id) whose fingerprints meet within the radius.
-
-    In a group of up to ``small`` rows all pairs that are near; in a larger one (many) its ``small`` / 16
-    smallest ids with every other, so the rows grow with the group and not with its square.
-    """
-    def links(mask, columns):
-        order = np.lexsort((columns[1], columns[0].view(np.uint64)))
-        fp, ids = columns[0].view(np.uint64)[order], columns[1][order]
-        first = np.r_[0, np.nonzero(fp[1:] != fp[:-1])[0] + 1]
-        values, n = fp[first], np.diff(np.r_[first, len(fp)])
-        p, q = _near(values, ~mask & (2**64 - 1), radius) if len(values) > 1 else (first[:0], first[:0])
-        group = np.repeat(_forest(len(values), p, q), n)
-        out = []
-        by = np.argsort(group, kind="stable")
-        cuts = np.r_[0, np.nonzero(np.diff(group[by]))[0] + 1, len(by)]
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            member = by[s:e]
-            if len(member) == 1:
-                continue
-            if len(member) > small:
-                every = np.sort(ids[member])
-                first = small // 16
-                i, j = np.repeat(np.arange(first), len(every)), np.tile(np.arange(len(every)), first)
-                i, j = i[i < j], j[i < j]
-                # a first one has met everybody; only the others have more to meet
-                out.append((every[i], every[j], (j >= first).astype(np.int64)))
-            else:
-                i, j = np.nonzero(np.triu(np.bitwise_count(fp[member][:, None] ^ fp[member][None, :]) <= radius, 1))
-                i, j = ids[member[i]], ids[member[j]]
-                out.append((np.minimum(i, j), np.maximum(i, j), np.zeros(len(i), dtype=np.int64)))
-        if not out:
-            return None
-        return {c: np.concatenate(x) for c, x in zip(("a", "b", "many"), zip(*out))}
-    return _meetings(rows.select("fp", "id"), radius, links, "a long, b long, many long").groupBy("a", "b").agg(F.max("many").alias("many"))
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 6, id_col: str = "doc_id",
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id",
                          text_col: str = "text", seed: int = SEED) -> DataFrame:
     """Rows of ``docs`` without near-duplicates, all columns kept: of every group the row of the smallest id stays.
 
-    Candidates are texts whose word-set fingerprints differ in at most ``radius`` bits, all of them found
-    by the covering tables; a candidate pair is a duplicate if the sets of ``width``-word shingles (A-Z
-    lowered) have a Jaccard similarity of at least ``similarity``. Groups are what such pairs connect.
-    Texts of equal words are duplicates. In a crowded group of candidates the smallest ids are compared
-    with all; what is no duplicate is compared again in the next round, with more of the others, until
-    nothing is left to compare. Null texts count as empty, and only one empty text stays; a null id counts as the smallest.
-    An empty table stays empty.
+    A pair is a duplicate if the sets of ``width``-word shingles (A-Z lowered) have a Jaccard similarity of
+    at least ``similarity``; every such pair counts, and groups are what the pairs connect. Texts of equal
+    shingles are duplicates. Null texts count as empty, and only one empty text stays; a null id counts as
+    the smallest. An empty table stays empty.
     """
     kid, th = F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)), F.xxhash64(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
     keyed = docs.select(kid.alias("kid"), th.alias("th"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
 
     def read(batches):
+        hashes = WordHashes(seed)
         for b in batches:
-            words = [b" ".join(t.lower().split()) for t in b["text"]]
-            yield {"kid": b["kid"], "th": b["th"], "same": [xxhash.xxh3_128_digest(w) for w in words],
-                   "fp": np.array([word_set_fingerprint(w, seed) for w in words], dtype=np.uint64).astype(np.int64)}
+            sets = [shingle_set(t, width, hashes) for t in b["text"]]
+            yield {"kid": b["kid"], "th": b["th"], "same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "size": [len(s) for s in sets]}
 
     # one row per document: ids of rows are replaced by a dense key, so repeated ids are told apart
-    rows = store(in_arrow(keyed, read, "kid long, th long, same binary, fp long").dropDuplicates(["kid", "th"]), "word-sets")
-    first = rows.groupBy("same").agg(F.min_by(F.struct("kid", "th", "fp"), F.struct("kid", "th")).alias("r")).select("r.*")
+    rows = store(in_arrow(keyed, read, "kid long, th long, same binary, size long").dropDuplicates(["kid", "th"]), "word-sets")
+    first = rows.groupBy("same").agg(F.min_by(F.struct("kid", "th", "size"), F.struct("kid", "th")).alias("r")).select("r.*")
     # ascending in (kid, th), and the same in every run over the same rows
     rest = store(first.repartitionByRange("kid", "th").sortWithinPartitions("kid", "th").withColumn("id", F.monotonically_increasing_id()), "distinct")
-
-    def shingles(batches):
-        for b in batches:
-            yield {"id": b["id"], "set": [np.unique(np.array([xxhash.xxh3_64_intdigest(p) for p in shingle_bytes(t, width)],
-                                                              dtype=np.uint64)).view(np.int64).tolist() for t in b["text"]]}
-    open_rows, merged, sets, small = rest.select("fp", "id"), None, None, SMALL_GROUP
-    while True:
-        pairs = store(_candidates(open_rows, radius, small), "candidates")
-        if sets is None:  # later rounds meet no other text
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            texts = keyed.join(rest.join(wanted, "id").select("kid", "th", "id"), ["kid", "th"]).select("id", "text").dropDuplicates(["id"])
-            sets = store(in_arrow(texts, shingles, "id long, set array<long>"), "shingles")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(
-            sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        near = cut_lineage(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-        merged = near if merged is None else merged.unionByName(near)
-        gone = near.select(F.col("b").alias("id")).distinct()
-        # who met only the smallest ids of a crowded group, and was not their duplicate, meets the others next
-        open_rows = cut_lineage(open_rows.join(pairs.filter("many = 1").select(F.col("b").alias("id")).distinct(), "id", "left_semi").join(
-            gone, "id", "left_anti").select("fp", "id"))
-        if open_rows.isEmpty():
-            break
-        small = min(4 * small, LARGEST_SMALL_GROUP)
+    total = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    texts = keyed.join(rest, ["kid", "th"]).select("id", "text")
     # every component keeps its smallest id
-    labels = connected_components(merged, "a", "b").filter("node <> component").select(F.col("node").alias("id"))
+    labels = similar_groups(texts, total, width, similarity, seed).filter("node <> component").select(F.col("node").alias("id"))
     kept = cut_lineage(rest.join(labels, "id", "left_anti").select(F.col("kid").alias("__kid"), F.col("th").alias("__th")))
     return docs.withColumns({"__kid": kid, "__th": th}).join(kept, ["__kid", "__th"], "left_semi").dropDuplicates(
         ["__kid", "__th"]).select(*docs.columns)
