@@ -28,6 +28,34 @@ def test_appended_and_cut_copies(spark):
     assert kept == wanted
 
 
+def test_crowded_chain(spark):
+    """Each step changes five of 300 words: neighbours are near, the ends are not, and no text is near all."""
+    rng = random.Random(12)
+    w, texts = [f"n{k}" for k in range(300)], []
+    for k in range(150):
+        w = list(w)
+        for _ in range(5):
+            w[rng.randrange(300)] = f"c{rng.random()}"
+        texts.append(" ".join(w))
+    del texts[70:78]  # two chains
+    rng.shuffle(texts)
+    kept, wanted, _ = kept_and_wanted(spark, list(enumerate(texts)))
+    assert len(wanted) == 2 and kept == wanted
+
+
+def test_crowded_variants(spark):
+    """Variants of one base near the threshold; the smallest id is one of them."""
+    rng, base = random.Random(13), [f"n{k}" for k in range(400)]
+    rows = []
+    for i in range(220):
+        w = list(base)
+        for _ in range(rng.randrange(3, 14)):
+            w[rng.randrange(400)] = f"c{rng.random()}"
+        rows.append((i, " ".join(w)))
+    kept, wanted, _ = kept_and_wanted(spark, rows)
+    assert 1 < len(wanted) < 120 and kept == wanted
+
+
 def test_linked_is_exact():
     rng = np.random.default_rng(14)
     sets = [np.unique(rng.integers(0, 60, 50)) for _ in range(80)]
