@@ -2,7 +2,7 @@
 
 
 def load():
-    from . import (bpe, decontamination, embeddings, licenses, quality, simhash, substring_dedup, suffix_dedup, token_files, toxicity)  # noqa: F401
+    from . import (bpe, codes, decontamination, embeddings, licenses, line_dedup, periodic, quality, simhash, substring_dedup, suffix_dedup, token_files, toxicity)  # noqa: F401
     from .common import ORACLES, QUERIES
 
     return QUERIES, ORACLES
