@@ -109,6 +109,22 @@ POSTCODES = f"""
 SELECT DISTINCT CAST(10000 + floor(x / 1250) * 10 + floor(y / 1000) AS BIGINT) AS plz, floor(x / 1250) * 1250 AS px1, floor(y / 1000) * 1000 AS py1,
        floor(x / 1250) * 1250 + 1250 AS px2, floor(y / 1000) * 1000 + 1000 AS py2 FROM ({MEMBERS}) m"""
 
+# Zones: concave polygons with a hole, turned by angles of whole-number triangles; one vertex per row, rings closed.
+_TURN = ("CASE s_suppkey % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0e0 ELSE -0.8e0 END", "CASE s_suppkey % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 0.8e0 WHEN 2 THEN 1e0 ELSE 0.6e0 END")
+_RINGS = (((-4, -4), (4, -4), (4, 4), (1, 4), (1, 0), (-2, 1), (-2, 4), (-4, 3), (-4, -4)), ((-2, -3), (-2, -1), (3, -1), (2, -3), (-2, -3)))
+ZONES = f"""
+SELECT s_suppkey AS zid, ring, k, {_SX} + 0.37e0 + r * (c * u - s * v) AS vx, {_SY} + 0.41e0 + r * (s * u + c * v) AS vy
+FROM (SELECT *, {_TURN[0]} AS c, {_TURN[1]} AS s, 20e0 + s_suppkey % 7 * 15 AS r FROM supplier) z
+CROSS JOIN (VALUES {", ".join(f"({i}, {k}, CAST({u} AS DOUBLE), CAST({v} AS DOUBLE))" for i, ring in enumerate(_RINGS) for k, (u, v) in enumerate(ring))}) AS t(ring, k, u, v)"""
+ZONE_EDGES = f"""
+SELECT a.zid, a.vx AS ax, a.vy AS ay, b.vx AS bx, b.vy AS by_ FROM ({ZONES}) a JOIN ({ZONES}) b ON a.zid = b.zid AND a.ring = b.ring AND b.k = a.k + 1"""
+
+
+def in_zone_sql(x: str, y: str, edge: str = "e") -> str:
+    """Aggregate condition over the edges of a zone: an odd number of them lies to the right of the point."""
+    return f"count(*) FILTER (({edge}.ay > {y}) <> ({edge}.by_ > {y}) AND {x} < {edge}.ax + ({y} - {edge}.ay) * ({edge}.bx - {edge}.ax) / ({edge}.by_ - {edge}.ay)) % 2 = 1"
+
+
 # Hourly series: one per user.
 SERIES = """
 SELECT user_id AS ts_metadata_id, ts AS time, value - 30 AS value, event_type FROM events"""
@@ -150,6 +166,12 @@ def postcodes(spark, sf) -> DataFrame:
     return frame(spark, sf, POSTCODES).withColumn("plz_geom", G.make_box("px1", "py1", "px2", "py2"))
 
 
+def zones(spark, sf) -> DataFrame:
+    rings = frame(spark, sf, ZONES).groupBy("zid", "ring").agg(F.sort_array(F.collect_list(F.struct("k", "vx", "vy"))).alias("v")).select(
+        "zid", "ring", F.transform("v", lambda p: G.make_point(p["vx"], p["vy"])).alias("line"))
+    return rings.groupBy("zid").agg(F.sort_array(F.collect_list(F.struct("ring", "line"))).alias("r")).select("zid", F.transform("r", lambda r: r["line"]).alias("zone_geom"))
+
+
 # Distance of the point (px, py) to the segment (x1, y1) - (x2, y2), as oracle text.
 def segment_distance_sql(px: str, py: str, s: str = "") -> str:
     x1, y1, x2, y2 = (f"{s}{c}" for c in ("x1", "y1", "x2", "y2"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G, scalar as S
 from ..operators import spatial, tables
 from ..plans import buildings as B, features as FE, heat as H, network as R
-from .base import (AREAS, CELLS, MEMBERS, POSTCODES, SERIES, STATIONS, WAYS, areas, cells, frame, members, outlines,
-                   point_boxed, postcodes, query, segment_distance_sql, stations, table, ways)
+from .base import (AREAS, CELLS, MEMBERS, POSTCODES, SERIES, STATIONS, WAYS, ZONE_EDGES, areas, cells, frame, in_zone_sql, members, outlines,
+                   point_boxed, postcodes, query, segment_distance_sql, stations, table, ways, zones)
 
 
 @query("j1_update_from", """
@@ -49,6 +49,13 @@ def _(spark, sf):
     return spatial.points_in_polygons(m.select("id", "pt"), postcodes(spark, sf).select("plz", "plz_geom"), "pt", "plz_geom").select("id", "plz")
 
 
+@query("j4_point_in_zone", f"""
+SELECT m.id, e.zid FROM ({MEMBERS}) m JOIN ({ZONE_EDGES}) e ON TRUE GROUP BY m.id, e.zid HAVING {in_zone_sql("m.x", "m.y")}""")
+def _(spark, sf):
+    m = members(spark, sf).withColumn("pt", G.make_point("x", "y"))
+    return spatial.points_in_polygons(m.select("id", "pt"), zones(spark, sf), "pt", "zone_geom").select("id", "zid")
+
+
 _CELL_BOX = f"SELECT DISTINCT cx, cy, ags, cx * 500e0 - 200 AS gx1, cy * 500e0 - 200 AS gy1, cx * 500e0 + 300 AS gx2, cy * 500e0 + 300 AS gy2 FROM ({MEMBERS}) q"
 
 

@@ -172,11 +172,9 @@ def clip_polygon_pairs(pairs: DataFrame, key: str, poly: str) -> DataFrame:
 
 
 def clip_points(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFrame:
-    """Points inside any area."""
+    """Points inside any area or on its edge."""
     keyed = df.withColumn("__k", F.struct(geom))
-    hit = spatial.spatial_join(
-        spatial.with_point_box(keyed.select("__k", geom).distinct(), geom), spatial.with_polygon_box(areas.select(poly), poly),
-        lambda l, r: G.covers(r(poly), l(geom)), 0.0, [spatial.point_level(0.0)]).select("__k").distinct()
+    hit = spatial.points_in_polygons(keyed.select("__k", geom).distinct(), areas.select(poly), geom, poly, boundary=True).select("__k").distinct()
     return keyed.join(hit, "__k", "left_semi").drop("__k")
 
 

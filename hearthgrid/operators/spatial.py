@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G
 from ..session import cut_lineage
+from . import cover
 
 # The level range keeps cell edges between about 1/1000 and 16 million map units.
 MIN_LEVEL, MAX_LEVEL = -10, 24
@@ -188,12 +189,14 @@ def cluster_within(points: DataFrame, eps: float) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point: str, poly: str,
-                       how: str = "inner") -> DataFrame:
-    """Rows of ``points`` with the polygon that strictly contains them."""
-    left = with_point_box(points, point)
-    right = with_polygon_box(polygons, poly)
-    out = spatial_join(left, right, lambda l, r: G.contains(r(poly), l(point)), 0.0, [point_level(0.0)], None, how)
-    return out.drop(*BOX)
+                       how: str = "inner", boundary: bool = False) -> DataFrame:
+    """Rows of ``points`` with the other columns of the polygons that contain them.
+
+    Points on an edge are outside, unless ``boundary``. The polygons are filed by the cells that
+    cover them; points of full cells need no test, others meet the edges of their cell.
+    """
+    out = cover.points_in_cover(points, cover.cover_polygons(polygons, poly), G.col(point)["x"], G.col(point)["y"], boundary)
+    return out.select(*points.columns).distinct() if how == "left_semi" else out
 
 
 def cell_key(x, y, size: float) -> tuple[Column, Column]:
