@@ -166,6 +166,36 @@ def _(spark, sf):
     return clip.clip_multi(m.select("id", "g"), "g", p, "plz_geom").select("id", F.round(G.area_multi("g"), 4).alias("area"))
 
 
+# Areas of every second band, 100 wider on both sides: a chain of overlapping areas along each band. Islands: what they unite to.
+_CHAIN = f"SELECT px1 - 100 AS a, px2 + 100 AS z, py1, py2 FROM ({POSTCODES}) p WHERE plz % 2 = 0"
+_ISLANDS = f"""
+SELECT py1, py2, min(a) AS a, max(z) AS z FROM (
+  SELECT *, sum(CASE WHEN reach >= a THEN 0 ELSE 1 END) OVER (PARTITION BY py1 ORDER BY a) AS isle FROM (
+    SELECT *, max(z) OVER (PARTITION BY py1 ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({_CHAIN}) c) r) i
+GROUP BY py1, py2, isle"""
+_CUT_ISLE = "greatest(least(x + 50 * half_w, z) - greatest(x - 50 * half_w, a), 0) * greatest(least(y + 50 * half_h, py2) - greatest(y - 50 * half_h, py1), 0)"
+
+
+def _chain(spark, sf):
+    return frame(spark, sf, _CHAIN).select(G.make_box("a", "py1", "z", "py2").alias("area"))
+
+
+@query("g20_clip_chain", f"SELECT id, round(sum({_CUT_ISLE}), 4) AS area, count(*) AS parts, 5 * count(*) AS corners FROM ({MEMBERS}) m JOIN ({_ISLANDS}) p ON {_CUT_ISLE} > 0 GROUP BY id")
+def _(spark, sf):
+    m = members(spark, sf).withColumn("g", F.array(G.make_box(
+        F.col("x") - 50 * F.col("half_w"), F.col("y") - 50 * F.col("half_h"), F.col("x") + 50 * F.col("half_w"), F.col("y") + 50 * F.col("half_h"))))
+    out = clip.clip_multi(m.select("id", "g"), "g", _chain(spark, sf), "area")
+    return out.select("id", F.round(G.area_multi("g"), 4).alias("area"), F.size("g").cast("long").alias("parts"),
+                      F.size(F.flatten(F.flatten("g"))).cast("long").alias("corners"))
+
+
+@query("a18_dissolve", f"SELECT a AS xmin, py1 AS ymin, (z - a) * (py2 - py1) AS area, 5 AS corners FROM ({_ISLANDS}) i")
+def _(spark, sf):
+    out = clip.dissolve(_chain(spark, sf), "area")
+    return out.withColumn("b", G.bbox_multi("area")).select(
+        "b.xmin", "b.ymin", G.area_multi("area").alias("area"), F.size(F.flatten(F.flatten("area"))).alias("corners"))
+
+
 _INSIDE = f"(({_I1}) - ({_I0})) * sqrt(power(x2 - x1, 2) + power(y2 - y1, 2))"
 
 

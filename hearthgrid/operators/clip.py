@@ -1,174 +1,11 @@
-"""Clipping of layers to areas.
-
-An area is first cut into convex pieces (upright trapezoids). Pieces are ordinary rows with a box,
-so a large area spreads over the cluster; a feature is joined only with the pieces it touches.
-"""
+"""Clipping of layers to areas: what lies in several areas counts once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import geometry as G
-from ..session import cut_lineage
 from . import spatial
-from .graph import connected_components
-
-
-def _trapezoids(segs: np.ndarray) -> list[tuple[float, ...]]:
-    """(x0, x1, bottom at x0, bottom at x1, top at x0, top at x1) between consecutive vertex abscissae."""
-    segs = segs[segs[:, 0] != segs[:, 2]]
-    flip = segs[:, 0] > segs[:, 2]
-    segs[flip] = segs[flip][:, [2, 3, 0, 1]]
-    xs = np.unique(segs[:, [0, 2]])
-    out = []
-    for x0, x1 in zip(xs[:-1], xs[1:]):
-        live = segs[(segs[:, 0] <= x0) & (segs[:, 2] >= x1)]
-        slope = (live[:, 3] - live[:, 1]) / (live[:, 2] - live[:, 0])
-        ya, yb = live[:, 1] + slope * (x0 - live[:, 0]), live[:, 1] + slope * (x1 - live[:, 0])
-        order = np.argsort(ya + yb, kind="stable")
-        for i, j in zip(order[::2], order[1::2]):
-            out.append((x0, x1, ya[i], yb[i], ya[j], yb[j]))
-    return out
-
-
-def convex_pieces(areas: DataFrame, poly: str, key: str | None = None) -> DataFrame:
-    """Trapezoids (columns x0 .. t1 and a box) that tile each polygon with its holes."""
-    def coordinates(c: str):
-        return F.transform(G.polygon_segments(poly), lambda s: s[c]).alias(c)
-
-    flat = areas.select(*([key] if key else []), *[coordinates(c) for c in ("ax", "ay", "bx", "by")])
-    head = f"{areas.select(key).schema.simpleString()[7:-1].replace(':', ' ')}, " if key else ""
-    fields = ["x0", "x1", "b0", "b1", "t0", "t1"]
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            owners = pdf[key] if key else [None] * len(pdf)
-            for owner, *ends in zip(owners, pdf["ax"], pdf["ay"], pdf["bx"], pdf["by"]):
-                out = pd.DataFrame(_trapezoids(np.column_stack(ends).astype(float)), columns=fields)
-                if key:
-                    out.insert(0, key, owner)
-                yield out
-
-    rows = flat.mapInPandas(pieces, head + ", ".join(f"{f} double" for f in fields))
-    return rows.withColumns({
-        "xmin": F.col("x0"), "xmax": F.col("x1"), "ymin": F.least("b0", "b1"), "ymax": F.greatest("t0", "t1")})
-
-
-_SIDES = ["x0", "x1", "b0", "b1", "t0", "t1"]
-
-
-def _at(x: np.ndarray, piece: np.ndarray, low: int) -> np.ndarray:
-    """Height of the bottom (low = 2) or top (4) of pieces at x."""
-    return piece[:, low] + (piece[:, low + 1] - piece[:, low]) * (x - piece[:, 0]) / (piece[:, 1] - piece[:, 0])
-
-
-def _union(pieces: np.ndarray) -> list[tuple[float, ...]]:
-    """Disjoint trapezoids over the same points: between two neighbouring ends or crossings no sides cross."""
-    lines = np.concatenate([pieces[:, [0, 1, 2, 3]], pieces[:, [0, 1, 4, 5]]])
-    slope = (lines[:, 3] - lines[:, 2]) / (lines[:, 1] - lines[:, 0])
-    level = lines[:, 2] - slope * lines[:, 0]
-    cuts = [pieces[:, 0], pieces[:, 1]]
-    for i in range(len(lines)):
-        steep = slope[i + 1:] - slope[i]
-        other = lines[i + 1:][steep != 0]
-        x = (level[i] - level[i + 1:][steep != 0]) / steep[steep != 0]
-        cuts.append(x[(x > np.maximum(lines[i, 0], other[:, 0])) & (x < np.minimum(lines[i, 1], other[:, 1]))])
-    xs = np.unique(np.concatenate(cuts))
-    out = []
-    for xa, xb in zip(xs[:-1], xs[1:]):
-        live = pieces[(pieces[:, 0] <= xa) & (pieces[:, 1] >= xb)]
-        if not len(live):
-            continue
-        mid = (xa + xb) / 2
-        low, high = _at(mid, live, 2), _at(mid, live, 4)
-        order = np.argsort(low, kind="stable")
-        first = last = order[0]
-        for k in [*order[1:], None]:
-            if k is not None and low[k] <= high[last]:
-                last = k if high[k] > high[last] else last
-                continue
-            b, t = live[[first]], live[[last]]
-            out.append((xa, xb, *(float(_at(x, b, 2)[0]) for x in (xa, xb)), *(float(_at(x, t, 4)[0]) for x in (xa, xb))))
-            if k is not None:
-                first = last = k
-    return out
-
-
-def disjoint_pieces(pieces: DataFrame) -> DataFrame:
-    """Trapezoids of several areas made disjoint: those that overlap are united, all others pass.
-
-    Work in Python is per connected set of overlapping pieces.
-    """
-    keyed = cut_lineage(pieces.select(*_SIDES, *spatial.BOX).withColumn("__n", F.monotonically_increasing_id()))
-
-    def overlap(a, b):
-        return (F.least(a("x1"), b("x1")) > F.greatest(a("x0"), b("x0"))) & (
-            F.least(F.greatest(a("t0"), a("t1")), F.greatest(b("t0"), b("t1"))) > F.greatest(F.least(a("b0"), a("b1")), F.least(b("b0"), b("b1"))))
-
-    pairs = cut_lineage(spatial.half_pairs(keyed, "__n", _SIDES, overlap, 0.0).select("a___n", "b___n"))
-    if pairs.isEmpty():
-        return keyed.drop("__n")
-    sets = cut_lineage(connected_components(pairs, "a___n", "b___n").select(F.col("node").alias("__n"), "component"))
-
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_union(pdf[_SIDES].to_numpy(float)), columns=_SIDES)
-
-    united = keyed.join(sets, "__n").groupBy("component").applyInPandas(unite, ", ".join(f"{c} double" for c in _SIDES))
-    boxed = united.withColumns({"xmin": F.col("x0"), "xmax": F.col("x1"), "ymin": F.least("b0", "b1"), "ymax": F.greatest("t0", "t1")})
-    return keyed.join(sets, "__n", "left_anti").drop("__n").unionByName(boxed.select(*_SIDES, *spatial.BOX))
-
-
-def _half_plane(ring: np.ndarray, a: float, b: float, c: float) -> np.ndarray:
-    """Part of an open ring where a*x + b*y >= c."""
-    if not len(ring):
-        return ring
-    side = ring @ np.array([a, b]) - c
-    out = []
-    for i in range(len(ring)):
-        j = (i + 1) % len(ring)
-        if side[i] >= 0:
-            out.append(ring[i])
-        if (side[i] > 0 > side[j]) or (side[i] < 0 < side[j]):
-            out.append(ring[i] + (ring[j] - ring[i]) * side[i] / (side[i] - side[j]))
-    return np.array(out).reshape(-1, 2)
-
-
-def _cut_ring(ring: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    x0, x1, b0, b1, t0, t1 = piece
-    mb, mt = (b1 - b0) / (x1 - x0), (t1 - t0) / (x1 - x0)
-    for plane in ((1, 0, x0), (-1, 0, -x1), (-mb, 1, b0 - mb * x0), (mt, -1, mt * x0 - t0)):
-        ring = _half_plane(ring, *plane)
-    return ring
-
-
-def clip_polygon_pairs(pairs: DataFrame, key: str, poly: str) -> DataFrame:
-    """Intersection of each polygon with its piece; empty results drop out."""
-    names = ["x0", "x1", "b0", "b1", "t0", "t1"]
-    flat = pairs.select(
-        key, *names, F.transform(poly, lambda r: F.size(r)).alias("n"),
-        F.transform(F.flatten(F.col(poly)), lambda p: p["x"]).alias("xs"),
-        F.transform(F.flatten(F.col(poly)), lambda p: p["y"]).alias("ys"))
-    schema = f"{pairs.select(key).schema.simpleString()[7:-1].replace(':', ' ')}, part {G.POLYGON}"
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys, parts = [], []
-            for owner, n, xs, ys, piece in zip(pdf[key], pdf["n"], pdf["xs"], pdf["ys"], pdf[names].to_numpy(float)):
-                xy = np.column_stack([xs, ys]).astype(float)
-                at = np.concatenate([[0], np.cumsum(n)]).astype(int)
-                rings = [_cut_ring(xy[a:b - 1], piece) for a, b in zip(at[:-1], at[1:])]
-                if len(rings[0]) < 3:
-                    continue
-                closed = [np.vstack([r, r[:1]]) for r in rings if len(r) >= 3]
-                keys.append(owner)
-                parts.append([[{"x": float(x), "y": float(y)} for x, y in r] for r in closed])
-            yield pd.DataFrame({key: keys, "part": parts})
-
-    return flat.mapInPandas(cut, schema).filter(G.area("part") > 0)
+from .overlay import clip_lines, clip_multi, dissolve  # noqa: F401
 
 
 def clip_points(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFrame:
@@ -176,36 +13,3 @@ def clip_points(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFr
     keyed = df.withColumn("__k", F.struct(geom))
     hit = spatial.points_in_polygons(keyed.select("__k", geom).distinct(), areas.select(poly), geom, poly, boundary=True).select("__k").distinct()
     return keyed.join(hit, "__k", "left_semi").drop("__k")
-
-
-def clip_lines(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFrame:
-    """One row per piece of a line inside an area; equal areas count once."""
-    pairs = spatial.spatial_join(
-        spatial.with_line_box(df, geom), spatial.with_polygon_box(areas.select(poly).distinct(), poly),
-        lambda l, r: G.intersects_line_polygon(l(geom), r(poly)))
-    return pairs.withColumn(geom, F.explode(G.clip_line(geom, poly))).drop(poly, *spatial.BOX)
-
-
-def clip_multi(df: DataFrame, geom: str, areas: DataFrame, poly: str) -> DataFrame:
-    """Collections cut to the areas. Features inside one area pass as they are; the rest is cut.
-
-    The parts of a cut feature tile its intersection; their common edges are not dissolved. Equal rows
-    stay apart: rows get an id once, fixed by a checkpoint. What several areas cover counts once.
-    """
-    cols = [c for c in df.columns if c != geom]
-    areas = areas.select(poly).distinct()
-    keyed = cut_lineage(df.withColumn("__id", F.monotonically_increasing_id()))
-    parts = keyed.select("__id", F.posexplode(geom).alias("__i", "__p")).withColumn("__pid", F.struct("__id", "__i"))
-    boxed = spatial.with_polygon_box(parts, "__p")
-    area_rows = spatial.with_polygon_box(areas.select(F.col(poly).alias("__a")), "__a")
-    whole = spatial.spatial_join(boxed, area_rows, lambda l, r: (
-        G.covers(r("__a"), F.get(F.get(l("__p"), 0), 0)) & ~F.exists(
-            G.polygon_segments(l("__p")), lambda s: F.exists(G.polygon_segments(r("__a")), lambda q: G.segments_meet(s, q)))
-        # an area hole inside the part would also be missed by the edge test
-        & ~F.exists(r("__a"), lambda ring: G.inside_even_odd(l("__p"), F.get(ring, 0))))).select("__id", "__i", "__p").distinct()
-    rest = boxed.join(whole.select("__id", "__i"), ["__id", "__i"], "left_anti")
-    pairs = spatial.spatial_join(rest, disjoint_pieces(convex_pieces(areas, poly)))
-    cut = clip_polygon_pairs(pairs, "__id", "__p")
-    merged = whole.select("__id", F.col("__p").alias("part")).unionByName(cut).groupBy("__id").agg(
-        F.collect_list("part").alias(geom))
-    return keyed.drop(geom).join(merged, "__id").select(*cols, geom)

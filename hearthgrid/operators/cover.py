@@ -100,10 +100,11 @@ def _in_partial(x: Column, y: Column, boundary: bool) -> Column:
     return inside | on_edge if boundary else inside & ~on_edge
 
 
-def points_in_cover(points: DataFrame, cover: DataFrame, x: Column, y: Column, boundary: bool = False) -> DataFrame:
+def points_in_cover(points: DataFrame, cover: DataFrame, x: Column, y: Column, boundary: bool = False,
+                    on: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rows of ``points`` with the other columns of ``cover`` (see ``cover_edges``), one per area that holds the point.
 
-    ``boundary`` tells whether points on an edge are inside. The cover should be a stored table: then a small one is
+    ``boundary`` tells whether points on an edge are inside; ``on`` adds pairs of columns that must be equal. The cover should be a stored table: then a small one is
     broadcast and a crowded cell is an ordinary skewed key.
     """
     levels = sorted(r["lv"] for r in cover.select("lv").distinct().collect())  # at most one per even power of two
@@ -112,7 +113,8 @@ def points_in_cover(points: DataFrame, cover: DataFrame, x: Column, y: Column, b
     left = points.withColumns({"__px": x, "__py": y}).filter("__px IS NOT NULL AND __py IS NOT NULL").withColumn(
         "__plv", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
     cell = {f"__p{c}": F.floor((F.col(f"__p{v}") - SHIFT) / F.pow(F.lit(2.0), F.col("__plv"))) for c, v in (("cx", "x"), ("cy", "y"))}
-    met = left.withColumns(cell).join(right, F.expr("__plv = __lv AND __pcx = __cx AND __pcy = __cy"))
+    met = left.withColumns(cell).join(right, F.expr(" AND ".join(
+        ["__plv = __lv", "__pcx = __cx", "__pcy = __cy", *[f"`{a}` = `{b}`" for a, b in on or []]])))
     hit = met.filter(F.col("__edges").isNull() | _in_partial(F.col("__px"), F.col("__py"), boundary))
     return hit.drop("__px", "__py", "__plv", "__pcx", "__pcy", *names.values())
 
