@@ -68,9 +68,21 @@ def _(spark, sf):
     return R.merge_chains(ways(spark, sf, LATTICE))[1]
 
 
-@query("r5_merge_chains")
+# All ways of a chain join to one line: two points each, common ends once (ways without length add none). A place with an odd number of ends is an end of the line; rings have none.
+@query("r5_merge_chains", f"""
+WITH RECURSIVE p AS MATERIALIZED ({_END_PAIRS}), e AS MATERIALIZED (SELECT id AS u, min(n) AS v FROM p GROUP BY id, side HAVING count(*) = 1), s AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT DISTINCT u AS id, u AS other FROM s UNION SELECT r.id, s.v FROM r JOIN s ON r.other = s.u),
+c AS (SELECT id, min(other) AS chain FROM r GROUP BY id),
+m AS (SELECT coalesce(md5('chain:' || chain), l.id) AS new_id, l.* FROM ({LATTICE}) l LEFT JOIN c ON c.id = l.id),
+g AS (SELECT new_id, arg_min(klasse, id) AS klasse, arg_min(objektart, id) AS objektart, round(sum({_LEN}), 6) AS len, CAST(greatest(count(*) FILTER (x1 <> x2 OR y1 <> y2) + 1, 2) AS INTEGER) AS n FROM m GROUP BY new_id),
+o AS (SELECT new_id, x, y FROM (SELECT new_id, x1 AS x, y1 AS y FROM m UNION ALL SELECT new_id, x2, y2 FROM m) q GROUP BY new_id, x, y HAVING count(*) % 2 = 1),
+f AS (SELECT new_id, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM o GROUP BY new_id)
+SELECT g.new_id AS id, klasse, objektart, len, n, CAST(xmin AS DOUBLE) AS xmin, CAST(xmax AS DOUBLE) AS xmax, CAST(ymin AS DOUBLE) AS ymin, CAST(ymax AS DOUBLE) AS ymax FROM g LEFT JOIN f ON f.new_id = g.new_id""")
 def _(spark, sf):
-    return R.merge_chains(ways(spark, sf, LATTICE).withColumn("length_geo", G.length("geom")))[0].select("id", "ags", "klasse", "objektart", "length_geo", F.size("geom").alias("n"))
+    out = R.merge_chains(ways(spark, sf, LATTICE).withColumn("length_geo", G.length("geom")))[0].withColumns({"a": G.start_point("geom"), "b": G.end_point("geom")})
+    open_ = F.col("a") != F.col("b")
+    return out.select("id", "klasse", "objektart", F.round("length_geo", 6).alias("len"), F.size("geom").alias("n"), *[
+        F.when(open_, f(f"a.{c}", f"b.{c}")).alias(f"{c}{name}") for c in "xy" for name, f in (("min", F.least), ("max", F.greatest))])
 
 
 @query("r6_filter_ways_topology", f"""

@@ -5,10 +5,6 @@ Ways: id, ags, klasse, objektart, geom (line), length_geo. All municipalities ru
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G, scalar as S
@@ -191,81 +187,94 @@ def chain_edges(ways: DataFrame, tol: float = MERGE_TOL) -> DataFrame:
     return lone.select(F.least("way_id", "n_id").alias("u"), F.greatest("way_id", "n_id").alias("v")).distinct()
 
 
-def _walk(parts: list[np.ndarray], tol: float) -> list[np.ndarray]:
-    """Join lines at ends that exactly two of them share (ends within ``tol`` count as one)."""
-    ends = np.array([p[i] for p in parts for i in (0, -1)])
-    label = np.full(len(ends), -1)
-    order = np.argsort(ends[:, 0], kind="stable")
-    current = 0
-    for pos, i in enumerate(order):
-        if label[i] >= 0:
-            continue
-        label[i] = current
-        stack = [pos]
-        while stack:
-            q = stack.pop()
-            for step in (1, -1):
-                r = q + step
-                while 0 <= r < len(order) and abs(ends[order[r], 0] - ends[order[q], 0]) <= tol:
-                    j = order[r]
-                    if label[j] < 0 and np.hypot(*(ends[j] - ends[order[q]])) <= tol:
-                        label[j] = current
-                        stack.append(r)
-                    r += step
-        current += 1
-    at: dict[int, list[int]] = {}
-    for i, lab in enumerate(label):
-        at.setdefault(int(lab), []).append(i)
-
-    def mate(end: int) -> int | None:
-        shared = at[int(label[end])]
-        if len(shared) != 2 or shared[0] // 2 == shared[1] // 2:
-            return None
-        return shared[1] if shared[0] == end else shared[0]
-
-    used: set[int] = set()
-    out = []
-    starts = [e for e in range(len(ends)) if mate(e) is None] + list(range(len(ends)))
-    for start in starts:
-        if start // 2 in used:
-            continue
-        line: np.ndarray | None = None
-        end: int | None = start
-        while end is not None and end // 2 not in used:
-            i = end // 2
-            used.add(i)
-            piece = parts[i] if end % 2 == 0 else parts[i][::-1]
-            line = piece if line is None else np.vstack([line, piece[1:]])
-            end = mate(end ^ 1)
-        out.append(line)
-    return out
+def _places(ends: DataFrame, group: str, tol: float) -> DataFrame:
+    """``ends`` (group, x, y, ..) with place: ends of a group that steps of at most ``tol`` connect have one place."""
+    spots = cut_lineage(ends.select(group, "x", "y").distinct().withColumn("place", F.struct(group, "x", "y")))
+    boxed = spatial.with_point_box(spots, G.make_point("x", "y"))
+    near = cut_lineage(spatial.half_pairs(boxed, "place", [group, "x", "y"], lambda a, b: G.distance_points(
+        G.make_point(a("x"), a("y")), G.make_point(b("x"), b("y"))) <= tol, tol, same=[group]).select("a_place", "b_place"))
+    if near.isEmpty():
+        return ends.withColumn("place", F.struct(group, "x", "y"))
+    joined = graph.connected_components(near, "a_place", "b_place").select(F.col("node").alias("place"), F.col("component").alias("__c"))
+    named = spots.join(joined, "place", "left").select(group, "x", "y", F.coalesce("__c", "place").alias("place"))
+    return ends.join(named, [group, "x", "y"])
+
+
+def list_ranks(links: DataFrame) -> DataFrame:
+    """Order of linked lists by pointer doubling; ``links``: state, next (null at the end of a list), low (any number).
+
+    Columns state, tail (last state of the list), rank (steps to it), low (least low on the way). Every round each state
+    looks twice as far, so a list of n states takes log2 n joins and is never gathered. States of a ring have
+    no tail; their low is that of the ring.
+    """
+    at = cut_lineage(links.select("state", F.coalesce("next", "state").alias("tail"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("rank"),
+                                  "low", F.col("next").isNotNull().alias("open")))
+    left = at.filter("open").count()
+    while left:
+        ahead = at.select(F.col("state").alias("tail"), F.col("tail").alias("t2"), F.col("rank").alias("r2"), F.col("low").alias("l2"), F.col("open").alias("o2"))
+        moved = at.filter("open").join(ahead, "tail").select(
+            "state", F.col("t2").alias("tail"), (F.col("rank") + F.col("r2")).alias("rank"), F.least("low", "l2").alias("low"), F.col("o2").alias("open"),
+            (F.col("l2") < F.col("low")).alias("news"))
+        now = cut_lineage(at.filter("NOT open").withColumn("news", F.lit(False)).unionByName(moved))
+        seen = now.agg(F.sum(F.col("open").cast("long")), F.max("news")).first()
+        at = now.drop("news")
+        # lists close a part of their states every round; what no longer does is rings, which end when nothing lower is met
+        if seen[0] == left and not seen[1]:
+            break
+        left = seen[0]
+    return at.select("state", F.when(~F.col("open"), F.col("tail")).alias("tail"), F.when(~F.col("open"), F.col("rank")).alias("rank"), "low")
+
+
+def ordered_parts(parts: DataFrame, group: str, line: str = "geom", tol: float = SNAP_TOL) -> DataFrame:
+    """``parts`` (pid: distinct numbers, group, line) with chain, pos and reverse: their order along lines that join at places
+    where exactly two ends of different parts of the group meet.
+
+    A chain starts at the end whose part has the smaller pid, a ring with its smallest pid.
+    """
+    sided = parts.select(group, "pid", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), G.start_point(line).alias("p")), F.struct(F.lit(1).alias("side"), G.end_point(line).alias("p")))).alias("e")).select(
+        group, "pid", "e.side", F.col("e.p.x").alias("x"), F.col("e.p.y").alias("y"))
+    placed = _places(sided, group, tol)
+    # a place of more than two ends joins nothing: counts and extremes tell, nothing is gathered
+    end = F.struct("pid", "side")
+    pairs = placed.groupBy(group, "place").agg(F.count("*").alias("n"), F.min(end).alias("a"), F.max(end).alias("b")).filter("n = 2 AND a.pid <> b.pid")
+    # a state is a part in one direction (0 as it is, 1 reversed); it leaves at side 1 - direction
+    mates = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("m")).select(
+        (2 * F.col("m.a.pid") + 1 - F.col("m.a.side")).alias("state"), (2 * F.col("m.b.pid") + F.col("m.b.side")).alias("next"))
+    states = parts.select("pid", F.explode(F.array(F.lit(0), F.lit(1))).alias("o")).select((2 * F.col("pid") + F.col("o")).alias("state"), F.col("pid").alias("low"))
+    links = cut_lineage(states.join(mates, "state", "left"))
+    ranks = list_ranks(links)
+    rings = ranks.filter("tail IS NULL").select("state", F.col("low").alias("ring"))
+    if not rings.isEmpty():
+        # a ring is cut in front of its smallest part, and the way back in front of the same place
+        cut = links.join(rings, "state").select("state", F.when((F.col("next") != 2 * F.col("ring")) & (F.col("state") != 2 * F.col("ring") + 1), F.col("next")).alias("next"), "low")
+        ranks = ranks.filter("tail IS NOT NULL").unionByName(list_ranks(cut_lineage(cut)))
+    both = ranks.withColumns({"pid": F.shiftright("state", 1), "o": F.col("state") % 2})
+    there = both.filter("o = 0").select("pid", F.col("tail").alias("tail0"), F.col("rank").alias("rank0"))
+    back = both.filter("o = 1").select("pid", F.col("tail").alias("tail1"), F.col("rank").alias("rank1"))
+    # the head of a list is the tail of the opposite list, turned round
+    known = there.join(back, "pid").withColumns({"first0": F.shiftright("tail1", 1), "last0": F.shiftright("tail0", 1)})
+    turned = F.col("first0") > F.col("last0")
+    return parts.join(known.select("pid", F.least("first0", "last0").alias("chain"), turned.alias("reverse"),
+                                   F.when(turned, F.col("rank0")).otherwise(F.col("rank1")).alias("pos")), "pid")
 
 
 def line_merge(df: DataFrame, group: str, line: str = "geom", tol: float = SNAP_TOL) -> DataFrame:
-    """Longest merged line per group.
+    """Longest merged line per group (the one with the smallest part, should several be as long).
 
-    The parts of a group end up in one output row in any case, so they are gathered into arrays and
-    joined in Arrow batches of many groups.
+    Parts are ordered by joins; only the points of the result come together, in the one row they are.
     """
-    @F.pandas_udf("xs array<double>, ys array<double>")
-    def merged(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for sizes, xs, ys in batches:
-            out_x, out_y = [], []
-            for n, x, y in zip(sizes, xs, ys):
-                xy = np.column_stack([x, y]).astype(float)
-                lines = _walk(np.split(xy, np.cumsum(n)[:-1]), tol)
-                best = max(lines, key=lambda p: float(np.hypot(*np.diff(p, axis=0).T).sum()))
-                best = best[np.concatenate([[True], np.any(np.diff(best, axis=0) != 0, axis=1)])]
-                out_x.append(best[:, 0])
-                out_y.append(best[:, 1])
-            yield pd.DataFrame({"xs": out_x, "ys": out_y})
-
-    part = F.struct(F.transform(line, lambda p: p["x"]).alias("xs"), F.transform(line, lambda p: p["y"]).alias("ys"))
-    parts = df.groupBy(group).agg(F.array_sort(F.collect_list(part)).alias("p"))
-    joined = parts.select(group, merged(
-        F.transform("p", lambda v: F.size(v["xs"])), F.flatten(F.transform("p", lambda v: v["xs"])),
-        F.flatten(F.transform("p", lambda v: v["ys"]))).alias("m"))
-    return joined.select(group, F.zip_with("m.xs", "m.ys", lambda x, y: G.make_point(x, y)).alias(line))
+    # numbers in the order of the parts themselves, however the rows are spread
+    rest = df.filter(F.size(line) > 1).select(group, line).orderBy(group, line)
+    parts = cut_lineage(rest.withColumn("pid", F.monotonically_increasing_id()))
+    placed = cut_lineage(ordered_parts(parts, group, line, tol))
+    sizes = placed.groupBy(group, "chain").agg(F.sum(G.length(line)).alias("len"))
+    longest = sizes.groupBy(group).agg(F.min_by("chain", F.struct((-F.col("len")).alias("l"), F.col("chain"))).alias("chain"))
+    path = F.when(F.col("reverse"), F.reverse(line)).otherwise(F.col(line))
+    piece = F.when(F.col("pos") == 0, path).otherwise(F.slice(path, 2, F.greatest(F.size(line) - 1, F.lit(1))))
+    joined = placed.join(longest, [group, "chain"]).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("v")))).alias("p"))
+    points = joined.select(group, F.flatten(F.transform("p", lambda v: v["v"])).alias("v"))
+    return points.select(group, F.filter("v", lambda p, i: (i == 0) | (F.get("v", i - 1) != p)).alias(line))
 
 
 def merge_chains(ways: DataFrame, tol: float = MERGE_TOL) -> tuple[DataFrame, DataFrame]:

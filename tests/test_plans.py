@@ -136,12 +136,32 @@ def test_connector_snaps_to_way_ends(spark):
     assert R.connect_buildings(b, w, count_all=True)[1].first().length_connection_line > 14
 
 
-def test_closed_walk_and_branches():
-    sq = [np.array(p, float) for p in ([(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 1)], [(0, 1), (0, 0)])]
-    merged = R._walk(sq, 0.01)
-    assert len(merged) == 1 and len(merged[0]) == 5
-    star = [np.array([(0, 0), p], float) for p in ((1, 0), (0, 1), (-1, 0))]
-    assert len(R._walk(star, 0.01)) == 3
+def parts_df(spark, rows):
+    return spark.createDataFrame([(g, [{"x": float(x), "y": float(y)} for x, y in line]) for g, line in rows], f"g string, geom {R.G.LINE}").repartition(3)
+
+
+def test_rings_branches_and_gaps(spark):
+    rows = [("square", p) for p in ([(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 1)], [(0, 1), (0, 0)])]
+    rows += [("star", [(0, 0), p]) for p in ((1, 0), (0, 3), (-1, 0))]
+    rows += [("gap", [(0, 0), (5, 0)]), ("gap", [(12, 0), (5.005, 0)]), ("gap", [(12.0, 0.004), (12.0, 0.008), (20, 0)]), ("gap", [(30, 0), (31, 0)])]
+    rows += [("pair", [(0, 0), (1, 1), (2, 0)]), ("pair", [(0, 0), (1, -1), (2, 0)]), ("self", [(0, 0), (1, 0), (1, 1), (0, 0)]), ("short", [(1, 1)])]
+    rows += [("two rings", p) for p in ([(0, 0), (2, 0)], [(2, 0), (2, 2), (0, 0)], [(9, 9), (9, 10)], [(9, 9), (8, 9), (9, 10)])]
+    got = {r.g: [(p.x, p.y) for p in r.geom] for r in R.line_merge(parts_df(spark, rows), "g", tol=0.01).collect()}
+    assert set(got) == {"square", "star", "gap", "pair", "self", "two rings"}
+    assert got["square"] == [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)] and got["star"] == [(0, 0), (0, 3)]
+    assert got["gap"] == [(0, 0), (5, 0), (12, 0), (12.0, 0.008), (20, 0)] or got["gap"] == [(0, 0), (5, 0), (5.005, 0), (12.0, 0.008), (20, 0)]
+    assert got["pair"][0] == got["pair"][-1] == (0, 0) and len(got["pair"]) == 5 and len(got["self"]) == 4
+    assert got["two rings"][0] == got["two rings"][-1] and set(got["two rings"]) == {(0, 0), (2, 0), (2, 2)}
+
+
+def test_a_chain_of_many_ways(spark):
+    """Ways in any order and direction; every round looks twice as far."""
+    n = 100_000
+    ways = spark.range(n).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("x"), (F.xxhash64("id") % 2 == 0).alias("turn"))
+    a, b = (G.make_point(F.col("x") + k, (F.col("x") + k) % 7) for k in (0, 1))
+    mixed = ways.select("g", F.when(F.col("turn"), G.make_line(b, a)).otherwise(G.make_line(a, b)).alias("geom"))
+    line = R.line_merge(mixed.repartition(4), "g", tol=0.01).select(F.transform("geom", lambda p: p["x"]).alias("xs")).first()["xs"]
+    assert line in (list(map(float, range(n + 1))), list(map(float, range(n, -1, -1))))
 
 
 # ---------------------------------------------------------------- heat
