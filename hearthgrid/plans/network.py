@@ -274,7 +274,9 @@ def line_merge(df: DataFrame, group: str, line: str = "geom", tol: float = SNAP_
     piece = F.when(F.col("pos") == 0, path).otherwise(F.slice(path, 2, F.greatest(F.size(line) - 1, F.lit(1))))
     joined = placed.join(longest, [group, "chain"]).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("v")))).alias("p"))
     points = joined.select(group, F.flatten(F.transform("p", lambda v: v["v"])).alias("v"))
-    return points.select(group, F.filter("v", lambda p, i: (i == 0) | (F.get("v", i - 1) != p)).alias(line))
+    kept = points.select(group, F.filter("v", lambda p, i: (i == 0) | (F.get("v", i - 1) != p)).alias(line))
+    # a line without length keeps two points
+    return kept.withColumn(line, F.when(F.size(line) == 1, F.concat(line, line)).otherwise(F.col(line)))
 
 
 def merge_chains(ways: DataFrame, tol: float = MERGE_TOL) -> tuple[DataFrame, DataFrame]:
