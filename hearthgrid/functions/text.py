@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .geometry import LINE, MULTI, POLYGON, col, let, make_point
+from ..session import ship_active
 
 # ---------------------------------------------------------------- WKT
 
@@ -99,6 +100,8 @@ def to_wkb(g, kind: str) -> Column:
     else:
         multi = g
 
+    ship_active()
+
     @F.pandas_udf("binary")
     def encode(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         head = b"\x01" + np.uint32(code).tobytes()
@@ -143,6 +146,8 @@ def from_wkb(blob, kind: str) -> Column:
     """Inverse of :func:`to_wkb` (two dimensional, either byte order)."""
     flat = "parts array<int>, rings array<int>, xs array<double>, ys array<double>"
 
+    ship_active()
+
     @F.pandas_udf(flat)
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for blobs in batches:
@@ -261,6 +266,8 @@ def simplify(line, tolerance: float) -> Column:
     """Douglas-Peucker on a line or ring; Arrow batches carry bare coordinate arrays."""
     line = col(line)
 
+    ship_active()
+
     @F.pandas_udf("array<int>")
     def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in batches:

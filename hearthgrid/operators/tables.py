@@ -6,9 +6,22 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
+
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, of several the one with the smallest remaining columns; stored, so joins can still split hot keys of the other side."""
+    rest = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, "__r.*") if rest else rows.distinct()
+    return cut_lineage(one.select(*rows.columns))
+
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], cols: list[str] | None = None) -> DataFrame:
-    """Insert or replace by key. With ``cols`` a matching row keeps its other columns."""
+    """Insert or replace by key. With ``cols`` a matching row keeps its other columns.
+
+    Of several updates of one key the one with the smallest remaining columns counts.
+    """
+    updates = one_per_key(updates, keys)
     if cols is None:
         kept = target.join(updates.select(*keys).distinct(), keys, "left_anti")
         return kept.unionByName(updates, allowMissingColumns=True)
@@ -36,8 +49,11 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
 
 
 def update_from(target: DataFrame, source: DataFrame, keys: list[str], assign: dict[str, str]) -> DataFrame:
-    """UPDATE .. FROM: matched rows take the source value (also NULL), others keep theirs."""
-    src = source.select(*keys, *[F.col(s).alias(f"__{t}") for t, s in assign.items()], F.lit(True).alias("__hit"))
+    """UPDATE .. FROM: matched rows take the source value (also NULL), others keep theirs.
+
+    Of several source rows of one key the one with the smallest values counts: rows of the target never multiply.
+    """
+    src = one_per_key(source.select(*keys, *[F.col(s).alias(f"__{t}") for t, s in assign.items()], F.lit(True).alias("__hit")), keys)
     out = target.join(src, keys, "left")
     for t in assign:
         new = F.col(f"__{t}")

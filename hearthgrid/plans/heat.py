@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalar as S
 from ..operators import tables
+from ..session import ship_package
 
 WINDOW_SHARE = 0.75 * 0.2
 COMPONENTS = ("outer_wall", "rooftop", "window")
@@ -147,6 +148,8 @@ def ordered_layers(rows: DataFrame) -> DataFrame:
 
 def construction_table(rows: DataFrame) -> DataFrame:
     """Thermal resistance R and inner capacity C per construction; windows store no heat."""
+    ship_package(rows.sparkSession)
+
     @F.pandas_udf("R double, C double")
     def thermal(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for names, thick, cond, heat, dens in batches:

@@ -92,3 +92,10 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
     sc.addPyFile(archive)
     sc._hearthgrid_shipped = True
+
+
+def ship_active() -> None:
+    """``ship_package`` for functions that only see columns: the session that is active here."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship_package(spark)

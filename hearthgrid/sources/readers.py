@@ -122,6 +122,7 @@ def load_timeseries(raw: DataFrame, prefix: str = "openmeteo") -> tuple[DataFram
     series_id = F.xxhash64("grid_id", "variable")
     meta = raw.select(
         series_id.alias("id"), F.concat(F.lit(f"{prefix}_hourly_"), "variable").alias("name"),
+        # fixed value: the name of the column in existing tables
         F.concat(F.initcap(F.replace("variable", F.lit("_"), F.lit(" "))), F.lit(" from Open-Meteo, hourly")).alias("decription"),
         "grid_id", F.concat(F.lit("measurement:"), "variable").alias("type"), F.lit("1 hour").alias("resolution"),
         series_unit("variable").alias("unit"), F.lit(prefix).alias("group_id"),

@@ -117,6 +117,14 @@ def test_upserts(spark):
     assert sorted(tables.insert_ignore(t, u, ["k"]).collect()) == [(1, "a", "x"), (2, "b", "y"), (3, "c", "z")]
 
 
+def test_repeated_keys_of_the_source_multiply_nothing(spark):
+    t = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, w string")
+    u = spark.createDataFrame([(2, "B", "Z"), (2, "A", "Q"), (3, "c", "z"), (3, "c", "z")], "k int, v string, w string")
+    assert sorted(tables.upsert(t, u, ["k"]).collect()) == [(1, "a", "x"), (2, "A", "Q"), (3, "c", "z")]
+    assert sorted(tables.upsert(t, u, ["k"], ["v"]).collect()) == [(1, "a", "x"), (2, "A", "y"), (3, "c", "z")]
+    assert sorted(tables.update_from(t, u, ["k"], {"v": "w"}).collect()) == [(1, "a", "x"), (2, "Q", "y")]
+
+
 def test_clip_concave_area_with_hole(spark):
     def ring(*xy):
         return F.array(*[G.make_point(F.lit(float(x)), F.lit(float(y))) for x, y in xy])
