@@ -165,27 +165,36 @@ def within_distance_points(df: DataFrame, key: str, eps: float, cols: list[str]
         eps, [point_level(eps)], [point_level(0.0)]).drop(*BOX)
 
 
-def cluster_within(points: DataFrame, eps: float) -> DataFrame:
-    """Clusters of points (x, y) linked by steps of at most ``eps``: x, y, component (its least point).
+#: heads of a crowded cell: its points are tied to one of them, and these to the head of the cell
+_SALTS = 64
+
+
+def cluster_places(places: DataFrame, eps: float) -> DataFrame:
+    """key, component of distinct places (key: numbers, x, y) linked by steps of at most ``eps``; lone places have no row.
 
-    Equal points collapse first. Points of one cell of half the distance belong together, so they
-    are tied to one point of the cell instead of to each other; only points of different cells are
-    compared. A crowd in one place therefore costs no more than its points.
+    Places of one cell of half the distance belong together, so they are tied to one place of the cell
+    instead of to each other; only places of different cells are compared. Ties go over the heads of
+    parts of a cell, so a crowded cell is no single group.
     """
     from . import graph
 
-    places = cut_lineage(points.select("x", "y").distinct().withColumns({
-        "cx": F.floor(F.col("x") / (eps / 2)), "cy": F.floor(F.col("y") / (eps / 2)), "place": F.struct("x", "y")}))
-    heads = places.groupBy("cx", "cy").agg(F.min("place").alias("head"))
-    inside = places.join(heads, ["cx", "cy"]).filter("place <> head").select(
-        F.col("place").alias("source"), F.col("head").alias("target"))
-    near = within_distance_points(places, "place", eps, ["cx", "cy"]).filter(
-        "a_cx <> b_cx or a_cy <> b_cy").select(F.col("a_place").alias("source"), F.col("b_place").alias("target"))
-    comp = graph.connected_components(inside.unionByName(near)).select(
-        F.col("node.x").alias("x"), F.col("node.y").alias("y"), "component")
-    # lone points take part in no edge
-    return places.select("x", "y").join(comp, ["x", "y"], "left").withColumn(
-        "component", F.coalesce("component", F.struct("x", "y")))
+    filed = cut_lineage(places.select("key", "x", "y", F.floor(F.col("x") / (eps / 2)).alias("cx"), F.floor(F.col("y") / (eps / 2)).alias("cy"),
+                                      F.pmod(F.xxhash64("key"), F.lit(_SALTS)).alias("part")))
+    parts = filed.groupBy("cx", "cy", "part").agg(F.min("key").alias("head"), F.count("*").alias("n"))
+    heads = cut_lineage(parts.join(parts.groupBy("cx", "cy").agg(F.min("head").alias("first"), F.sum("n").alias("all")), ["cx", "cy"]).filter("all > 1"))
+    inside = filed.join(heads.select("cx", "cy", "part", "head"), ["cx", "cy", "part"]).select(F.col("key").alias("source"), F.col("head").alias("target")).unionByName(
+        heads.select(F.col("head").alias("source"), F.col("first").alias("target"))).filter("source <> target")
+    near = within_distance_points(filed, "key", eps, ["cx", "cy"]).filter(
+        "a_cx <> b_cx or a_cy <> b_cy").select(F.col("a_key").alias("source"), F.col("b_key").alias("target"))
+    return graph.connected_components(inside.unionByName(near)).withColumnRenamed("node", "key")
+
+
+def cluster_within(points: DataFrame, eps: float) -> DataFrame:
+    """Clusters of points (x, y) linked by steps of at most ``eps``: x, y, component (its least point). Equal points collapse first."""
+    places = cut_lineage(points.select("x", "y").distinct().withColumn("key", F.monotonically_increasing_id()))
+    placed = places.join(cluster_places(places, eps), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = placed.groupBy("component").agg(F.min(F.struct("x", "y")).alias("least"))
+    return placed.join(least, "component").select("x", "y", F.col("least").alias("component"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point: str, poly: str,

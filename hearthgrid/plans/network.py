@@ -137,54 +137,69 @@ def _ends(ways: DataFrame) -> DataFrame:
         "way_id", "ags", "s", "e", "p.*")
 
 
-def _end_neighbours(bases: DataFrame, ends: DataFrame, tol: float) -> DataFrame:
-    """(base way, side, neighbour way) with an end of the neighbour within ``tol`` of the base end."""
-    left = spatial.with_point_box(bases, G.make_point("x", "y"))
-    right = spatial.with_point_box(ends.select(
-        F.col("way_id").alias("n_id"), F.col("ags").alias("n_ags"), F.col("s").alias("n_s"), F.col("e").alias("n_e"),
-        F.col("x").alias("n_x"), F.col("y").alias("n_y")), G.make_point("n_x", "n_y"))
-    here = G.make_point("x", "y")
-    pairs = spatial.spatial_join(
-        left, right, lambda l, r: (l("way_id") != r("n_id")) & (
-            G.distance_points(G.make_point("x", "y"), G.make_point("n_x", "n_y")) <= tol),
-        tol, [spatial.point_level(tol)], [spatial.point_level(0.0)], on=[("ags", "n_ags")])
-    return pairs.select(
-        "way_id", "side", "n_id",
-        (G.distance_points("n_s", here) + G.distance_points("n_e", here)).alias("both"),
-        F.least(G.distance_points("n_s", here), G.distance_points("n_e", here)).alias("near")).distinct()
+def half_edges(ways: DataFrame) -> DataFrame:
+    """One row per place where ways end: place (a number), ags, x, y, halves (way_id, side, s, e of the ends that lie there)."""
+    at = _ends(ways).groupBy("ags", "x", "y").agg(F.sort_array(F.collect_list(F.struct("way_id", "side", "s", "e"))).alias("halves"))
+    return cut_lineage(at.withColumn("place", F.monotonically_increasing_id()))
+
+
+def _near_places(places: DataFrame, tol: float) -> DataFrame:
+    """(place, other) for different places of one municipality at most ``tol`` apart, in both directions."""
+    spots = spatial.with_point_box(places.select("place", "ags", "x", "y"), G.make_point("x", "y"))
+    pairs = spatial.half_pairs(spots, "place", ["ags", "x", "y"], lambda a, b: G.distance_points(
+        G.make_point(a("x"), a("y")), G.make_point(b("x"), b("y"))) <= tol, tol, [spatial.point_level(tol)], same=["ags"])
+    return cut_lineage(pairs.select(F.explode(F.array(F.struct(F.col("a_place").alias("place"), F.col("b_place").alias("other")),
+                                                      F.struct(F.col("b_place").alias("place"), F.col("a_place").alias("other")))).alias("p")).select("p.*"))
 
 
 def merge_candidates(ways: DataFrame, tol: float = MERGE_TOL) -> DataFrame:
-    """Per way and end: number, sorted ids and nearest of the ways that end within ``tol``."""
-    ends = _ends(ways)
-    found = _end_neighbours(ends, ends, tol).groupBy("way_id", "side").agg(
-        F.count("*").cast("int").alias("cnt"), F.array_sort(F.collect_list("n_id")).alias("ids"),
-        F.min_by("n_id", F.struct("both", "n_id")).alias("nearest"), F.min("near").alias("dist"))
+    """Per way and end: number, sorted ids and nearest of the ways that end within ``tol``.
+
+    The lists come from the places: ends are not paired. The list of an end is a row by definition.
+    """
+    places = half_edges(ways)
+    far = _near_places(places, tol).join(places.select(F.col("place").alias("other"), F.col("halves").alias("far")), "other").groupBy("place").agg(
+        F.flatten(F.collect_list("far")).alias("far"))
+    around = places.join(far, "place", "left").withColumn("all", F.when(F.col("far").isNull(), F.col("halves")).otherwise(F.concat("halves", "far")))
+    here = G.make_point("x", "y")
+
+    def seen(h: Column) -> Column:
+        others = F.filter("all", lambda o: o["way_id"] != h["way_id"])
+        gaps = F.transform(others, lambda o: F.struct(
+            (G.distance_points(o["s"], here) + G.distance_points(o["e"], here)).alias("both"), o["way_id"].alias("id"),
+            F.least(G.distance_points(o["s"], here), G.distance_points(o["e"], here)).alias("near")))
+        return F.struct(h["way_id"].alias("way_id"), h["side"].alias("side"), F.array_sort(F.array_distinct(F.transform(others, lambda o: o["way_id"]))).alias("ids"),
+                        F.array_min(gaps)["id"].alias("nearest"), F.array_min(F.transform(gaps, lambda v: v["near"])).alias("dist"))
+
+    found = around.select(F.explode(F.transform("halves", seen)).alias("h")).select("h.*").filter(F.size("ids") > 0).groupBy("way_id").pivot("side", ["start", "end"]).agg(
+        F.first(F.struct("ids", "nearest", "dist")))
     out = ways.filter(G.usable_line("geom")).select(
-        F.col("id").alias("way_id"), G.start_point("geom").alias("start_pt"), G.end_point("geom").alias("end_pt"))
+        F.col("id").alias("way_id"), G.start_point("geom").alias("start_pt"), G.end_point("geom").alias("end_pt")).join(found, "way_id", "left")
     for side in ("start", "end"):
-        part = found.filter(F.col("side") == side).select(
-            "way_id", F.col("cnt").alias(f"{side}_cnt"), F.col("ids").alias(f"{side}_neighbor_ids"),
-            F.col("nearest").alias(f"{side}_nearest_id"), F.col("dist").alias(f"{side}_nearest_dist_m"))
-        out = out.join(part, "way_id", "left").withColumns({
-            f"{side}_cnt": F.coalesce(f"{side}_cnt", F.lit(0)),
-            f"{side}_neighbor_ids": F.coalesce(f"{side}_neighbor_ids", F.array().cast("array<string>"))})
+        ids = F.coalesce(F.col(f"{side}.ids"), F.array().cast("array<string>"))
+        out = out.withColumns({
+            f"{side}_cnt": F.size(ids), f"{side}_neighbor_ids": ids, f"{side}_nearest_id": F.col(f"{side}.nearest"), f"{side}_nearest_dist_m": F.col(f"{side}.dist")}).drop(side)
     return out.withColumn("tol_m", F.lit(tol))
 
 
 def chain_edges(ways: DataFrame, tol: float = MERGE_TOL) -> DataFrame:
     """Edges u < v between a way end and the only other way that ends there.
 
-    Ends of one cell of half the tolerance are all within the tolerance of each other. A cell with
-    more than four ends has at least three ways, so none of its ends has a single neighbour, and
-    they are not expanded.
+    A place is one row with the number of its ways and two of them. Places of three ways and more, and those
+    with more than four others nearby (at least three ways), hold no such end; nothing of them is gathered.
     """
-    ends = _ends(ways).withColumns({"cx": F.floor(F.col("x") / (tol / 2)), "cy": F.floor(F.col("y") / (tol / 2))})
-    sparse = ends.groupBy("ags", "cx", "cy").agg(F.count("*").alias("n")).filter("n <= 4")
-    few = ends.join(sparse, ["ags", "cx", "cy"]).drop("n", "cx", "cy")
-    lone = _end_neighbours(few, ends.drop("cx", "cy"), tol).groupBy("way_id", "side").agg(
-        F.count("*").alias("cnt"), F.min("n_id").alias("n_id")).filter("cnt = 1")
-    return lone.select(F.least("way_id", "n_id").alias("u"), F.greatest("way_id", "n_id").alias("v")).distinct()
+    single = _ends(ways).select("ags", "x", "y", "way_id").distinct()
+    places = cut_lineage(single.groupBy("ags", "x", "y").agg(
+        F.count("*").alias("n"), F.min("way_id").alias("w1"), F.max("way_id").alias("w2")).withColumn("place", F.monotonically_increasing_id()))
+    near = _near_places(places, tol)
+    alone = places.filter("n = 2").join(near.select("place").distinct(), "place", "left_anti").select(F.col("w1").alias("u"), F.col("w2").alias("v"))
+    few = near.groupBy("place").agg(F.count("*").alias("k")).filter("k <= 4").select("place")
+    others = near.join(few, "place").join(places.select(F.col("place").alias("other"), F.col("n").alias("m"), F.array("w1", "w2").alias("w")), "other").groupBy("place").agg(
+        F.max("m").alias("m"), F.flatten(F.collect_list("w")).alias("w")).filter("m <= 2").drop("m")
+    met = places.filter("n <= 2").join(others, "place").withColumn("w", F.array_distinct(F.concat("w", F.array("w1", "w2"))))
+    own = met.select("w", F.explode(F.array_distinct(F.array("w1", "w2"))).alias("h")).withColumn("w", F.array_remove("w", F.col("h"))).filter(F.size("w") == 1)
+    mixed = own.select(F.least("h", F.get("w", 0)).alias("u"), F.greatest("h", F.get("w", 0)).alias("v"))
+    return alone.unionByName(mixed).distinct()
 
 
 def _places(ends: DataFrame, group: str, tol: float) -> DataFrame:
@@ -430,13 +445,18 @@ def connector_postcode(connectors: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def build_nodes(ways: DataFrame, tol: float = NODE_TOL) -> DataFrame:
-    """Way ends clustered by distance: ags, id, geom (mean of the ends), way_ids."""
-    ends = _ends(ways).select("way_id", "ags", "x", "y")
-    placed = ends.join(spatial.cluster_within(ends, tol), ["x", "y"])
+    """Way ends clustered by distance: ags, id, geom (mean of the ends), way_ids.
+
+    Ends become places first; the clusters are found over their numbers. The ids of a node are a row by definition.
+    """
+    places = cut_lineage(_ends(ways).groupBy("x", "y").agg(
+        F.collect_set("way_id").alias("w"), F.min("ags").alias("ags"), F.count("*").alias("n")).withColumn("key", F.monotonically_increasing_id()))
+    placed = places.join(spatial.cluster_places(places, tol), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    ends = F.sum("n")
     return placed.groupBy("component").agg(
-        F.array_sort(F.collect_set("way_id")).alias("way_ids"), F.min("ags").alias("ags"),
-        F.avg("x").alias("cx"), F.avg("y").alias("cy")).select(
-        "ags", F.md5(F.concat_ws(":", F.col("component.x").cast("string"), F.col("component.y").cast("string"))).alias("id"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("way_ids"), F.min("ags").alias("ags"), F.min(F.struct("x", "y")).alias("first"),
+        (F.sum(F.col("n") * F.col("x")) / ends).alias("cx"), (F.sum(F.col("n") * F.col("y")) / ends).alias("cy")).select(
+        "ags", F.md5(F.concat_ws(":", F.col("first.x").cast("string"), F.col("first.y").cast("string"))).alias("id"),
         G.make_point("cx", "cy").alias("geom"), "way_ids")
 
 

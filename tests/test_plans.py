@@ -111,6 +111,27 @@ def test_junction_of_three_is_not_merged(spark):
     assert R.chain_edges(w).count() == 0
 
 
+def test_ends_near_places_against_brute_force(spark):
+    """Ends that fall together exactly, within the tolerance and in a crowded place; two municipalities in the same place."""
+    rng = np.random.default_rng(3)
+    spots = rng.integers(0, 6, (160, 4)).astype(float)
+    rows = [(f"w{k:03d}", int(k % 2), [(float(a + rng.choice([0, 0, 0.1, 0.15])), float(b)), (float(c), float(d + rng.choice([0, 0, 0.12])))]) for k, (a, b, c, d) in enumerate(spots) if (a, b) != (c, d)]
+    rows += [(f"z{k:03d}", 1, [(50.0, 50.0), (60.0 + 5 * k, 60.0)]) for k in range(40)]
+    rows += [("loop", 1, [(90.0, 0.0), (95.0, 0.0), (90.0, 0.1)]), ("tail", 1, [(90.0, 0.05), (90.0, 30.0)]), ("lone", 1, [(200.0, 0.0), (210.0, 0.0)]), ("next", 1, [(210.15, 0.0), (220.0, 0.0)])]
+    df = spark.createDataFrame([(i, a, [{"x": x, "y": y} for x, y in line]) for i, a, line in rows], f"id string, ags int, geom {R.G.LINE}").repartition(3)
+    gap = lambda p, q: math.hypot(p[0] - q[0], p[1] - q[1])
+    want, edges = {}, set()
+    for i, a, line in rows:
+        for side, p in (("start", line[0]), ("end", line[-1])):
+            seen = {j: (gap(m[0], p) + gap(m[-1], p), min(gap(m[0], p), gap(m[-1], p))) for j, b, m in rows if j != i and a == b and min(gap(m[0], p), gap(m[-1], p)) <= 0.2}
+            want[i, side] = (sorted(seen), min(seen, key=lambda j: (seen[j][0], j)) if seen else None)
+            if len(seen) == 1:
+                edges.add((min(i, *seen), max(i, *seen)))
+    got = {(r.way_id, side): (r[f"{side}_neighbor_ids"], r[f"{side}_nearest_id"]) for r in R.merge_candidates(df).collect() for side in ("start", "end")}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert {tuple(r) for r in R.chain_edges(df).collect()} == edges and len(edges) > 3
+
+
 def test_loops_hand_over_their_length(spark):
     w = line_df(spark, [("loop", [(0, 0), (5, 5), (5, -5), (0, 0)]), ("main", [(-50, 0), (0, 0)]), ("lone", [(500, 500), (600, 600)])])
     kept, gone = R.filter_ways_topology(w, 1.0)
