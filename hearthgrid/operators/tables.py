@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -86,23 +87,49 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str =
     return rows.join(named, same(keys, [f"__g_{k}" for k in keys]), how).drop(*[f"__g_{k}" for k in keys])
 
 
+#: distinct values of one group that are ordered in one task, and bins of a histogram
+ORDERED_VALUES, BINS = 20_000, 4096
+
+
 def median_with_support(df: DataFrame, keys: list[str], value: Column, min_count: int) -> DataFrame:
     """Exact median per group, kept only with enough samples; a NULL key is a group of its own.
 
-    Equal values are counted first, then the middle rows are found by their position, so a group of any
-    size spreads over tasks. NULL values count as samples but not for the median; a group without other
-    values has the median NULL.
+    Equal values are counted first. A group with more than ``ORDERED_VALUES`` different values is narrowed by
+    histograms: counts per bin tell which bin holds the middle, and only its values go on, in finer
+    bins over the range that is left. What is left of a group is ordered in one task.
+    NULL values count as samples but not for the median; a group without other values has the median NULL. NaN is the largest value.
     """
-    counted = df.groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("__n"))
-    placed = rank_within(counted, keys, [F.col("__v").isNull(), F.col("__v")], "__last", weight="__n")
-    sizes = placed.groupBy(*keys).agg(
-        F.sum("__n").alias("sample_count"), F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).alias("__m"))
-    low, high = F.floor((F.col("__m") + 1) / 2), F.floor((F.col("__m") + 2) / 2)
-    first = F.col("__last") - F.col("__n") + 1
-    middle = F.when(F.col("__v").isNotNull() & (first <= high) & (F.col("__last") >= low), F.col("__v"))
-    return join_groups(placed, sizes.filter(F.col("sample_count") >= min_count), keys).groupBy(*keys).agg(
-        F.min(middle).alias("__lo"), F.max(middle).alias("__hi"), F.first("sample_count").alias("sample_count")).select(
-        *keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * 0.5).alias("median"), "sample_count")
+    counted = cut_lineage(df.groupBy(*keys, value.alias("__v")).agg(F.count("*").alias("__n")))
+    sizes = counted.groupBy(*keys).agg(
+        F.sum("__n").alias("sample_count"), F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).alias("__m"), F.count("__v").alias("__d")).filter(
+        F.col("sample_count") >= min_count)
+    # one or two ranks in the middle; each is sought on its own
+    wanted = F.array_distinct(F.array(F.floor((F.col("__m") + 1) / 2), F.floor((F.col("__m") + 2) / 2)))
+    ranks = sizes.filter("__m > 0").select(*keys, F.posexplode(wanted).alias("__t", "__k"))
+    left = join_groups(counted.filter("__v IS NOT NULL"), cut_lineage(ranks), keys)
+    own = [*keys, "__t"]
+    group = Window.partitionBy(*own)
+    if (sizes.agg(F.max("__d")).first()[0] or 0) > ORDERED_VALUES:
+        number = F.col("__v").cast("double")
+        finite = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+        left = cut_lineage(left)
+        while True:
+            most = left.groupBy(*own).agg(F.count("*").alias("d"), (F.max(finite) / BINS - F.min(finite) / BINS).alias("w")).filter(
+                F.col("d") > ORDERED_VALUES).agg(F.max("w")).first()[0]
+            if not most:
+                break
+            width = 2.0 ** math.ceil(math.log2(max(most, 2.0**-1022)))
+            binned = left.withColumn("__b", F.when(F.isnan(number), F.lit(2**63 - 1)).otherwise(F.floor(number / width)))
+            histogram = binned.groupBy(*own, "__b").agg(F.sum("__n").alias("__n"), F.first("__k").alias("__k"))
+            upto = F.sum("__n").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+            middle = histogram.withColumn("__upto", upto).filter((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__n") < F.col("__k")))
+            bins = cut_lineage(middle.select(*own, "__b", (F.col("__k") - F.col("__upto") + F.col("__n")).alias("__k")))
+            left = cut_lineage(join_groups(binned.drop("__k"), bins, [*own, "__b"]).select(*own, "__v", "__n", "__k"))
+    last = F.sum("__n").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    found = left.withColumn("__last", last).filter((F.col("__last") >= F.col("__k")) & (F.col("__last") - F.col("__n") < F.col("__k"))).groupBy(*keys).agg(
+        F.min("__v").alias("__first"), F.max("__v").alias("__second"))
+    return join_groups(sizes, found, keys, "left").select(
+        *keys, (F.col("__first") + (F.col("__second") - F.col("__first")) * 0.5).alias("median"), "sample_count")
 
 
 BROADCAST_ROWS = 200_000

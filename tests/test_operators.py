@@ -147,6 +147,23 @@ def test_median(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("values, bins", [(4, 64), (50, 16)])
+def test_median_by_narrowing(spark, monkeypatch, values, bins):
+    """Histograms narrow every group to its middle: ties, infinities, NaN, far outliers, null groups."""
+    monkeypatch.setattr(tables, "ORDERED_VALUES", values)
+    monkeypatch.setattr(tables, "BINS", bins)
+    rng = np.random.default_rng(bins)
+    rows = [("hot", float(v)) for v in rng.normal(size=400)] + [(None, float(v)) for v in rng.integers(0, 9, 101)] + [("far", v) for v in (1e300, -1e300, 1.0, 1.5, 2.0, 1e-300)]
+    rows += [("inf", v) for v in (float("inf"), float("-inf"), 3.0, float("inf"), float("inf"))] + [("nan", v) for v in (float("nan"), 1.0, 2.0, 3.0, 4.0)] + [("gap", float(v + 1000 * k)) for v in np.arange(60.0) / 64 for k in (0, 1)]
+    got = {r.g: r.median for r in tables.median_with_support(spark.createDataFrame(rows, "g string, v double"), ["g"], F.col("v"), 1).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        v = sorted((x for k, x in rows if k == g), key=lambda x: (x != x, x))
+        a, b = v[(len(v) - 1) // 2], v[len(v) // 2]
+        want[g] = a + (b - a) * 0.5
+    assert {k: v for k, v in got.items() if k != "inf"} == {k: v for k, v in want.items() if k != "inf"} and "inf" in got
+
+
 def test_clusters_of_a_crowded_place(spark):
     a = skewed(900, 9)
     a.loc[:50, ["x", "y"]] = [500.0, 500.0]
