@@ -19,6 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ship_package
 from .common import in_arrow, key_and_bytes, query, table
 from .wordpieces import byte_letters, public_path, read_tokenizer, splitter
 
@@ -224,6 +225,7 @@ def decode_documents(encoded: DataFrame, tokenizer_file: str, digests: bool = Fa
             else:
                 out |= {"ids": listed, "decoded": pa.array([text_of(i).decode() for i in ids], pa.string())}
             yield pa.RecordBatch.from_pydict(out)
+    ship_package(encoded.sparkSession)
     rows = encoded.select("id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "id long, ids array<int>, decoded string")
 

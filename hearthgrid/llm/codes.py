@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ship_package
 from .common import in_arrow, query, store, table
 
 PARTS, ENTRIES, ROUNDS, SCALE, CHUNK, BLOCK, SLAB, FEW_LABELS = 16, 64, 2, 256, 8192, 32, 200_000, 10_000
@@ -221,6 +222,7 @@ def fit_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 def decode_codes(codes: DataFrame, books: Codebooks, codes_col: str = "codes", scale: int = SCALE) -> DataFrame:
     """``codes`` with a column vector: the entries that the codes name, divided by ``scale``."""
+    ship_package(codes.sparkSession)
     names = codes.columns + ["vector"]
 
     def run(batches):

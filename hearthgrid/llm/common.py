@@ -87,6 +87,7 @@ def in_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship_package(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
@@ -102,6 +103,8 @@ def in_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sche
 
 def keep_rows(df: DataFrame, text_col: str, wanted: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """Rows of which the whole text (null: empty) is wanted; all columns pass through untouched."""
+    ship_package(df.sparkSession)
+
     def run(batches):
         for batch in batches:
             for b in slices(batch):

@@ -39,7 +39,11 @@ TEMPLATES = {
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GNU GPL version 3.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
                 "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Released under the GNU GPL version 2."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Released under the GNU GPL version 2.",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                "version 2 as published by the Free Software Foundation."],
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
@@ -48,10 +52,16 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
-THRESHOLD, WHOLE_WORDS, LICENCE_SHARE = 0.7, 400, 0.5
+# the identifier line of every licence; the two versions of the GPL have names with and without later versions
+for _name, _texts in TEMPLATES.items():
+    _texts += [f"SPDX-License-Identifier: {_name}{_end}" for _end in (("-only", "-or-later") if "GPL" in _name else ("",))]
+
+THRESHOLD, LICENCE_SHARE, LEAST_RUN = 0.7, 0.5, 3
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _MARK = re.compile(r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|<!--|\(\*|%+|\"\"\")[ \t]*|[ \t]*(?:\*+/|-->|\*\))[ \t]*$")
@@ -115,11 +125,14 @@ class Scanner:
         return found[best] / math.sqrt(length), self.vectors[best][0]
 
     def windows(self, words: list[str]) -> list[tuple[float, str, int, int]]:
-        """(cosine, licence, start, end) of runs of words as long as a template that reach the threshold."""
+        """(cosine, licence, start, end) of runs of words as long as a template that reach the threshold.
+
+        Identifier lines of fewer than ``LEAST_RUN`` words are units of their own and no runs.
+        """
         at, out = np.array([self.column.get(w, -1) for w in words], dtype=np.int64), []
         square = np.r_[0.0, np.cumsum(self.squares[at])]
         for adds, length in zip(self.adds, self.lengths):
-            if length > len(words):
+            if length > len(words) or length < LEAST_RUN:
                 continue
             dot = np.r_[0.0, np.cumsum(adds[at])]
             # repeated words make a run longer than this: no run that reaches the threshold is passed over
@@ -142,7 +155,7 @@ class Scanner:
         units = text.split("\n")
         units += [p for p in _PARAGRAPH.split(text) if "\n" in p.strip()]
         total = len(text.split())
-        if total <= WHOLE_WORDS and "\n" in text:
+        if "\n" in text:
             units.append(text)
         for unit in units:
             if self.finder.search(unit.lower()):
@@ -150,15 +163,14 @@ class Scanner:
                 if score >= self.threshold and (score, -len(unit)) > (best, -words):
                     best, name, words = score, found, len(unit.split())
         whole = name is not None and words >= LICENCE_SHARE * total
-        if "\n" in text.strip() or total > WHOLE_WORDS:
-            run = _WORD.findall(text.lower())
-            covered: dict[str, np.ndarray] = {}
-            for score, found, s, e in self.windows(run):
-                covered.setdefault(found, np.zeros(len(run), dtype=bool))[s:e] = True
-                if score > best + 1e-12:
-                    best, name = score, found
-            if name in covered:
-                whole = whole or int(covered[name].sum()) >= LICENCE_SHARE * len(run)
+        run = _WORD.findall(text.lower())
+        covered: dict[str, np.ndarray] = {}
+        for score, found, s, e in self.windows(run):
+            covered.setdefault(found, np.zeros(len(run), dtype=bool))[s:e] = True
+            if score > best + 1e-12:
+                best, name = score, found
+        if name in covered:
+            whole = whole or int(covered[name].sum()) >= LICENCE_SHARE * len(run)
         return best, name, whole
 
 

@@ -189,8 +189,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     # every component keeps its smallest id
     labels = similar_groups(texts, total, width, similarity, seed).filter("node <> component").select(F.col("node").alias("id"))
     kept = cut_lineage(rest.join(labels, "id", "left_anti").select(F.col("kid").alias("__kid"), F.col("th").alias("__th")))
-    return docs.withColumns({"__kid": kid, "__th": th}).join(kept, ["__kid", "__th"], "left_semi").dropDuplicates(
-        ["__kid", "__th"]).select(*docs.columns)
+    # the row travels in a struct: columns of any name come back as they were
+    whole = docs.select(kid.alias("__kid"), th.alias("__th"), F.struct(*docs.columns).alias("__row"))
+    return whole.join(kept, ["__kid", "__th"], "left_semi").dropDuplicates(["__kid", "__th"]).select("__row.*")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,

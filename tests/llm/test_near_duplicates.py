@@ -62,3 +62,10 @@ def test_linked_is_exact():
     n = range(len(sets))
     near = [(a, b) for a in n for b in n if a < b and len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))]
     assert dict(enumerate(jaccard.linked(sets, 0.6).tolist())) == components(n, near)
+
+
+def test_columns_of_any_name_come_back(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "keep", "x"), (2, text + " more", "gone", "y"), (3, "another text of its own", None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __kid string, __th string")
+    assert sorted(tuple(r) for r in drop_near_duplicates(docs).collect()) == [rows[0], rows[2]]
