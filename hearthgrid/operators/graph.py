@@ -28,6 +28,7 @@ def _with_minimum(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
     """
     if total < HEAVY_EDGES:  # no node is heavy
         return edges.join(low.select("u", "m"), "u")
+    low = cut_lineage(low)  # read by both ways
     heavy = F.broadcast(low.filter(F.col("n") > total / HEAVY_SHARE).select("u", "m"))
     light = low.filter(F.col("n") <= total / HEAVY_SHARE).select("u", "m")
     return edges.join(heavy.select("u"), "u", "left_anti").join(light, "u").unionByName(edges.join(heavy, "u"))

@@ -165,8 +165,8 @@ def within_distance_points(df: DataFrame, key: str, eps: float, cols: list[str]
         eps, [point_level(eps)], [point_level(0.0)]).drop(*BOX)
 
 
-#: heads of a crowded cell: its points are tied to one of them, and these to the head of the cell
-_SALTS = 64
+#: most heads of a crowded cell: its points are tied to one of them, and these to the head of the cell; places per head of a full set
+_SALTS, _SALT_PLACES = 64, 100_000
 
 
 def cluster_places(places: DataFrame, eps: float) -> DataFrame:
@@ -178,8 +178,9 @@ def cluster_places(places: DataFrame, eps: float) -> DataFrame:
     """
     from . import graph
 
-    filed = cut_lineage(places.select("key", "x", "y", F.floor(F.col("x") / (eps / 2)).alias("cx"), F.floor(F.col("y") / (eps / 2)).alias("cy"),
-                                      F.pmod(F.xxhash64("key"), F.lit(_SALTS)).alias("part")))
+    filed = cut_lineage(places.select("key", "x", "y", F.floor(F.col("x") / (eps / 2)).alias("cx"), F.floor(F.col("y") / (eps / 2)).alias("cy")))
+    salts = max(1, min(_SALTS, filed.count() // _SALT_PLACES))  # few places need no parts; the clusters are the same
+    filed = filed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(salts)))
     parts = filed.groupBy("cx", "cy", "part").agg(F.min("key").alias("head"), F.count("*").alias("n"))
     heads = cut_lineage(parts.join(parts.groupBy("cx", "cy").agg(F.min("head").alias("first"), F.sum("n").alias("all")), ["cx", "cy"]).filter("all > 1"))
     inside = filed.join(heads.select("cx", "cy", "part", "head"), ["cx", "cy", "part"]).select(F.col("key").alias("source"), F.col("head").alias("target")).unionByName(

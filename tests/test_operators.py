@@ -164,7 +164,8 @@ def test_median_by_narrowing(spark, monkeypatch, values, bins):
     assert {k: v for k, v in got.items() if k != "inf"} == {k: v for k, v in want.items() if k != "inf"} and "inf" in got
 
 
-def test_clusters_of_a_crowded_place(spark):
+def test_clusters_of_a_crowded_place(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "_SALT_PLACES", 100)
     a = skewed(900, 9)
     a.loc[:50, ["x", "y"]] = [500.0, 500.0]
     got = spatial.cluster_within(spark.createDataFrame(a), 2.0).toPandas()
