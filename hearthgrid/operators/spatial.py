@@ -170,7 +170,7 @@ _SALTS, _SALT_PLACES = 64, 100_000
 
 
 def cluster_places(places: DataFrame, eps: float) -> DataFrame:
-    """key, component of distinct places (key: numbers, x, y) linked by steps of at most ``eps``; lone places have no row.
+    """key, component of distinct places (a stored table of key: numbers, x, y) linked by steps of at most ``eps``; lone places have no row.
 
     Places of one cell of half the distance belong together, so they are tied to one place of the cell
     instead of to each other; only places of different cells are compared. Ties go over the heads of
@@ -178,11 +178,11 @@ def cluster_places(places: DataFrame, eps: float) -> DataFrame:
     """
     from . import graph
 
-    filed = cut_lineage(places.select("key", "x", "y", F.floor(F.col("x") / (eps / 2)).alias("cx"), F.floor(F.col("y") / (eps / 2)).alias("cy")))
-    salts = max(1, min(_SALTS, filed.count() // _SALT_PLACES))  # few places need no parts; the clusters are the same
-    filed = filed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(salts)))
+    salts = max(1, min(_SALTS, places.count() // _SALT_PLACES))  # few places need no parts; the clusters are the same
+    filed = places.select("key", "x", "y", F.floor(F.col("x") / (eps / 2)).alias("cx"), F.floor(F.col("y") / (eps / 2)).alias("cy"),
+                          F.pmod(F.xxhash64("key"), F.lit(salts)).alias("part"))
     parts = filed.groupBy("cx", "cy", "part").agg(F.min("key").alias("head"), F.count("*").alias("n"))
-    heads = cut_lineage(parts.join(parts.groupBy("cx", "cy").agg(F.min("head").alias("first"), F.sum("n").alias("all")), ["cx", "cy"]).filter("all > 1"))
+    heads = parts.join(parts.groupBy("cx", "cy").agg(F.min("head").alias("first"), F.sum("n").alias("all")), ["cx", "cy"]).filter("all > 1")
     inside = filed.join(heads.select("cx", "cy", "part", "head"), ["cx", "cy", "part"]).select(F.col("key").alias("source"), F.col("head").alias("target")).unionByName(
         heads.select(F.col("head").alias("source"), F.col("first").alias("target"))).filter("source <> target")
     near = within_distance_points(filed, "key", eps, ["cx", "cy"]).filter(
