@@ -18,14 +18,15 @@ from functools import lru_cache
 from itertools import islice
 
 _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
-_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_ENDINGS = "'(?:[stmd]|re|ve|ll)"
 # no combining marks, no letters beyond Latin-1, and only blanks on which all engines agree
 _UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff‐-‧]")
 _COMMON_BYTES = bytes([9, 10, 13, *range(0x20, 0x7f), *range(0xa1, 0x100)])
-_BYTE_LEVEL = re.compile(rf"{_ENDINGS}| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+")
-_WORD_LEVEL = re.compile(rf"{_ENDINGS}|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
+# letters first: no other branch begins with one, and they are the commonest case
+_BYTE_LEVEL = re.compile(rf" ?[{_LETTER}]+|{_ENDINGS}| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+")
+_WORD_LEVEL = re.compile(rf"[{_LETTER}]+|{_ENDINGS}|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LONG_TEXT, TOGETHER = 4_000_000, 500_000
+LONG_TEXT = 4_000_000
 
 
 def _is_common(text: str) -> bool:
@@ -88,7 +89,9 @@ class Splitter:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 2**16 else 4
         self.letters = {b: c for c, b in byte_letters().items()}
         self.blank = self.letters[32]
-        self.new, self.old = {}, {}
+        self.kind = "H" if self.width == 2 else "I"
+        self.merge = self.tokenizer.model.tokenize
+        self.known = _Known(self)
 
     def words(self, text: str) -> Iterator[list[str]]:
         """Lists of the words of a text, in order; long texts come in several lists."""
@@ -108,51 +111,56 @@ class Splitter:
                     part = self.tokenizer.normalizer.normalize_str(part)
                 yield [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Little-endian ids of each word, by the merges of the tokenizers library.
+    def encode_word(self, word: str) -> array:
+        """Ids of a word, by the merges of the tokenizers library.
 
         A word is what its pre-tokenizer hands to the model, once written in byte letters; going to the
         model at once leaves out the work on offsets that a whole encoding does.
         """
-        kind, merge, out = ("H" if self.width == 2 else "I"), self.tokenizer.model.tokenize, []
-        for w in words:
-            if w in self.marks:
-                ids = [self.tokenizer.token_to_id(w)]
-            elif w.isascii() and w.isprintable():
-                ids = [t.id for t in merge(w.replace(" ", self.blank))]
-            else:
-                ids = [t.id for t in merge(w.encode().decode("latin-1").translate(self.letters))]
-            out.append(array(kind, ids))
+        if word in self.marks:
+            return array(self.kind, [self.tokenizer.token_to_id(word)])
+        plain = word.isascii() and word.isprintable()
+        spelt = word.replace(" ", self.blank) if plain else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.merge(spelt)])
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Little-endian ids of each word."""
+        return [self.little_endian(self.encode_word(w)) for w in words]
+
+    @staticmethod
+    def little_endian(ids: array) -> bytes:
         if sys.byteorder == "big":
-            for ids in out:
-                ids.byteswap()
-        return [ids.tobytes() for ids in out]
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text; words met before are not encoded again."""
-        out = []
-        for group in _grouped(texts, TOGETHER):
-            lists = [list(self.words(t)) for t in group]
-            distinct = set().union(*(w for found in lists for w in found))
-            if len(self.new) > self.REMEMBERED:  # two generations: words still in use move on, others are forgotten
-                self.new, self.old = {}, self.new
-            missing = distinct.difference(self.new)
-            known = missing.intersection(self.old)
-            self.new.update((w, self.old[w]) for w in known)
-            if unknown := list(missing - known):
-                self.new.update(zip(unknown, self.encode_words(unknown)))
-            take = self.new.__getitem__
-            out += [b"".join([b"".join(map(take, w)) for w in found]) for found in lists]
+        out, ids_of = [], self.known.__getitem__
+        for t in texts:
+            out.append(b"".join([b"".join(map(ids_of, w)) for w in self.words(t)]))
+            self.known.forget(self.REMEMBERED)
         return out
 
 
-def _grouped(texts: list[str], size: int) -> Iterator[list[str]]:
-    group, held = [], 0
-    for t in texts:
-        group.append(t)
-        held += len(t)
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+class _Known(dict):
+    """Word -> its ids in little-endian bytes, encoded when it is first asked for.
+
+    Two generations: words still in use move on from the older one, others are forgotten.
+    """
+
+    def __init__(self, words: Splitter):
+        super().__init__()
+        self.encode, self.older = words.encode_word, {}
+        self.packed = words.little_endian
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.packed(self.encode(word))
+        self[word] = ids
+        return ids
+
+    def forget(self, most: int) -> None:
+        if len(self) > most:
+            self.older = dict(self)
+            self.clear()
