@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.graph import connected_components
 from ..session import cut_lineage
 from .common import WordHashes, in_arrow, mixed, store, windowed
+from .packing import pack as packed, steps, unpack
 
 BUCKET_ENTRIES, CHUNK, COLUMNS = 1_000_000, 128, 4096
 
@@ -35,14 +36,13 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-9) + 1
 
 
-def _narrow(keys: np.ndarray, width: int) -> bytes:
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width:].tobytes()
+def _ascending(values: np.ndarray) -> bytes:
+    """Sorted keys or places by their steps, which need far fewer bytes than the values."""
+    return packed(steps(values))
 
 
-def _widen(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
-    out[:, 8 - width:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
-    return out.reshape(-1).view(">u8").astype(np.uint64)
+def _restored(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob)[0])
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,51 +89,56 @@ def meetings(texts: DataFrame, total: int, width: int, similarity: float, seed:
     buckets = max(64, total // BUCKET_ENTRIES)
     bounds = np.array([(i << 8 * size) // buckets for i in range(1, buckets)], dtype=np.uint64)
 
-    def pack(batches):
+    def read(batches):
         hashes, block = WordHashes(seed), TaskContext.get().partitionId() << 32
         for b in batches:
             sets = [shingle_set(t, width, hashes) for t in b["text"]]
-            keys = np.concatenate(sets) >> np.uint64(64 - 8 * size)
+            keys, own, n = np.unique(np.concatenate(sets) >> np.uint64(64 - 8 * size), return_inverse=True, return_counts=True)
             yield {"block": [block], "ids": [np.array(b["id"], dtype=np.int64).tobytes()],
-                   "sizes": [np.array([len(s) for s in sets], dtype=np.int64).tobytes()], "keys": [_narrow(keys, size)]}
+                   "sizes": [np.array([len(s) for s in sets], dtype=np.int64).tobytes()], "own": [_ascending(own)], "keys": [packed(steps(keys), n)]}
             block += 1
-    blocks = store(in_arrow(texts, pack, "block long, ids binary, sizes binary, keys binary"), "shingle-blocks")
+    # a text holds places in the keys of its block, which are far shorter than keys and meet no other block
+    blocks = store(in_arrow(texts, read, "block long, ids binary, sizes binary, own binary, keys binary"), "shingle-blocks")
 
     def deal(batches):
         for b in batches:
             for block, raw in zip(b["block"], b["keys"]):
-                keys, n = np.unique(_widen(raw, size), return_counts=True)
+                keys, n = unpack(raw)
+                keys = np.cumsum(keys).view(np.uint64)
                 cuts = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
                 some = np.nonzero(np.diff(cuts))[0].tolist()
-                yield {"bucket": some, "block": [block] * len(some), "keys": [_narrow(keys[cuts[i]:cuts[i + 1]], size) for i in some],
-                       "n": [n[cuts[i]:cuts[i + 1]].astype(np.uint32).tobytes() for i in some]}
+                yield {"bucket": some, "block": [block] * len(some),
+                       "keys": [packed(steps(keys[cuts[i]:cuts[i + 1]]), n[cuts[i]:cuts[i + 1]]) for i in some]}
 
     def count(group: pa.Table) -> pa.Table:
-        packs = [_widen(k, size) for k in group.column("keys").to_pylist()]
+        packs, n = zip(*(unpack(k) for k in group.column("keys").to_pylist()))
+        packs = [np.cumsum(k) for k in packs]
         _, inverse = np.unique(np.concatenate(packs), return_inverse=True)
-        n = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group.column("n").to_pylist()])
-        df = np.minimum(np.bincount(inverse, weights=n)[inverse], 2**32 - 1).astype(np.uint32)
+        df = np.bincount(inverse, weights=np.concatenate(n))[inverse].astype(np.int64)
         parts = np.split(df, np.cumsum([len(p) for p in packs])[:-1])
-        return pa.table({"bucket": group.column("bucket"), "block": group.column("block"), "n": pa.array([p.tobytes() for p in parts], pa.binary())})
-    counted = in_arrow(blocks.select("block", "keys"), deal, "bucket long, block long, keys binary, n binary").groupBy("bucket").applyInArrow(
-        count, "bucket long, block long, n binary").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("packs")).select(
-        "block", F.col("packs.n").alias("packs"))
+        return pa.table({"bucket": group.column("bucket"), "block": group.column("block"), "n": pa.array([packed(d) for d in parts], pa.binary()),
+                         "keys": pa.array([_ascending(k[d > 1]) for k, d in zip(packs, parts)], pa.binary())})
+    counted = in_arrow(blocks.select("block", "keys"), deal, "bucket long, block long, keys binary").groupBy("bucket").applyInArrow(
+        count, "bucket long, block long, n binary, keys binary").groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("bucket", "n", "keys"))).alias("packs")).select(
+        "block", F.col("packs.n").alias("n"), F.col("packs.keys").alias("keys"))
 
     def choose(batches):
         for b in batches:
-            for ids, sizes, raw, packs in zip(b["ids"], b["sizes"], b["keys"], b["packs"]):
-                keys = _widen(raw, size)
-                _, inverse = np.unique(keys, return_inverse=True)
-                df = np.frombuffer(b"".join(packs), dtype=np.uint32)[inverse]
+            for ids, sizes, own, n, keys in zip(b["ids"], b["sizes"], b["own"], b["n"], b["keys"]):
+                own, df = _restored(own), np.concatenate([unpack(x)[0] for x in n])
+                key = np.zeros(len(df), dtype=np.int64)
+                key[df > 1] = np.concatenate([_restored(x) for x in keys])
                 out, at = [], 0
                 for i, n in zip(np.frombuffer(ids, dtype=np.int64).tolist(), np.frombuffer(sizes, dtype=np.int64).tolist()):
-                    k, d = keys[at:at + n], df[at:at + n]
+                    k = own[at:at + n]
+                    d = df[k]
                     first = np.lexsort((k, d))[:prefix_length(n, similarity)]
                     found = np.unique(k[first[d[first] > 1]])
-                    out.append((found.view(np.int64), np.full(len(found), i), np.full(len(found), n)))
+                    out.append((key[found], np.full(len(found), i), np.full(len(found), n)))
                     at += n
                 yield {c: np.concatenate(x) for c, x in zip(("key", "id", "size"), zip(*out))}
-    postings = in_arrow(blocks.join(counted, "block"), choose, "key long, id long, size long").withColumn("class", _class(similarity))
+    postings = in_arrow(blocks.drop("keys").join(counted, "block"), choose, "key long, id long, size long").withColumn("class", _class(similarity))
     # compatible sizes are in the same or the next class; one link to the smallest id keeps everybody who meets connected
     met = store(postings.select("key", "id", F.explode(F.array("class", F.col("class") + 1)).alias("class")), "prefixes")
     low = met.groupBy("key", "class").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").drop("z")
