@@ -9,7 +9,7 @@ equal anchors. Two rounds follow.
    context stands in an earlier document too, all windows of the anchor repeat. An anchor found in one
    document, or in one context only, needs nothing more.
 2. For the rest, one stretch of text per anchor and context is sent to the bucket of the anchor. There
-   the suffixes are ranked by prefix doubling to a depth of ``length`` bytes, ties by document. The
+   the suffixes are put into their order to a depth of ``length`` bytes, ties by document. The
    previous smaller position in that order (an earlier document) shares the longest previous factor;
    the next smaller one never shares more, as ties are in the order of the documents. A factor of
    ``length`` bytes or more marks the window.
@@ -221,31 +221,31 @@ def _expand(texts: DataFrame, codes: DataFrame, length: int, buckets: int) -> Da
 def previous_factors(parts: list[bytes], kid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(part, offset) of the windows of ``length`` bytes that a part of smaller kid holds as well.
 
-    Suffixes are ranked by prefix doubling: 8 bytes, then pairs of ranks, until the depth is reached.
+    Windows whose hash stands in one document only share no factor of that length and leave first; the
+    suffixes at the others are put into their order to that depth by their bytes, eight at a time.
     """
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes)
-    joint = np.frombuffer(b"".join(parts) + bytes(8), dtype=np.uint8).astype(np.uint64)
-    total = int(ends[-1])
-    key = np.zeros(total, dtype=np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | joint[k:k + total]
-    depth = 8
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while depth < length:
-        step = min(depth, length - depth)
-        behind = np.zeros_like(rank)
-        behind[:len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (int(rank.max()) + 1) + behind, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    part = np.repeat(np.arange(len(parts)), sizes)
-    offset = np.arange(total) - (ends - sizes)[part]
-    start = np.nonzero(offset + length <= sizes[part])[0]
-    order = start[np.lexsort((kid[part[start]], rank[start]))]  # suffix order, ties by document
-    first = runs(rank[order])
-    previous = np.repeat(kid[part[order[first]]], np.diff(np.r_[first, len(order)]))
-    marked = order[kid[part[order]] > previous]
-    return part[marked], offset[marked]
+    joint = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    hashes = windowed(_SYMBOLS[joint], length)
+    # starts of the windows that lie inside one part
+    n = np.maximum(sizes - length + 1, 0)
+    part = np.repeat(np.arange(len(parts)), n)
+    start = np.arange(len(part)) + (ends - sizes - np.cumsum(n) + n)[part]
+    hashes, own = hashes[start], kid[part]
+    order = np.argsort(hashes)
+    first = runs(hashes[order])
+    low, high = (np.repeat(f.reduceat(own[order], first), np.diff(np.r_[first, len(order)])) if len(order) else own
+                 for f in (np.minimum, np.maximum))
+    some = order[low < high]
+    start, part, own = start[some], part[some], own[some]
+    words = np.lib.stride_tricks.sliding_window_view(joint, 8) if len(joint) >= 8 else np.empty((0, 8), dtype=np.uint8)
+    columns = [np.ascontiguousarray(words[start + at]).view(">u8").ravel().astype(np.uint64) for at in [*range(0, length - 8, 8), length - 8]]
+    order = np.lexsort((own, *columns[::-1]))  # suffix order, ties by document
+    first = runs(*(c[order] for c in columns))
+    previous = np.repeat(own[order[first]], np.diff(np.r_[first, len(order)]))
+    marked = order[own[order] > previous]
+    return part[marked], (start - (ends - sizes)[part])[marked]
 
 
 def marked_windows(pieces: DataFrame, length: int) -> DataFrame:
