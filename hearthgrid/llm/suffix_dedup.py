@@ -32,7 +32,7 @@ from .common import in_arrow, mixed, query, store, table, windowed
 from .packing import pack, runs, steps, unpack
 from .substring_dedup import _blocks, _keyed, _long, _short
 
-LENGTH, GRAM, BLOCK_BYTES = 50, 16, 2_000_000
+LENGTH, GRAM, BLOCK_BYTES, GROUP_BYTES = 50, 16, 2_000_000, 500_000
 ANCHOR_BYTES, CONTEXT_BYTES = 5, 6
 SENT_BYTES, SPLIT = 8_000_000, 16  # stretches held before they are sent; buckets of the second round per bucket of the first
 _TOP = np.uint64(2**64 - 1)
@@ -189,30 +189,45 @@ def _expand(texts: DataFrame, codes: DataFrame, length: int, buckets: int) -> Da
             rows.append((bucket, 0, 0, pack(np.array(kid), np.array(th), np.array(low), np.array([len(p) for p in parts])) + b"".join(parts)))
         return {c: [r[k] for r in rows] for k, c in enumerate(("bucket", "kid", "th", "blob"))}
 
+    def places(group, marked, sent) -> int:
+        """Marked windows and stretches of some texts (kid, th, text, positions, codes); the bytes added to ``sent``."""
+        kids, ths, own, where, code = zip(*group)
+        starts, least, window, _, _, _ = _anchors(list(own), length)
+        doc = np.repeat(np.arange(len(own)), [len(w) for w in where])
+        where, code = np.concatenate(where), np.concatenate(code)
+        at = where + starts[doc]
+        low, high = np.empty_like(where), np.empty_like(where)
+        for c in range(0, len(at), 50_000):
+            s = slice(c, c + 50_000)
+            # windows whose least hash is that of the anchor: one run around it
+            near = window[at[s, None] + np.arange(-reach, 1)] == least[at[s]][:, None]
+            low[s], high[s] = where[s] + np.argmax(near, axis=1) - reach, where[s] - np.argmax(near[:, ::-1], axis=1)
+        one = np.nonzero(code == 1)[0]
+        cuts = runs(doc[one])
+        for e in np.split(one, cuts[1:]) if len(one) else ():
+            marked.append((kids[doc[e[0]]], ths[doc[e[0]]], pack(low[e], high[e] - low[e] + 1)))
+        rest, held = np.nonzero(code != 1)[0], 0
+        to = (least[at[rest]] % np.uint64(buckets)).tolist()
+        for bucket, d, a, b in zip(to, doc[rest].tolist(), low[rest].tolist(), high[rest].tolist()):
+            part = own[d][a:b + length]
+            sent.setdefault(bucket, []).append((kids[d], ths[d], a, part))
+            held += len(part)
+        return held
+
     def run(batches):
-        marked, sent, held = [], {}, 0
+        marked, sent, held, group, size = [], {}, 0, [], 0
         for b in batches:
             for kid, th, packed, blob in zip(b["kid"], b["th"], b["packed"], b["codes"]):
-                text = zstandard.decompress(packed)
-                where, code = unpack(blob)
-                starts, least, window, _, _, _ = _anchors([text], length)
-                at = where + starts[0]
-                low, high = np.empty_like(where), np.empty_like(where)
-                for c in range(0, len(at), 50_000):
-                    s = slice(c, c + 50_000)
-                    # windows whose least hash is that of the anchor: one run around it
-                    near = window[at[s, None] + np.arange(-reach, 1)] == least[at[s]][:, None]
-                    low[s], high[s] = where[s] + np.argmax(near, axis=1) - reach, where[s] - np.argmax(near[:, ::-1], axis=1)
-                one = code == 1
-                if one.any():
-                    marked.append((kid, th, pack(low[one], high[one] - low[one] + 1)))
-                for k in np.nonzero(~one)[0].tolist():
-                    part = text[low[k]:high[k] + length]
-                    sent.setdefault(int(least[at[k]] % np.uint64(buckets)), []).append((kid, th, int(low[k]), part))
-                    held += len(part)
+                group.append((kid, th, zstandard.decompress(packed), *unpack(blob)))
+                size += len(group[-1][2])
+                if size >= GROUP_BYTES:
+                    held += places(group, marked, sent)
+                    group, size = [], 0
             if held >= SENT_BYTES or len(marked) >= 2000:
                 yield rows_of(marked, sent)
                 marked, sent, held = [], {}, 0
+        if group:
+            places(group, marked, sent)
         yield rows_of(marked, sent)
     joined = texts.join(codes, ["kid", "th"]).select("kid", "th", "packed", "codes")
     return in_arrow(joined, run, "bucket int, kid long, th long, blob binary")
