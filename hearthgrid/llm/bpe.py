@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ship_package
-from .common import in_arrow, key_and_bytes, query, table
+from .common import bucket_count, in_arrow, key_and_bytes, query, table, text_bytes
 from .wordpieces import byte_letters, public_path, read_tokenizer, splitter
 
 BLOCK_BYTES = 8_000_000
@@ -105,8 +105,8 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
     """
     spec = read_tokenizer(tokenizer_file)
     spark = docs.sparkSession
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = key_and_bytes(docs, id_col, text_col)
+    count = bucket_count(spark, text_bytes(rows))
 
     def lists(batches):
         for block, _, _, listed in _blocks(batches, spec, block_bytes, positions=False):
@@ -178,7 +178,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
                         schema=schema)
 
     listed = in_arrow(rows, lists, "bucket int, block long, sum long, words binary")
-    known = listed.groupBy("bucket").applyInArrow(encode, "block long, bucket int, sum long, ids binary")
+    known = listed.repartition(count, "bucket").groupBy("bucket").applyInArrow(encode, "block long, bucket int, sum long, ids binary")
     coded = in_arrow(rows, texts, "block long, docs array<long>, codes binary, listed binary")
     return coded.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(place, "id long, ids array<int>")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import scratch_path, ship_package
 
-UNPACKED_BYTES = 4_000_000
+UNPACKED_BYTES, BUCKET_BYTES = 4_000_000, 8_000_000
 
 
 QUERIES: dict[str, Callable] = {}
@@ -63,6 +63,16 @@ def key_and_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Da
                        F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"), *more)
 
 
+def text_bytes(texts: DataFrame) -> int:
+    """Bytes of all texts (column text)."""
+    return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def bucket_count(spark, size: int) -> int:
+    """Buckets of hashes for ``size`` bytes of text: one bucket stays as small however large the corpus is."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     step = max(1, batch.num_rows * UNPACKED_BYTES // max(batch.nbytes, UNPACKED_BYTES))
     for at in range(0, batch.num_rows, step):

@@ -23,7 +23,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, in_arrow, key_and_bytes, mixed, query, store, table, windowed
+from .common import WordHashes, bucket_count, in_arrow, key_and_bytes, mixed, query, store, table, text_bytes, windowed
 from .packing import pack, runs, steps, unpack
 
 WINDOW, BLOCK_BYTES, ATTEMPTS = 20, 8_000_000, 4
@@ -78,9 +78,8 @@ def _repeats(h, more, kid, at):
     return some[later], first[later]
 
 
-def repeated_paths(keyed: DataFrame, window: int, seed: int, block_bytes: int, hash_bytes: int) -> DataFrame:
+def repeated_paths(keyed: DataFrame, window: int, seed: int, block_bytes: int, hash_bytes: int, buckets: int) -> DataFrame:
     """Spans kid, th, start, edges, skid, sth, sstart: paths that repeat a path of an earlier source."""
-    buckets = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches):
         for block in _blocks(batches, block_bytes):
@@ -153,7 +152,7 @@ def repeated_paths(keyed: DataFrame, window: int, seed: int, block_bytes: int, h
                          "skid": skid[starts], "sth": sth[starts], "sstart": at[starts] + shift[starts]})
 
     sent = in_arrow(keyed.select("kid", "th", "text"), send, "bucket int, block long, local boolean, hashes binary, places binary, at binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "block long, places binary")
+    met = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "block long, places binary")
     return met.groupBy("block").applyInArrow(compact, "kid long, th long, start long, edges long, skid long, sth long, sstart long")
 
 
@@ -180,19 +179,19 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     different runs share one, the work is repeated with another seed and wider hashes.
     """
     keyed = _keyed(docs, id_col, text_col)
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = text_bytes(keyed)
     # two of n edges share b bits with a chance of n * n / 2^(b + 1); about b - 6 bits for an n of size / 4
     width = min(16, max(6, math.ceil((2 * math.log2(size / 4 + 2)) / 8)))
     for attempt in range(ATTEMPTS):
-        done = _cut(keyed, window, seed + attempt, block_bytes, min(16, width + attempt), with_text)
+        done = _cut(keyed, window, seed + attempt, block_bytes, min(16, width + attempt), bucket_count(docs.sparkSession, size), with_text)
         if done is not None:
             return done
     raise RuntimeError("different word runs share hashes for every seed")
 
 
-def _cut(keyed: DataFrame, window: int, seed: int, block_bytes: int, hash_bytes: int, with_text: bool) -> DataFrame | None:
+def _cut(keyed: DataFrame, window: int, seed: int, block_bytes: int, hash_bytes: int, buckets: int, with_text: bool) -> DataFrame | None:
     """One attempt; None if a digest does not agree."""
-    spans = store(repeated_paths(keyed, window, seed, block_bytes, hash_bytes), "paths")
+    spans = store(repeated_paths(keyed, window, seed, block_bytes, hash_bytes, buckets), "paths")
     cut = spans.groupBy("kid", "th").agg(F.collect_list(F.struct("start", "edges", "skid", "sth", "sstart")).alias("cut"))
     asked = spans.select(F.col("skid").alias("kid"), F.col("sth").alias("th"), F.col("sstart").alias("start"), "edges").distinct().groupBy(
         "kid", "th").agg(F.collect_list(F.struct("start", "edges")).alias("asked"))

@@ -28,7 +28,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_arrow, mixed, query, store, table, windowed
+from .common import bucket_count, in_arrow, mixed, query, store, table, text_bytes, windowed
 from .packing import pack, runs, steps, unpack
 from .substring_dedup import _blocks, _keyed, _long, _short
 
@@ -108,9 +108,8 @@ def _settle(anchor, context, kid):
     return code
 
 
-def anchor_codes(keyed: DataFrame, length: int, block_bytes: int) -> DataFrame:
+def anchor_codes(keyed: DataFrame, length: int, block_bytes: int, buckets: int) -> DataFrame:
     """kid, th, codes: per text the packed positions of the anchors that repeat, with code 1 or 2."""
-    buckets = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = ANCHOR_BYTES + CONTEXT_BYTES
 
     def send(batches):
@@ -174,7 +173,7 @@ def anchor_codes(keyed: DataFrame, length: int, block_bytes: int) -> DataFrame:
             [pack(at[a:b], code[a:b]) for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(at)].tolist())], type=pa.binary())})
 
     sent = in_arrow(keyed.select("kid", "th", "text"), send, "bucket int, block long, local boolean, hashes binary, places binary, at binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "block long, places binary")
+    met = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "block long, places binary")
     return met.groupBy("block").applyInArrow(regroup, "kid long, th long, codes binary").groupBy("kid", "th").agg(F.first("codes").alias("codes"))
 
 
@@ -263,7 +262,7 @@ def previous_factors(parts: list[bytes], kid: np.ndarray, length: int) -> tuple[
     return part[marked], (start - (ends - sizes)[part])[marked]
 
 
-def marked_windows(pieces: DataFrame, length: int) -> DataFrame:
+def marked_windows(pieces: DataFrame, length: int, buckets: int) -> DataFrame:
     """kid, th, blob: window starts with a previous factor of the full length, from the stretches of each bucket."""
     def run(group: pa.Table) -> pa.Table:
         seen, parts = [], []
@@ -298,7 +297,7 @@ def marked_windows(pieces: DataFrame, length: int) -> DataFrame:
         cuts = runs(k, t)
         return pa.table({"kid": k[cuts], "th": t[cuts], "blob": pa.array(
             [pack(s[a:b], m[a:b]) for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(k)].tolist())], type=pa.binary())})
-    return pieces.groupBy("bucket").applyInArrow(run, "kid long, th long, blob binary")
+    return pieces.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "kid long, th long, blob binary")
 
 
 def cut_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -313,15 +312,15 @@ def cut_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if length < GRAM + 1:
         raise ValueError(f"length must be above {GRAM}")
     keyed = _keyed(docs, id_col, text_col)
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(docs.sparkSession, text_bytes(keyed))
 
     def shrink(batches):
         for b in batches:
             yield {"id": b["id"], "kid": b["kid"], "th": b["th"], "packed": [zstandard.compress(t, 1) for t in b["text"]]}
     texts = in_arrow(keyed, shrink, "id long, kid long, th long, packed binary")
-    codes = anchor_codes(keyed, length, block_bytes)
+    codes = anchor_codes(keyed, length, block_bytes, buckets)
     open_ = store(_expand(texts, codes, length, SPLIT * buckets), "stretches")
-    marked = open_.filter("bucket < 0").select("kid", "th", "blob").unionByName(marked_windows(open_.filter("bucket >= 0").select("bucket", "blob"), length))
+    marked = open_.filter("bucket < 0").select("kid", "th", "blob").unionByName(marked_windows(open_.filter("bucket >= 0").select("bucket", "blob"), length, buckets))
     cut = marked.groupBy("kid", "th").agg(F.collect_list("blob").alias("blobs"))
 
     def finish(batches):
