@@ -121,9 +121,9 @@ def anchor_codes(keyed: DataFrame, length: int, block_bytes: int, buckets: int)
             told = xxhash.xxh64_intdigest(kids.tobytes() + ths.tobytes()) >> 1
             anchor, context, where = least[at], _contexts(raw, at, length), at - starts[doc]
             local = _settle(anchor, context, kids[doc]) == 1
-            if local.any():
-                yield {"bucket": [int(told % buckets)], "block": [told], "local": [True], "hashes": [b""], "at": [b""], "places": [
-                    pack(kids[doc[local]], ths[doc[local]], where[local], np.ones(int(local.sum()), dtype=np.int64))]}
+            # the keys of the texts go once per block; entries name a text by its place in the block
+            yield {"bucket": [int(told % buckets)], "block": [told], "docs": [pack(kids, ths)], "hashes": [b""], "at": [b""], "places": [
+                pack(doc[local], where[local], np.ones(int(local.sum()), dtype=np.int64))]}
             sent = np.nonzero(~local)[0]
             bucket = (anchor[sent] >> np.uint64(40)) % np.uint64(buckets)
             by = np.argsort(bucket, kind="stable")
@@ -134,46 +134,46 @@ def anchor_codes(keyed: DataFrame, length: int, block_bytes: int, buckets: int)
                 d = doc[e[first]]
                 both = np.concatenate((anchor[e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ANCHOR_BYTES],
                                        context[e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CONTEXT_BYTES]), axis=1)
-                yield {"bucket": [int(bucket[by[a]])], "block": [told], "local": [False], "hashes": [both.tobytes()],
-                       "places": [pack(kids[d], ths[d], np.diff(np.r_[first, len(e)]))], "at": [zstandard.compress(_short(steps(where[e])), 1)]}
+                yield {"bucket": [int(bucket[by[a]])], "block": [told], "docs": [None], "hashes": [both.tobytes()],
+                       "places": [pack(steps(kids[d]), steps(d), np.diff(np.r_[first, len(e)]))], "at": [zstandard.compress(_short(steps(where[e])), 1)]}
 
     def meet(group: pa.Table) -> pa.Table:
-        blocks, out, seen = [], [], [[] for _ in range(6)]
-        for block, local, hashes, places, at in zip(*(group[c].to_pylist() for c in ("block", "local", "hashes", "places", "at"))):
-            if local:
-                blocks.append(block)
-                out.append(places)
+        out, seen = [], [[] for _ in range(6)]
+        for block, docs, hashes, places, at in zip(*(group[c].to_pylist() for c in ("block", "docs", "hashes", "places", "at"))):
+            if docs is not None:
+                out.append((block, docs, places))
                 continue
             both = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, width)
-            k, t, n = unpack(places)
+            k, d, n = unpack(places)
             wide = np.zeros((len(both), 16), dtype=np.uint8)
             wide[:, :ANCHOR_BYTES], wide[:, 8:8 + CONTEXT_BYTES] = both[:, :ANCHOR_BYTES], both[:, ANCHOR_BYTES:]
             pair = wide.view("<u8")
-            for to, values in zip(seen, (pair[:, 0], pair[:, 1], np.repeat(k, n), np.repeat(t, n),
+            for to, values in zip(seen, (pair[:, 0], pair[:, 1], np.repeat(np.cumsum(k), n), np.repeat(np.cumsum(d), n),
                                          np.cumsum(_long(zstandard.decompress(at))), np.full(len(both), block))):
                 to.append(values)
         if seen[0]:
-            anchor, context, kid, th, at, blk = (np.concatenate(s) for s in seen)
+            anchor, context, kid, doc, at, blk = (np.concatenate(s) for s in seen)
             code = _settle(anchor, context, kid)
             some = np.nonzero(code)[0]
             some = some[np.argsort(blk[some], kind="stable")]
             cuts = runs(blk[some])
             for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(some)].tolist()):
                 e = some[a:b]
-                blocks.append(int(blk[e[0]]))
-                out.append(pack(kid[e], th[e], at[e], code[e]))
-        return pa.table({"block": pa.array(blocks, type=pa.int64()), "places": pa.array(out, type=pa.binary())})
+                out.append((int(blk[e[0]]), None, pack(doc[e], at[e], code[e])))
+        columns = zip(*out) if out else ((), (), ())
+        return pa.table({c: pa.array(v, type=t) for c, v, t in zip(("block", "docs", "places"), columns, (pa.int64(), pa.binary(), pa.binary()))})
 
     def regroup(group: pa.Table) -> pa.Table:
-        kid, th, at, code = (np.concatenate(c) for c in zip(*(unpack(p) for p in group["places"].to_pylist())))
-        order = np.lexsort((at, th, kid))
-        kid, th, at, code = (c[order] for c in (kid, th, at, code))
-        cuts = runs(kid, th)
-        return pa.table({"kid": kid[cuts], "th": th[cuts], "codes": pa.array(
+        kids, ths = unpack(next(d for d in group["docs"].to_pylist() if d is not None))  # blocks of one id hold the same texts
+        doc, at, code = (np.concatenate(c) for c in zip(*(unpack(p) for p in group["places"].to_pylist())))
+        order = np.lexsort((at, doc))
+        doc, at, code = (c[order] for c in (doc, at, code))
+        cuts = runs(doc)
+        return pa.table({"kid": kids[doc[cuts]], "th": ths[doc[cuts]], "codes": pa.array(
             [pack(at[a:b], code[a:b]) for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(at)].tolist())], type=pa.binary())})
 
-    sent = in_arrow(keyed.select("kid", "th", "text"), send, "bucket int, block long, local boolean, hashes binary, places binary, at binary")
-    met = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "block long, places binary")
+    sent = in_arrow(keyed.select("kid", "th", "text"), send, "bucket int, block long, docs binary, hashes binary, places binary, at binary")
+    met = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "block long, docs binary, places binary")
     return met.groupBy("block").applyInArrow(regroup, "kid long, th long, codes binary").groupBy("kid", "th").agg(F.first("codes").alias("codes"))
 
 
@@ -316,7 +316,7 @@ def cut_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def shrink(batches):
         for b in batches:
-            yield {"id": b["id"], "kid": b["kid"], "th": b["th"], "packed": [zstandard.compress(t, 1) for t in b["text"]]}
+            yield {"id": b["id"], "kid": b["kid"], "th": b["th"], "packed": [zstandard.compress(t, 3) for t in b["text"]]}
     texts = in_arrow(keyed, shrink, "id long, kid long, th long, packed binary")
     codes = anchor_codes(keyed, length, block_bytes, buckets)
     open_ = store(_expand(texts, codes, length, SPLIT * buckets), "stretches")
