@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import scratch_path, ship_package
 
 UNPACKED_BYTES, BUCKET_BYTES = 4_000_000, 8_000_000
-
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -48,9 +48,17 @@ def prepare(spark) -> None:
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: the plan below is done once and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    """Write to the shared folder and read back: the plan below is done once and survives lost executors.
+
+    Once written, nothing reads the shuffles of this plan again, so their files go at once.
+    """
+    path, conf = scratch_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(_FREE_SHUFFLES, "false")
+    conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_FREE_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
