@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G
-from ..session import cut_lineage
+from ..session import cut_lineage, never_sent
 from . import cover
 
 # The level range keeps cell edges between about 1/1000 and 16 million map units.
@@ -132,7 +132,7 @@ def half_pairs(df: DataFrame, key: str, cols: list[str], predicate, eps: float,
     """Unordered pairs a < b within ``eps`` with equal ``same`` columns; prefixes a_ and b_."""
     keep = [key, *cols]
     a = df.select(*[F.col(c).alias(f"a_{c}") for c in keep], *BOX)
-    b = df.select(*[F.col(c).alias(f"b_{c}") for c in keep], *BOX)
+    b = never_sent(df.select(*[F.col(c).alias(f"b_{c}") for c in keep], *BOX))
     return spatial_join(
         a, b, lambda l, r: (l(f"a_{key}") < r(f"b_{key}")) & predicate(
             lambda c: l(f"a_{c}"), lambda c: r(f"b_{c}")),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G, scalar as S
 from ..operators import graph, spatial, tables
-from ..session import cut_lineage
+from ..session import cut_lineage, never_sent
 
 # Fixed tolerances, in metres.
 MERGE_TOL, SNAP_TOL, NODE_TOL = 0.20, 0.25, 0.20
@@ -211,8 +211,8 @@ def _places(ends: DataFrame, group: str, tol: float) -> DataFrame:
     if near.isEmpty():
         return ends.withColumn("place", F.struct(group, "x", "y"))
     joined = graph.connected_components(near, "a_place", "b_place").select(F.col("node").alias("place"), F.col("component").alias("__c"))
-    named = spots.join(joined, "place", "left").select(group, "x", "y", F.coalesce("__c", "place").alias("place"))
-    return ends.join(named, [group, "x", "y"])
+    named = spots.join(never_sent(joined), "place", "left").select(group, "x", "y", F.coalesce("__c", "place").alias("place"))
+    return ends.join(never_sent(named), [group, "x", "y"])
 
 
 def list_ranks(links: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def list_ranks(links: DataFrame) -> DataFrame:
     left = at.filter("open").count()
     while left:
         ahead = at.select(F.col("state").alias("tail"), F.col("tail").alias("t2"), F.col("rank").alias("r2"), F.col("low").alias("l2"), F.col("open").alias("o2"))
-        moved = at.filter("open").join(ahead, "tail").select(
+        moved = at.filter("open").join(never_sent(ahead), "tail").select(
             "state", F.col("t2").alias("tail"), (F.col("rank") + F.col("r2")).alias("rank"), F.least("low", "l2").alias("low"), F.col("o2").alias("open"),
             (F.col("l2") < F.col("low")).alias("news"))
         now = cut_lineage(at.filter("NOT open").withColumn("news", F.lit(False)).unionByName(moved))
@@ -257,21 +257,21 @@ def ordered_parts(parts: DataFrame, group: str, line: str = "geom", tol: float =
     mates = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("m")).select(
         (2 * F.col("m.a.pid") + 1 - F.col("m.a.side")).alias("state"), (2 * F.col("m.b.pid") + F.col("m.b.side")).alias("next"))
     states = parts.select("pid", F.explode(F.array(F.lit(0), F.lit(1))).alias("o")).select((2 * F.col("pid") + F.col("o")).alias("state"), F.col("pid").alias("low"))
-    links = cut_lineage(states.join(mates, "state", "left"))
+    links = cut_lineage(states.join(never_sent(mates), "state", "left"))
     ranks = list_ranks(links)
     rings = ranks.filter("tail IS NULL").select("state", F.col("low").alias("ring"))
     if not rings.isEmpty():
         # a ring is cut in front of its smallest part, and the way back in front of the same place
-        cut = links.join(rings, "state").select("state", F.when((F.col("next") != 2 * F.col("ring")) & (F.col("state") != 2 * F.col("ring") + 1), F.col("next")).alias("next"), "low")
+        cut = links.join(never_sent(rings), "state").select("state", F.when((F.col("next") != 2 * F.col("ring")) & (F.col("state") != 2 * F.col("ring") + 1), F.col("next")).alias("next"), "low")
         ranks = ranks.filter("tail IS NOT NULL").unionByName(list_ranks(cut_lineage(cut)))
     both = ranks.withColumns({"pid": F.shiftright("state", 1), "o": F.col("state") % 2})
     there = both.filter("o = 0").select("pid", F.col("tail").alias("tail0"), F.col("rank").alias("rank0"))
     back = both.filter("o = 1").select("pid", F.col("tail").alias("tail1"), F.col("rank").alias("rank1"))
     # the head of a list is the tail of the opposite list, turned round
-    known = there.join(back, "pid").withColumns({"first0": F.shiftright("tail1", 1), "last0": F.shiftright("tail0", 1)})
+    known = there.join(never_sent(back), "pid").withColumns({"first0": F.shiftright("tail1", 1), "last0": F.shiftright("tail0", 1)})
     turned = F.col("first0") > F.col("last0")
-    return parts.join(known.select("pid", F.least("first0", "last0").alias("chain"), turned.alias("reverse"),
-                                   F.when(turned, F.col("rank0")).otherwise(F.col("rank1")).alias("pos")), "pid")
+    return parts.join(never_sent(known.select("pid", F.least("first0", "last0").alias("chain"), turned.alias("reverse"),
+                                              F.when(turned, F.col("rank0")).otherwise(F.col("rank1")).alias("pos"))), "pid")
 
 
 def line_merge(df: DataFrame, group: str, line: str = "geom", tol: float = SNAP_TOL) -> DataFrame:
@@ -287,7 +287,7 @@ def line_merge(df: DataFrame, group: str, line: str = "geom", tol: float = SNAP_
     longest = sizes.groupBy(group).agg(F.min_by("chain", F.struct((-F.col("len")).alias("l"), F.col("chain"))).alias("chain"))
     path = F.when(F.col("reverse"), F.reverse(line)).otherwise(F.col(line))
     piece = F.when(F.col("pos") == 0, path).otherwise(F.slice(path, 2, F.greatest(F.size(line) - 1, F.lit(1))))
-    joined = placed.join(longest, [group, "chain"]).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("v")))).alias("p"))
+    joined = placed.join(never_sent(longest), [group, "chain"]).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("v")))).alias("p"))
     points = joined.select(group, F.flatten(F.transform("p", lambda v: v["v"])).alias("v"))
     kept = points.select(group, F.filter("v", lambda p, i: (i == 0) | (F.get("v", i - 1) != p)).alias(line))
     # a line without length keeps two points

@@ -65,6 +65,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def never_sent(df: DataFrame) -> DataFrame:
+    """One side of an equi-join that grows with the input: both sides are shuffled, none is broadcast.
+
+    Spark's estimates know neither how many rows ``explode`` adds nor how far files are compressed, so a
+    table of many millions of rows may look small enough to be collected by the driver.
+    """
+    return df.hint("merge")
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Spread a scan of fewer splits than cores before heavy per-row work.
 
