@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as G, scalar as S
 from ..operators import graph, tables
-from ..session import cut_lineage
+from ..session import cut_lineage, never_sent
 
 # Fixed class ids: building, and its wall, ground and roof surfaces.
 BUILDING, SURFACES = 901, (709, 710, 712)
@@ -44,23 +44,26 @@ def child_objects(geometry: DataFrame) -> DataFrame:
 
 
 def link_surfaces(feature: DataFrame, geometry: DataFrame, prop: DataFrame, objectclass: DataFrame) -> DataFrame:
-    """Surfaces with the building whose solid names the same child object."""
+    """Surfaces with the building whose solid names the same child object.
+
+    All but ``objectclass`` grow with the buildings; only the names of the surface classes are broadcast.
+    """
     kids = child_objects(geometry).join(
-        feature.filter(F.col("objectclass_id").isin(BUILDING, *SURFACES)).select(
-            F.col("id").alias("feature_id"), "objectid", "objectclass_id"), "feature_id")
+        never_sent(feature.filter(F.col("objectclass_id").isin(BUILDING, *SURFACES)).select(
+            F.col("id").alias("feature_id"), "objectid", "objectclass_id")), "feature_id")
     solids = kids.filter(F.col("objectclass_id") == BUILDING).select(
         "child_id", F.col("objectid").alias("building_objectid"), F.col("feature_id").alias("building_id"))
     links = kids.filter(F.col("objectclass_id").isin(*SURFACES)).select(
-        "child_id", "geometry_id", "feature_id", "objectclass_id").join(solids, "child_id").drop("child_id").distinct()
+        "child_id", "geometry_id", "feature_id", "objectclass_id").join(never_sent(solids), "child_id").drop("child_id").distinct()
     areas = prop.groupBy("feature_id").agg(
         F.max(F.when(F.col("name") == "Flaeche", F.col("val_string"))).alias("area"))
     keys = prop.filter(F.col("name") == "Gemeindeschluessel").groupBy(F.col("feature_id").alias("building_id")).agg(
         F.max("val_string").alias("gemeindeschluessel"))
-    out = links.join(areas, "feature_id").join(keys, "building_id").join(
-        objectclass.select(F.col("id").alias("objectclass_id"), "classname"), "objectclass_id")
+    out = links.join(never_sent(areas), "feature_id").join(never_sent(keys), "building_id").join(
+        F.broadcast(objectclass.filter(F.col("id").isin(*SURFACES)).select(F.col("id").alias("objectclass_id"), "classname")), "objectclass_id")
     grouped = out.groupBy("building_objectid", "objectclass_id", "classname", "geometry_id").agg(
         F.max("area").cast("double").alias("area"), F.max("gemeindeschluessel").alias("gemeindeschluessel"))
-    return grouped.join(geometry.select(F.col("id").alias("geometry_id"), F.col("geometry").alias("geom")), "geometry_id")
+    return grouped.join(never_sent(geometry.select(F.col("id").alias("geometry_id"), F.col("geometry").alias("geom"))), "geometry_id")
 
 
 def building_view(b: DataFrame, surfaces: DataFrame) -> DataFrame:

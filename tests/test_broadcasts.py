@@ -3,13 +3,35 @@
 from pyspark.sql import functions as F
 
 from hearthgrid.functions import geometry as G
-from hearthgrid.plans import network as R
+from hearthgrid.plans import features as FE, network as R
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def store(spark):
+    """Three buildings, each a solid that names its wall and its ground."""
+    rows = spark.range(3).select("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i")).withColumn("fid", F.col("id") * 3 + F.col("i"))
+    own = F.concat(F.lit("b"), F.col("id").cast("string"))
+    feature = rows.select(F.col("fid").alias("id"), F.element_at(F.array(F.lit(901), F.lit(709), F.lit(710)), F.col("i") + 1).alias("objectclass_id"),
+                          F.when(F.col("i") == 0, own).otherwise(F.concat(own, F.lit("_"), F.col("i").cast("string"))).alias("objectid"))
+    child = F.when(F.col("i") == 0, F.format_string('{"objectId":"c%d_1"},{"objectId":"c%d_2"}', "id", "id")).otherwise(F.format_string('{"objectId":"c%d_%d"}', "id", "i"))
+    geometry = rows.select(F.col("fid").alias("id"), F.col("fid").alias("feature_id"), F.concat(F.lit('{"children":['), child, F.lit("]}")).alias("geometry_properties"),
+                           G.make_box(F.lit(0), F.lit(0), F.col("id") + 1, F.lit(1)).alias("geometry"))
+    prop = rows.select(F.col("fid").alias("feature_id"), F.when(F.col("i") == 0, "Gemeindeschluessel").otherwise("Flaeche").alias("name"),
+                       (F.col("id") + 1).cast("string").alias("val_string"))
+    classes = spark.createDataFrame([(709, "WallSurface"), (710, "GroundSurface")], "id int, classname string")
+    return feature, geometry, prop, classes
+
+
+def test_link_surfaces(spark):
+    out = FE.link_surfaces(*store(spark))
+    assert plan_of(out).count("BroadcastHashJoin") == 1  # the class names
+    assert sorted((r["building_objectid"], r["classname"], r["area"], r["gemeindeschluessel"]) for r in out.collect()) == sorted(
+        (f"b{k}", name, k + 1.0, str(k + 1)) for k in range(3) for name in ("WallSurface", "GroundSurface"))
+
+
 def test_line_merge(spark, monkeypatch):
     """Three parts per line, one of them turned round, and one ring."""
     plans, cut = [], R.cut_lineage
