@@ -71,7 +71,7 @@ def building_view(b: DataFrame, surfaces: DataFrame) -> DataFrame:
     ground = surfaces.filter(F.col("objectclass_id") == 710).select(
         F.col("building_objectid").alias("objectid"), F.col("area").alias("groundsurface_flaeche"),
         F.col("geom").alias("__g"))
-    return b.join(ground, "objectid").withColumns(
+    return b.join(never_sent(ground), "objectid").withColumns(
         {"geom": G.to_multi("__g"), "centroid": G.point_on_surface("__g")}).drop("__g")
 
 

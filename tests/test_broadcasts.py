@@ -32,6 +32,12 @@ def test_link_surfaces(spark):
         (f"b{k}", name, k + 1.0, str(k + 1)) for k in range(3) for name in ("WallSurface", "GroundSurface"))
 
 
+def test_building_view(spark):
+    out = FE.building_view(spark.range(3).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("objectid")), FE.link_surfaces(*store(spark)))
+    assert plan_of(out).count("BroadcastHashJoin") == 1  # the class names
+    assert sorted((r["objectid"], r["groundsurface_flaeche"]) for r in out.collect()) == [(f"b{k}", k + 1.0) for k in range(3)]
+
+
 def test_line_merge(spark, monkeypatch):
     """Three parts per line, one of them turned round, and one ring."""
     plans, cut = [], R.cut_lineage
