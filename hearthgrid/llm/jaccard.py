@@ -214,9 +214,13 @@ def similar_links(sets: DataFrame, clusters: DataFrame, similarity: float) -> Da
     return small.unionByName(stars).unionByName(blocked)
 
 
-def similar_groups(texts: DataFrame, total: int, width: int, similarity: float, seed: int) -> DataFrame:
-    """Columns node, component (smallest id) of all texts (id, text) that have a similar one."""
-    clusters = cut_lineage(connected_components(meetings(texts, total, width, similarity, seed), "a", "b").select(
+def similar_groups(texts: DataFrame, total: int, width: int, similarity: float, seed: int, more: DataFrame) -> DataFrame:
+    """Columns node, component (smallest id) of all texts (id, text) that have a similar one.
+
+    ``more``: links (a, b) between further candidates; they are compared like those that share a prefix.
+    """
+    candidates = more.unionByName(meetings(texts, total, width, similarity, seed))
+    clusters = cut_lineage(connected_components(candidates, "a", "b").select(
         F.col("node").alias("id"), F.col("component").alias("cluster")))
 
     def read(batches):

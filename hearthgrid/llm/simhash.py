@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
-from ..session import cut_lineage
+from ..session import cut_lineage, never_sent
 from .common import WordHashes, in_arrow, key_and_bytes, query, store, table
 from .jaccard import forest, shingle_set, similar_groups
 
@@ -161,13 +161,24 @@ def near_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return _meetings(distinct.select("fp"), radius, links, "a long, b long")
 
 
+def fingerprint_links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) that connect all rows (id, fp) whose fingerprints differ in at most ``radius`` bits."""
+    classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("low")))
+    same = rows.join(never_sent(classes), "fp").filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    ends = [classes.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low")) for c in "ab"]
+    near = near_fingerprints(classes.select("fp"), radius).join(never_sent(ends[0]), "a").join(never_sent(ends[1]), "b").select(
+        F.col("a_low").alias("a"), F.col("b_low").alias("b"))
+    return same.unionByName(near)
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id",
-                         text_col: str = "text", seed: int = SEED) -> DataFrame:
+                         text_col: str = "text", seed: int = SEED, radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` without near-duplicates, all columns kept: of every group the row of the smallest id stays.
 
     A pair is a duplicate if the sets of ``width``-word shingles (A-Z lowered) have a Jaccard similarity of
-    at least ``similarity``; every such pair counts, and groups are what the pairs connect. Texts of equal
-    shingles are duplicates. Null texts count as empty, and only one empty text stays; a null id counts as
+    at least ``similarity``; every such pair counts, and groups are what the pairs connect. Candidates are the
+    texts whose SimHash fingerprints differ in at most ``radius`` bits; those further apart in SimHash are
+    found by a prefix filter, and all are compared exactly. Texts of equal shingles are duplicates. Null texts count as empty, and only one empty text stays; a null id counts as
     the smallest. An empty table stays empty.
     """
     kid, th = F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)), F.xxhash64(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
@@ -177,17 +188,18 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
         hashes = WordHashes(seed)
         for b in batches:
             sets = [shingle_set(t, width, hashes) for t in b["text"]]
-            yield {"kid": b["kid"], "th": b["th"], "same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "size": [len(s) for s in sets]}
+            yield {"kid": b["kid"], "th": b["th"], "same": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "size": [len(s) for s in sets],
+                   "fp": np.array([fingerprint(t, SHINGLE, seed) for t in b["text"]], dtype=np.uint64).astype(np.int64)}
 
     # one row per document: ids of rows are replaced by a dense key, so repeated ids are told apart
-    rows = store(in_arrow(keyed, read, "kid long, th long, same binary, size long").dropDuplicates(["kid", "th"]), "word-sets")
-    first = rows.groupBy("same").agg(F.min_by(F.struct("kid", "th", "size"), F.struct("kid", "th")).alias("r")).select("r.*")
+    rows = store(in_arrow(keyed, read, "kid long, th long, same binary, size long, fp long").dropDuplicates(["kid", "th"]), "word-sets")
+    first = rows.groupBy("same").agg(F.min_by(F.struct("kid", "th", "size", "fp"), F.struct("kid", "th")).alias("r")).select("r.*")
     # ascending in (kid, th), and the same in every run over the same rows
     rest = store(first.repartitionByRange("kid", "th").sortWithinPartitions("kid", "th").withColumn("id", F.monotonically_increasing_id()), "distinct")
     total = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     texts = keyed.join(rest, ["kid", "th"]).select("id", "text")
     # every component keeps its smallest id
-    labels = similar_groups(texts, total, width, similarity, seed).filter("node <> component").select(F.col("node").alias("id"))
+    labels = similar_groups(texts, total, width, similarity, seed, fingerprint_links(rest.select("id", "fp"), radius)).filter("node <> component").select(F.col("node").alias("id"))
     kept = cut_lineage(rest.join(labels, "id", "left_anti").select(F.col("kid").alias("__kid"), F.col("th").alias("__th")))
     # the row travels in a struct: columns of any name come back as they were
     whole = docs.select(kid.alias("__kid"), th.alias("__th"), F.struct(*docs.columns).alias("__row"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from hearthgrid.llm import jaccard
-from hearthgrid.llm.simhash import drop_near_duplicates
+from hearthgrid.llm.simhash import RADIUS, SHINGLE, drop_near_duplicates, fingerprint
 
 from .helpers import frame, words
 from .test_dedup import components, similar
@@ -69,3 +69,29 @@ def test_columns_of_any_name_come_back(spark):
     rows = [(1, text, "keep", "x"), (2, text + " more", "gone", "y"), (3, "another text of its own", None, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __kid string, __th string")
     assert sorted(tuple(r) for r in drop_near_duplicates(docs).collect()) == [rows[0], rows[2]]
+
+
+def test_simhash_finds_what_no_prefix_does(spark, monkeypatch):
+    """Without the prefix filter, near copies within the radius are found by their fingerprints, and only they."""
+    rng, rows = random.Random(15), []
+    for k in range(30):
+        w = words(rng, 600, 3000)
+        other = list(w)
+        other[rng.randrange(600)] = f"c{k}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    text = dict(rows)
+    prints = {i: fingerprint(t.encode(), SHINGLE, 42) for i, t in text.items()}
+    near = [(a, b) for a in text for b in text if a < b and (prints[a] ^ prints[b]).bit_count() <= RADIUS]
+    assert len(near) > 5 and all(similar(text[a], text[b]) for a, b in near)
+    monkeypatch.setattr(jaccard, "meetings", lambda texts, *_: texts.sparkSession.createDataFrame([], "a long, b long"))
+    kept = {r["doc_id"] for r in drop_near_duplicates(frame(spark, rows)).collect()}
+    assert kept == set(components(text, near).values())
+
+
+def test_equal_fingerprints_are_compared(spark):
+    """A phrase that fills most of a text sets all bits of the fingerprint; texts that share only it stay."""
+    rng = random.Random(16)
+    rows = [(k, "again " * 500 + " ".join(words(rng, 100, 3000))) for k in range(6)]
+    assert len({fingerprint(t.encode(), SHINGLE, 42) for _, t in rows}) == 1
+    kept, wanted, near = kept_and_wanted(spark, rows)
+    assert not near and kept == wanted == set(range(6))
