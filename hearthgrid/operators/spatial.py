@@ -258,6 +258,13 @@ def _maxdist2(p: str, b: str) -> str:
     return " + ".join(f"pow(greatest({b}.{a}max - {p}.{a}min, {p}.{a}max - {b}.{a}min), 2)" for a in "xy")
 
 
+def _facedist2(p: str, b: str) -> str:
+    """Bound for the nearest point of a tight box: each of its four sides holds one of its points."""
+    far = {a: f"pow(greatest({b}.{a}max - {p}.{a}min, {p}.{a}max - {b}.{a}min), 2)" for a in "xy"}
+    side = [f"pow(greatest(abs({b}.{a}{m} - {p}.{a}min), abs({b}.{a}{m} - {p}.{a}max)), 2) + {far['y' if a == 'x' else 'x']}" for a in "xy" for m in ("min", "max")]
+    return f"least({', '.join(side)})"
+
+
 def knn_join(
     left: DataFrame,
     right: DataFrame,
@@ -288,7 +295,7 @@ def knn_join(
     right = cut_lineage(kept)
     stats = right.agg(
         F.count("*").alias("n"), F.min("xmin").alias("x0"), F.min("ymin").alias("y0"),
-        F.max("xmax").alias("x1"), F.max("ymax").alias("y1")).first()
+        F.max("xmax").alias("x1"), F.max("ymax").alias("y1"), F.expr("every(xmin <=> xmax AND ymin <=> ymax)").alias("points")).first()
     n = max(stats["n"], 1)
     x0, y0 = stats["x0"] or 0.0, stats["y0"] or 0.0
     extent = max((stats["x1"] or 0.0) - x0, (stats["y1"] or 0.0) - y0, 1e-9) * (1 + 1e-9)
@@ -317,7 +324,7 @@ def knn_join(
 
     box = "struct(x AS xmin, y AS ymin, x AS xmax, y AS ymax)" if left_cols is None else "lbox"
     frontier = left.withColumn("__p", F.expr(box)).filter("__p.xmin is not null and __p.ymin is not null").selectExpr(
-        *carried, "__p", "0L AS __cx", "0L AS __cy")
+        *carried, "__p", "0L AS __cx", "0L AS __cy", "double('infinity') AS __bound")
     own = ", ".join(lkeys)
     # the slack keeps ties that rounding in the squared sums could push over the bound
     slack = "(1 + 1e-9D)"
@@ -325,19 +332,27 @@ def knn_join(
         nodes = nodes_at(step)
         if step <= _TOP_STEPS and not by:
             nodes = F.broadcast(nodes)
-        frontier = frontier.join(nodes, [*by, "__cx", "__cy"]).selectExpr(
-            *carried, "__p", "__nx", "__ny", "__node.n AS __n",
-            f"{_mindist2('__p', '__node')} AS __lo", f"{_maxdist2('__p', '__node')} AS __hi")
-        if k > 1:
-            frontier = frontier.selectExpr("*", f"sum(__n) OVER (PARTITION BY {own} ORDER BY __hi, __nx, __ny) AS __seen")
-        reach = "__hi" if k == 1 else f"CASE WHEN __seen >= {k} THEN __hi END"
-        keep = f"__lo <= coalesce(__bound, double('infinity')) * {slack}"
+        # of points, the sides of a tight box tell more than its far corner: a row far off keeps a thin strip
+        near = _facedist2("__p", "__node") if stats["points"] else _maxdist2("__p", "__node")
+        # the bound of the step before drops cells before they are shuffled
+        keep = f"__lo <= __bound * {slack}"
         if radius is not None:
             keep += f" AND __lo <= {_num(radius ** 2)} * {slack}"
-        frontier = frontier.selectExpr("*", f"min({reach}) OVER (PARTITION BY {own}) AS __bound").filter(keep).selectExpr(
-            *carried, "__p", "__nx AS __cx", "__ny AS __cy")
-
-    pairs = frontier.join(leaf, [*by, "__cx", "__cy"]).withColumn("dist", distance(F.col, F.col))
+        frontier = frontier.join(nodes, [*by, "__cx", "__cy"]).selectExpr(
+            *carried, "__p", "__bound", "__nx", "__ny", "__node", f"{_mindist2('__p', '__node')} AS __lo").filter(keep).selectExpr(
+            *carried, "__p", "__bound", "__nx", "__ny", "__lo", f"{near} AS __near", *([f"{_maxdist2('__p', '__node')} AS __hi", "__node.n AS __n"] if k > 1 else []))
+        reach = "__near"
+        if k > 1:
+            # k rows lie within the k-th of the cells by their first rows, and within the cells that hold k rows in all
+            frontier = frontier.selectExpr("*", f"sum(__n) OVER (PARTITION BY {own} ORDER BY __hi, __nx, __ny) AS __seen",
+                                           f"row_number() OVER (PARTITION BY {own} ORDER BY __near, __nx, __ny) AS __first")
+            reach = f"least(CASE WHEN __seen >= {k} THEN __hi END, CASE WHEN __first >= {k} THEN __near END)"
+        frontier = frontier.selectExpr(*carried, "__p", "__nx AS __cx", "__ny AS __cy", "__lo", f"least(__bound, min({reach}) OVER (PARTITION BY {own})) AS __bound").filter(
+            f"__lo <= __bound * {slack}").drop("__lo")
+
+    within = _mindist2("__p", "__box")
+    pairs = frontier.join(leaf.withColumn("__box", F.struct(*BOX)), [*by, "__cx", "__cy"]).filter(f"{within} <= __bound * {slack}").withColumn(
+        "dist", distance(F.col, F.col))
     if radius is not None:
         pairs = pairs.filter(F.col("dist") <= float(radius))
     shown = [c for c in by if c not in lkeys]

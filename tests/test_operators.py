@@ -235,3 +235,27 @@ def test_clip_by_overlapping_areas(spark):
     for i, x1, y1, x2, y2 in boxes:
         want = (covered & (x > x1) & (x < x2) & (y > y1) & (y < y2)).sum() * 1e-4
         assert abs(got[i] - want) < 0.05, (i, got[i], want)
+
+
+def _far_calls(spark, k):
+    """How often the exact distance is taken for 20 rows far from all of 2,000 points, and the neighbours found."""
+    rng = np.random.default_rng(5)
+    right = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.random((2000, 2)) * (1000, 10))]
+    left = [(i, 1e6 + i, 0.5 * i) for i in range(20)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def taken(x, y, rx, ry):
+        calls.add(1)
+        return float(((x - rx) ** 2 + (y - ry) ** 2) ** 0.5)
+    exact = F.udf(taken, "double")
+    points = spark.createDataFrame(right, "rid long, rx double, ry double").withColumns({"xmin": F.col("rx"), "ymin": F.col("ry"), "xmax": F.col("rx"), "ymax": F.col("ry")})
+    got = spatial.knn_join(spark.createDataFrame(left, "id long, x double, y double"), points, "id", "rid",
+                           lambda l, r: exact(l("x"), l("y"), r("rx"), r("ry")), k).select("id", "rid").collect()
+    want = {(i, r[0]) for i, x, y in left for r in sorted(right, key=lambda r: ((x - r[1]) ** 2 + (y - r[2]) ** 2) ** 0.5)[:k]}
+    assert {tuple(r) for r in got} == want and len(got) == 20 * k
+    return calls.value
+
+
+def test_knn_far_rows_meet_a_thin_strip(spark):
+    assert _far_calls(spark, 1) <= 5 * 20  # a cell holds about thirty points
+    _far_calls(spark, 3)
