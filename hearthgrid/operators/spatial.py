@@ -64,6 +64,21 @@ def _levels_present(df: DataFrame, eps: float) -> list[int]:
     return sorted(df.selectExpr(f"{_level(eps)} AS l").agg(F.collect_set("l").alias("ls")).first()["ls"])
 
 
+def _levels_and_span(df: DataFrame, eps: float) -> tuple[list[int], list[float]]:
+    """The levels, and the box around all boxes, from one small aggregate."""
+    row = df.selectExpr(*BOX, f"{_level(eps)} AS l").agg(
+        F.collect_set("l").alias("ls"), F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
+    return sorted(row["ls"]), list(row)[1:]
+
+
+def _inside_span(df: DataFrame, span: list[float], eps: float) -> DataFrame:
+    """Rows that can come within ``eps`` of a box of a table that ends at ``span``."""
+    if None in span:
+        return df
+    x0, y0, x1, y1 = (F.lit(float(v)) for v in span)
+    return df.filter((F.col("xmin") - eps <= x1) & (F.col("xmax") + eps >= x0) & (F.col("ymin") - eps <= y1) & (F.col("ymax") + eps >= y0))
+
+
 def _entries(df: DataFrame, eps: float, others: list[int], prefix: str) -> DataFrame:
     """One row per (object, level, cell it touches there).
 
@@ -99,14 +114,20 @@ def spatial_join(
     """
     if how not in ("inner", "left_semi"):
         raise ValueError("how must be inner or left_semi")
-    left_levels = left_levels or _levels_present(left, eps)
-    right_levels = right_levels or _levels_present(right, 0.0)
+    # a table that reaches further than the other is not filed where the other has nothing; the span comes with the levels
+    lefts, rights = left, right
+    if not left_levels:
+        left_levels, span = _levels_and_span(left, eps)
+        rights = _inside_span(right, span, eps)
+    if not right_levels:
+        right_levels, span = _levels_and_span(right, 0.0)
+        lefts = _inside_span(left, span, eps)
     # an empty side has no level; any one serves
     if not left_levels or not right_levels:
         left_levels = right_levels = [MIN_LEVEL]
     key = ["__lv", "__cx", "__cy"]
-    l = _entries(left, eps, right_levels, "__l_")
-    r = _entries(right, 0.0, left_levels, "__r_").withColumnsRenamed({c: f"__r_{c}" for c in (*BOX, *key)})
+    l = _entries(lefts, eps, right_levels, "__l_")
+    r = _entries(rights, 0.0, left_levels, "__r_").withColumnsRenamed({c: f"__r_{c}" for c in (*BOX, *key)})
     e = _num(eps)
     cond = " AND ".join([
         "__lv = __r___lv", "__cx = __r___cx", "__cy = __r___cy", *[f"`{a}` = `{b}`" for a, b in on or []],
@@ -373,22 +394,25 @@ def point_to_box(l, r) -> Column:
 
 def nearest_within(points: DataFrame, lines: DataFrame, key: str, line_key: str, line: str, radius: float,
                    beyond: float | None = None, rings: tuple[float, ...] = (1 / 8, 1.0),
-                   on: str | None = None, exclude: tuple[str, str] | None = None) -> DataFrame:
+                   on: str | list[str] | None = None, exclude: tuple[str, str] | None = None) -> DataFrame:
     """Nearest line of each point (columns x, y) at ``beyond`` < distance <= ``radius``.
 
     The search grows in rings; a point settled in a ring is complete there, because every line
-    within that distance was a candidate. Only the others go on to the next ring. ``on`` is a column
+    within that distance was a candidate. Only the others go on to the next ring. ``on`` are columns
     both sides share; ``exclude`` names a point column that must differ from a line column.
     """
-    right = with_line_box(lines.select(line_key, line, *([F.col(on).alias("__on")] if on else [])), line)
-    levels = _levels_present(right, 0.0)
-    carried = list(dict.fromkeys([key, "x", "y", *([on] if on else []), *([exclude[0]] if exclude else [])]))
+    on = [on] if isinstance(on, str) else list(on or [])
+    right = with_line_box(lines.select(line_key, line, *[F.col(c).alias(f"__on_{c}") for c in on]), line)
+    levels, span = _levels_and_span(right, 0.0)
+    carried = list(dict.fromkeys([key, "x", "y", *on, *([exclude[0]] if exclude else [])]))
     todo = points.select(*carried).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ends = todo.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    right = _inside_span(right, list(ends), radius)
     done = None
     for part in rings:
         r = radius * part
-        left = todo.withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")})
-        found = spatial_join(left, right, None, r, [point_level(r)], levels, on=[(on, "__on")] if on else None).withColumn(
+        left = _inside_span(todo.withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")}), span, r)
+        found = spatial_join(left, right, None, r, [point_level(r)], levels, on=[(c, f"__on_{c}") for c in on]).withColumn(
             "dist", G.distance_point_line(G.make_point("x", "y"), line)).filter(F.col("dist") <= r)
         if beyond is not None:
             found = found.filter(F.col("dist") > beyond)

@@ -259,3 +259,21 @@ def _far_calls(spark, k):
 def test_knn_far_rows_meet_a_thin_strip(spark):
     assert _far_calls(spark, 1) <= 5 * 20  # a cell holds about thirty points
     _far_calls(spark, 3)
+
+
+def test_spatial_join_files_nothing_beyond_the_other_table(spark, monkeypatch):
+    """Lines that lie where no polygon is do not become entries of the join."""
+    filed, entries = {}, spatial._entries
+
+    def watched(df, eps, others, prefix):
+        filed[prefix] = df.count()
+        return entries(df, eps, others, prefix)
+    monkeypatch.setattr(spatial, "_entries", watched)
+    boxes = spatial.with_polygon_box(spark.range(10).select("id", G.make_box(F.col("id") * 10.0, F.lit(0), F.col("id") * 10.0 + 5, F.lit(5)).alias("g")), "g")
+    at = F.col("way") * 10.0
+    lines = spatial.with_line_box(spark.range(1000).withColumnRenamed("id", "way").select(
+        "way", G.make_line(G.make_point(at + 7, F.lit(3)), G.make_point(at + 11, F.lit(3))).alias("geom")), "geom")
+    for eps, want, most in ((0.0, {(i + 1, i) for i in range(9)}, 10), (2.0, {(i, i + d) for i in range(10) for d in (-1, 0) if i + d >= 0}, 10)):
+        got = spatial.spatial_join(boxes, lines, lambda l, r: G.intersects_line_polygon(r("geom"), l("g")) if not eps else F.lit(True), eps)
+        assert {(r["id"], r["way"]) for r in got.collect()} == want
+        assert filed["__l_"] <= 10 and filed["__r_"] <= most
