@@ -17,6 +17,7 @@ NEAR_WAY, END_SNAP = 10.0, 0.15
 STREET_RADIUS, WAY_RADIUS, MIN_WAY_DISTANCE, NAME_RADIUS = 100.0, 2000.0, 0.1, 1000.0
 # The wide search first looks close by.
 WAY_RINGS = (1 / 32, 1 / 8, 1.0)
+NAME_RINGS = (1 / 8, 1 / 4, 1.0)
 CONNECTOR, SEGMENT = "connection_line", "segmented_way"
 
 
@@ -79,16 +80,11 @@ def match_address_street(b: DataFrame, named: DataFrame, radius: float = NAME_RA
     ``b``: id, ags, x, y, street (several separated by ';'); ``named``: way_id, ags, geom, name, name_kurz.
     """
     streets = b.select("id", "ags", "x", "y", F.explode(F.split("street", ";")).alias("__s")).select(
-        "id", "ags", "x", "y", S.street_name("__s").alias("__street")).distinct().withColumns(
-        {"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")})
-    names = spatial.with_line_box(named.select(
-        "way_id", F.col("ags").alias("__ags"), "geom",
-        F.explode(F.array_distinct(F.array_compact(F.array("name", "name_kurz")))).alias("__name")), "geom")
-    pairs = spatial.spatial_join(
-        streets, names, None, radius, [spatial.point_level(radius)], None,
-        on=[("ags", "__ags"), ("__street", "__name")]).withColumn(
-        "dist", G.distance_point_line(G.make_point("x", "y"), "geom")).filter(F.col("dist") <= radius)
-    best = pairs.groupBy("id").agg(F.min_by("way_id", F.struct("dist", "way_id")).alias("address_street_id"))
+        "id", "ags", "x", "y", S.street_name("__s").alias("__street")).distinct()
+    names = named.select("way_id", "ags", "geom", F.explode(F.array_distinct(F.array_compact(F.array("name", "name_kurz")))).alias("__street"))
+    # read by every ring; both sides may be results of joins
+    best = spatial.nearest_within(cut_lineage(streets), cut_lineage(names), "id", "way_id", "geom", radius, rings=NAME_RINGS, on=["ags", "__street"]).select(
+        "id", F.col("way_id").alias("address_street_id"))
     return b.join(best, "id", "left")
 
 

@@ -303,3 +303,21 @@ def test_child_changes_touch_their_parents(spark):
     prop = spark.createDataFrame([(1, 2, 1)], "feature_id long, val_feature_id long, val_relation_type int")
     assert FE.feature_change_log(old, new, classes).count() == 0
     assert [(r.id, r.transaction_type) for r in FE.feature_change_log(old, new, classes, prop).collect()] == [(1, "UPDATE")]
+
+
+def test_address_street_looks_close_by_first(spark, monkeypatch):
+    """Streets of the name in every direction; most are settled within the first ring, one at the very end, one is too far."""
+    reach, join = [], R.spatial.spatial_join
+
+    def watched(left, right, predicate=None, eps=0.0, *rest, **more):
+        reach.append(eps)
+        return join(left, right, predicate, eps, *rest, **more)
+    monkeypatch.setattr(R.spatial, "spatial_join", watched)
+    rows = [(1, 1, 0.0, 0.0, "Hof 1;Weg 2"), (2, 1, 5000.0, 0.0, "Hof 3"), (3, 1, 9000.0, 0.0, "Hof 3"), (4, 2, 0.0, 0.0, "Hof 1"), (5, 1, 0.0, 0.0, None)]
+    b = spark.createDataFrame(rows, "id long, ags long, x double, y double, street string")
+    named = spark.createDataFrame([("a", 1, 100.0, "Hof", None), ("b", 1, 90.0, "Gasse", "Weg"), ("c", 1, 5900.0, "Hof", "Hof"), ("d", 1, 7900.0, "Hof", None), ("e", 1, 90.0, None, "Weg")],
+                                  "way_id string, ags long, at double, name string, name_kurz string").withColumn(
+        "geom", G.make_line(G.make_point("at", F.lit(-1)), G.make_point("at", F.lit(1)))).drop("at")
+    got = {r["id"]: r["address_street_id"] for r in R.match_address_street(b, named).collect()}
+    assert got == {1: "b", 2: "c", 3: None, 4: None, 5: None}
+    assert len(reach) == 3 and reach == sorted(reach) and reach[0] <= 125 and reach[-1] == 1000
