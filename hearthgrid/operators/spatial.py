@@ -71,12 +71,22 @@ def _levels_and_span(df: DataFrame, eps: float) -> tuple[list[int], list[float]]
     return sorted(row["ls"]), list(row)[1:]
 
 
-def _inside_span(df: DataFrame, span: list[float], eps: float) -> DataFrame:
-    """Rows that can come within ``eps`` of a box of a table that ends at ``span``."""
+def _inside_span(span: list[float], eps: float) -> str:
+    """Condition of rows that can come within ``eps`` of a box of a table that ends at ``span``, as SQL."""
     if None in span:
-        return df
-    x0, y0, x1, y1 = (F.lit(float(v)) for v in span)
-    return df.filter((F.col("xmin") - eps <= x1) & (F.col("xmax") + eps >= x0) & (F.col("ymin") - eps <= y1) & (F.col("ymax") + eps >= y0))
+        return "true"
+    x0, y0, x1, y1 = map(_num, span)
+    e = _num(eps)
+    return f"xmin - {e} <= {x1} AND xmax + {e} >= {x0} AND ymin - {e} <= {y1} AND ymax + {e} >= {y0}"
+
+
+def _boxes_once(df: DataFrame, inside: str) -> DataFrame:
+    """Rows ``inside``, their boxes out of a generator.
+
+    Filters on a box (the join infers some, too) would be pushed below it and work out the shapes again for each bound.
+    """
+    kept = [f"__at.{c} AS {c}" if c in BOX else f"`{c}`" for c in df.columns]
+    return df.selectExpr("*", f"explode(CASE WHEN {inside} THEN array(struct({', '.join(BOX)})) END) AS __at").selectExpr(*kept)
 
 
 def _entries(df: DataFrame, eps: float, others: list[int], prefix: str) -> DataFrame:
@@ -115,19 +125,19 @@ def spatial_join(
     if how not in ("inner", "left_semi"):
         raise ValueError("how must be inner or left_semi")
     # a table that reaches further than the other is not filed where the other has nothing; the span comes with the levels
-    lefts, rights = left, right
+    lefts = rights = "true"
     if not left_levels:
         left_levels, span = _levels_and_span(left, eps)
-        rights = _inside_span(right, span, eps)
+        rights = _inside_span(span, eps)
     if not right_levels:
         right_levels, span = _levels_and_span(right, 0.0)
-        lefts = _inside_span(left, span, eps)
+        lefts = _inside_span(span, eps)
     # an empty side has no level; any one serves
     if not left_levels or not right_levels:
         left_levels = right_levels = [MIN_LEVEL]
     key = ["__lv", "__cx", "__cy"]
-    l = _entries(lefts, eps, right_levels, "__l_")
-    r = _entries(rights, 0.0, left_levels, "__r_").withColumnsRenamed({c: f"__r_{c}" for c in (*BOX, *key)})
+    l = _entries(_boxes_once(left, lefts), eps, right_levels, "__l_")
+    r = _entries(_boxes_once(right, rights), 0.0, left_levels, "__r_").withColumnsRenamed({c: f"__r_{c}" for c in (*BOX, *key)})
     e = _num(eps)
     cond = " AND ".join([
         "__lv = __r___lv", "__cx = __r___cx", "__cy = __r___cy", *[f"`{a}` = `{b}`" for a, b in on or []],
@@ -137,12 +147,12 @@ def spatial_join(
         # and to the one cell that holds the lower left corner of the common box
         f"__cx = floor(greatest(xmin - {e}, __r_xmin) / pow(2D, __lv))",
         f"__cy = floor(greatest(ymin - {e}, __r_ymin) / pow(2D, __lv))"])
-    pairs = l.join(r, F.expr(cond), "inner")
+    met = F.expr(cond)
     if predicate is not None:
+        # behind the comparisons of boxes: as a filter Spark would put it before them
         right_box = set(BOX)
-        pairs = pairs.filter(predicate(
-            lambda c: F.col(c), lambda c: F.col(f"__r_{c}") if c in right_box else F.col(c)))
-    out = pairs.drop(*key, "__l_own", "__r_own", *[f"__r_{c}" for c in (*BOX, *key)])
+        met = met & predicate(lambda c: F.col(c), lambda c: F.col(f"__r_{c}") if c in right_box else F.col(c))
+    out = l.join(r, met, "inner").drop(*key, "__l_own", "__r_own", *[f"__r_{c}" for c in (*BOX, *key)])
     if how == "left_semi":
         out = out.select(*left.columns).distinct()
     return out
@@ -407,11 +417,11 @@ def nearest_within(points: DataFrame, lines: DataFrame, key: str, line_key: str,
     carried = list(dict.fromkeys([key, "x", "y", *on, *([exclude[0]] if exclude else [])]))
     todo = points.select(*carried).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     ends = todo.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    right = _inside_span(right, list(ends), radius)
+    right = right.filter(_inside_span(list(ends), radius))
     done = None
     for part in rings:
         r = radius * part
-        left = _inside_span(todo.withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")}), span, r)
+        left = todo.withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")}).filter(_inside_span(span, r))
         found = spatial_join(left, right, None, r, [point_level(r)], levels, on=[(c, f"__on_{c}") for c in on]).withColumn(
             "dist", G.distance_point_line(G.make_point("x", "y"), line)).filter(F.col("dist") <= r)
         if beyond is not None:

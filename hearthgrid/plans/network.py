@@ -353,8 +353,9 @@ def _pieces(ways: DataFrame, cuts: DataFrame, klasse: Column) -> DataFrame:
     ranked = cut_lineage(tables.rank_within(bounds, ["way_id"], [F.col("f")]))
     spans = ranked.join(
         ranked.select("way_id", F.col("f").alias("f2"), (F.col("rank") - 1).alias("rank")), ["way_id", "rank"])
+    # out of a generator: the filter on the length would be pushed below the cut and cut every piece several times
     out = spans.join(ways.withColumnRenamed("id", "way_id"), "way_id").withColumn(
-        "geom", G.line_substring("geom", "f", "f2")).withColumn("length_geo", G.length("geom")).filter("length_geo > 0")
+        "geom", F.explode(F.array(G.line_substring("geom", "f", "f2")))).withColumn("length_geo", G.length("geom")).filter("length_geo > 0")
     return out.withColumns({
         "id": F.md5(F.concat_ws(":", "way_id", F.col("rank").cast("string"))),
         "klasse": klasse, "objektart": F.lit(None).cast("string")}).drop("rank", "f", "f2")
@@ -362,14 +363,22 @@ def _pieces(ways: DataFrame, cuts: DataFrame, klasse: Column) -> DataFrame:
 
 def split_at_crossings(ways: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut both ways wherever one meets the inner 1-99 % of another; and the map old -> new."""
-    inner = spatial.with_line_box(ways.filter(G.usable_line("geom")).select(
-        F.col("id").alias("a_id"), F.col("ags").alias("a_ags"), F.col("geom").alias("a_geom"),
-        G.line_substring("geom", 0.01, 0.99).alias("a_inner")), "a_inner")
-    other = spatial.with_line_box(ways.filter(G.usable_line("geom")).select(
-        F.col("id").alias("b_id"), F.col("ags").alias("b_ags"), F.col("geom").alias("b_geom")), "b_geom")
-    meets = spatial.spatial_join(
-        inner, other, lambda l, r: (l("a_id") != r("b_id")) & G.intersects_lines(l("a_inner"), r("b_geom")),
-        on=[("a_ags", "b_ags")]).withColumn("p", F.explode(G.crossing_points("a_inner", "b_geom")))
+    lines = cut_lineage(ways.filter(G.usable_line("geom")).select(
+        "id", "ags", "geom", G.line_substring("geom", 0.01, 0.99).alias("inner")).withColumn("no", F.monotonically_increasing_id()))
+
+    def edges(line: str, side: str) -> DataFrame:
+        one = lines.select(*[F.col(c).alias(f"{side}_{c}") for c in ("no", "id", "ags")], F.explode(G.segments(line)).alias(f"{side}_s"))
+        s = F.col(f"{side}_s")
+        return one.withColumns({"xmin": F.least(s["ax"], s["bx"]), "ymin": F.least(s["ay"], s["by"]),
+                                "xmax": F.greatest(s["ax"], s["bx"]), "ymax": F.greatest(s["ay"], s["by"])})
+
+    # lines meet where two of their edges do: compared edge by edge, the lines themselves come to the pairs that meet
+    pairs = spatial.spatial_join(
+        edges("inner", "a"), edges("geom", "b"), lambda l, r: (l("a_id") != r("b_id")) & G.segments_meet(l("a_s"), r("b_s")),
+        on=[("a_ags", "b_ags")]).select("a_no", "b_no").distinct()
+    first, second = ([F.col(c).alias(f"{side}_{c}") for c in ("no", "id", "geom", "inner")] for side in "ab")
+    meets = pairs.join(never_sent(lines.select(*first)), "a_no").join(never_sent(lines.select(*second).drop("b_inner")), "b_no").withColumn(
+        "p", F.explode(G.crossing_points("a_inner", "b_geom")))
     edge = 1e-6
     cuts = meets.select(F.explode(F.array(
         F.struct(F.col("a_id").alias("way_id"), G.line_locate("a_geom", "p").alias("f"), G.length("a_geom").alias("len")),

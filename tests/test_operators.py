@@ -277,3 +277,18 @@ def test_spatial_join_files_nothing_beyond_the_other_table(spark, monkeypatch):
         got = spatial.spatial_join(boxes, lines, lambda l, r: G.intersects_line_polygon(r("geom"), l("g")) if not eps else F.lit(True), eps)
         assert {(r["id"], r["way"]) for r in got.collect()} == want
         assert filed["__l_"] <= 10 and filed["__r_"] <= most
+
+
+def test_filters_on_boxes_do_not_work_out_the_shapes_again(spark):
+    # the span of the other table and the bounds that the join infers were pushed below the box: each bound cut the line anew
+    w = spark.createDataFrame([(i, float(i)) for i in range(20)], "id int, x double").withColumn(
+        "geom", G.make_line(G.make_point("x", F.lit(0.0)), G.make_point(F.col("x") + 1, F.lit(1.0))))
+    a = spatial.with_line_box(w.select(F.col("id").alias("a"), G.line_substring("geom", 0.25, 0.75).alias("g")), "g")
+    b = spatial.with_line_box(w.select(F.col("id").alias("b"), F.col("geom").alias("h")), "h")
+    pairs = spatial.spatial_join(a, b, lambda l, r: G.intersects_lines(l("g"), r("h")))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [line for line in plan if "Filter " in line.split("(")[0] and "array_min" in line]
+    # the shapes are compared behind the boxes
+    join = next(line for line in plan if "Join Inner" in line)
+    assert join.index("<= __r_xmax") < join.index("exists(")
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(i, i) for i in range(20)]
