@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G
@@ -24,6 +24,9 @@ from . import cover, spatial
 
 TOLERANCE = 1e-7
 _ENDS = ["ax", "ay", "bx", "by"]
+# results that a Python task holds at once
+_STITCHED = 500
+_MULTI = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
 
 def directed_edges(df: DataFrame, rings: str, *keys: str) -> DataFrame:
@@ -224,16 +227,29 @@ def polygons_of(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
 
 
 def stitch(arcs: DataFrame, key: str, geom: str) -> DataFrame:
-    """key, ``geom`` (multi polygon) of the directed edges of each key; an empty result drops out."""
+    """key, ``geom`` (multi polygon) of the directed edges of each key; an empty result drops out.
+
+    The edges of a key become one row, as its result is; Python takes batches of rows, no group of its own per key.
+    """
     ship_package(arcs.sparkSession)
     kind = arcs.schema[key].dataType.simpleString()
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = polygons_of(rings_of(pdf[_ENDS].to_numpy(float), pdf["own_start"].to_numpy(bool)))
-        multi = [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in poly] for poly in found]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], geom: [multi]}) if multi else pd.DataFrame({key: pd.Series(dtype=pdf[key].dtype), geom: []})
-
-    return arcs.groupBy(key).applyInPandas(join, f"{key} {kind}, {geom} {G.MULTI}")
+    def join(batches):
+        for part in (batch.slice(k, _STITCHED) for batch in batches for k in range(0, batch.num_rows, _STITCHED)):
+            lists = part.column(1)
+            # the values may be part of a longer array
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            edges = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in _ENDS]).astype(float)
+            own = flat.field("own_start").to_numpy(zero_copy_only=False).astype(bool)
+            multis = [[[[{"x": x, "y": y} for x, y in ring.tolist()] for ring in poly] for poly in polygons_of(rings_of(edges[i:j], own[i:j]))]
+                      for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            kept = [k for k, multi in enumerate(multis) if multi]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(kept, pa.int64())), pa.array([multis[k] for k in kept], _MULTI)], names=[key, geom])
+
+    rows = arcs.groupBy(key).agg(F.collect_list(F.struct(*_ENDS, "own_start")).alias("__arcs"))
+    return rows.mapInArrow(join, f"{key} {kind}, {geom} {G.MULTI}")
 
 
 def dissolve(areas: DataFrame, poly: str) -> DataFrame:

@@ -122,3 +122,22 @@ def test_rings_that_touch():
     assert sorted(len(p) for p in polygons_of(rings_of(two, np.ones(len(two), dtype=bool)))) == [1, 1]
     cut = np.array(edges((0, 0), (2, 0), (4, 0), (4, 4), (0, 4)), dtype=float)
     assert len(rings_of(cut, np.array([True, False, True, True, True]))[0]) == 5
+
+
+def test_rings_are_joined_in_batches_of_features(spark, monkeypatch):
+    # a pandas group per feature was most of the time of a clip
+    from hearthgrid.operators import overlay
+
+    monkeypatch.setattr(overlay, "_STITCHED", 3)
+    at = F.col("id") * 10.0
+    corners = [F.struct((at + x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0))]
+    ring = F.array(*[F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")) for a, b in zip(corners, corners[1:] + corners[:1])])
+    # key 4 has an open path only
+    arcs = spark.range(8).select("id", F.posexplode(ring).alias("k", "s")).filter("id <> 4 OR k > 0").select("id", "s.*", F.lit(True).alias("own_start"))
+    out = overlay.stitch(arcs, "id", "g")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["g"] for r in out.collect()}
+    assert set(got) == set(range(8)) - {4}
+    for k, multi in got.items():
+        (shell,), = multi
+        assert {(p["x"], p["y"]) for p in shell} == {(10.0 * k + x, y) for x in (0.0, 2.0) for y in (0.0, 1.0)} and len(shell) == 5
