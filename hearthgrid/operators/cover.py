@@ -41,8 +41,10 @@ def cover_edges(edges: DataFrame, key: str, least_splits: int = LEAST_SPLITS, me
     """
     span = edges.groupBy(key).agg(
         F.count("*").alias("n"), *[F.min(F.least(f"a{c}", f"b{c}")).alias(f"{c}min") for c in "xy"], *[F.max(F.greatest(f"a{c}", f"b{c}")).alias(f"{c}max") for c in "xy"])
-    level = span.selectExpr(key, f"""2 * cast(floor((ceil(log2(greatest(xmax - xmin, ymax - ymin, 1e-3)))
-        - least({MOST_SPLITS}, greatest({least_splits}, ceil(log2(4D * n) / 2)))) / 2) as int) AS lv""")
+    # about four cells an edge in the box: a long narrow box takes more along its longer side
+    longer, shorter = "greatest(xmax - xmin, ymax - ymin, 1e-3)", "greatest(least(xmax - xmin, ymax - ymin), 1e-3)"
+    level = span.selectExpr(key, f"""2 * cast(floor((ceil(log2({longer}))
+        - least({MOST_SPLITS}, greatest({least_splits}, ceil(log2(4D * n * {longer} / {shorter}) / 2)))) / 2) as int) AS lv""")
     u = {c: f"(({c} - {SHIFT}) / {_size()})" for c in _EDGE}
     rows = edges.join(level, key).selectExpr("*", *[f"{v} AS u_{c}" for c, v in u.items()]).selectExpr(
         "*", f"explode(sequence(floor(least(u_ay, u_by) - {_SLACK}), floor(greatest(u_ay, u_by) + {_SLACK}))) AS cy").repartition(key, "lv", "cy")

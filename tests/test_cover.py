@@ -80,3 +80,17 @@ def test_kept_columns_and_semi_join(spark):
     assert got.columns == ["id", "x", "y", "p", "name"] and sorted(r.name for r in got.collect()) == ["a", "b"]
     assert [r.id for r in spatial.points_in_polygons(points, polygons, "p", "g", "left_semi").collect()] == [1]
     assert spatial.points_in_polygons(points, polygons.limit(0), "p", "g").count() == 0
+
+
+def test_cells_of_a_long_narrow_strip_hold_few_edges(spark):
+    # the cells followed the longer side and the number of edges, so on a strip each held more of them the longer it was
+    at = F.col("id") * 10.0
+    corners = [(at + x, F.lit(y)) for x, y in ((0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0))]
+    sides = F.array(*[F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")) for a, b in zip(corners, corners[1:] + corners[:1])])
+    edges = spark.range(2000).select(F.lit(0).alias("u"), F.explode(sides).alias("s")).select("u", "s.*")
+    cells = cover.cover_edges(edges, "u")
+    assert cells.agg(F.max(F.size("edges"))).first()[0] <= 8
+    points = spark.range(2000).select((F.col("id") * 10.0 + 2.5).alias("x"), F.lit(2.5).alias("y")).unionByName(
+        spark.range(2000).select((F.col("id") * 10.0 + 7.5).alias("x"), F.lit(2.5).alias("y")))
+    inside = cover.points_in_cover(points, cells, F.col("x"), F.col("y"))
+    assert inside.count() == 2000 and inside.agg(F.max(F.expr("x % 10"))).first()[0] == 2.5
