@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, never_sent
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -34,33 +34,64 @@ def _with_minimum(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
     return edges.join(heavy.select("u"), "u", "left_anti").join(light, "u").unionByName(edges.join(heavy, "u"))
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """The edges u -> v (distinct) with done: their component is a star, every other node of it has the one edge to v."""
+    roles = edges.selectExpr("explode(array(struct(u AS n, v AS up, 0 AS down), struct(v AS n, NULL AS up, 1 AS down))) AS r")
+    nodes = roles.groupBy("r.n").agg(F.expr("count(r.up) AS ups"), F.expr("min(r.up) AS up"), F.expr("sum(r.down) AS downs"))
+    # a middle is done when all that point to it are ends
+    middle = nodes.filter("ups = 0 OR (ups = 1 AND downs = 0)").selectExpr("if(ups = 0, n, up) AS v", "if(ups = 0, 0L, 1L) AS e", "if(ups = 0, downs, 0L) AS d").groupBy(
+        "v").agg(F.sum("e").alias("e"), F.sum("d").alias("d")).filter("e = d").select("v")
+    return edges.join(never_sent(middle.withColumn("hit", F.lit(True))), "v", "left").select("u", "v", F.coalesce("hit", F.lit(False)).alias("done"))
+
+
+def _small_components(base: DataFrame, max_rounds: int) -> DataFrame:
+    """node, component of the edges u >= v; components that have become stars leave the rounds."""
+    labels = base.filter("u = v").selectExpr("u AS node", "v AS component")
+    current = base.filter("u <> v")
+    for _ in range(max_rounds):
+        parted = cut_lineage(_stars(current))
+        labels = labels.unionByName(parted.filter("done").selectExpr("explode(array(struct(u AS node, v AS component), struct(v AS node, v AS component))) AS l").select("l.*"))
+        current = parted.filter("NOT done").select("u", "v")
+        size = current.count()
+        if not size:
+            return labels.groupBy("node").agg(F.min("component").alias("component"))
+        current = cut_lineage(_round(current, size))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _round(current: DataFrame, size: int) -> DataFrame:
+    """One large star and one small star of ``size`` edges."""
+    # large star: every larger neighbour of u points to the smallest neighbour of u
+    both = current.selectExpr("explode(array(struct(u, v), struct(v AS u, u AS v))) AS e").select("e.u", "e.v")
+    low = both.groupBy("u").agg(F.expr("least(u, min(v)) AS m"), F.expr("count(*) AS n"))
+    star = _with_minimum(both.filter("v > u"), low, 2 * size).selectExpr("v AS u", "m AS v").distinct()
+    # small star: smaller neighbours of u, and u itself, point to the smallest of them
+    low = star.groupBy("u").agg(F.expr("min(v) AS m"), F.expr("count(*) AS n"))
+    return _with_minimum(star, low, size).selectExpr(
+        "explode(array(struct(v AS u, m AS v), struct(u, m AS v))) AS e").select("e.u", "e.v").filter("u <> v").distinct()
+
+
 def connected_components(edges: DataFrame, source: str = "source", target: str = "target",
-                         max_rounds: int = 100) -> DataFrame:
+                         max_rounds: int = 100, small: bool = False) -> DataFrame:
     """Columns node, component; the label is the smallest node of the component.
 
     Alternating large-star / small-star rounds: O(log n) rounds even on long chains. Minima are
     partial aggregates. Nodes with more than a thousandth of all edges are at most a few thousand; their
-    minima are broadcast, and only the edges of other nodes are shuffled to meet theirs.
+    minima are broadcast, and only the edges of other nodes are shuffled to meet theirs. ``small``: most
+    components have few nodes, so that it pays to part those that are done from the others in every round.
     """
     # computed once: the rounds and the final node list both start from here
     base = cut_lineage(edges.select(F.col(source).alias("u"), F.col(target).alias("v")).filter(
         F.col("u").isNotNull() & F.col("v").isNotNull()).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if small:
+        return _small_components(base, max_rounds)
     nodes = base.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     current = base.filter("u <> v")
     for _ in range(max_rounds):
         if _settled(current):
             break
-        # large star: every larger neighbour of u points to the smallest neighbour of u
-        both = current.selectExpr("explode(array(struct(u, v), struct(v AS u, u AS v))) AS e").select("e.u", "e.v")
-        size = current.count()
-        low = both.groupBy("u").agg(F.expr("least(u, min(v)) AS m"), F.expr("count(*) AS n"))
-        star = _with_minimum(both.filter("v > u"), low, 2 * size).selectExpr("v AS u", "m AS v").distinct()
-        # small star: smaller neighbours of u, and u itself, point to the smallest of them
-        low = star.groupBy("u").agg(F.expr("min(v) AS m"), F.expr("count(*) AS n"))
-        star = _with_minimum(star, low, size).selectExpr(
-            "explode(array(struct(v AS u, m AS v), struct(u, m AS v))) AS e").select("e.u", "e.v").filter("u <> v").distinct()
-        current = cut_lineage(star)
+        current = cut_lineage(_round(current, current.count()))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(current.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(

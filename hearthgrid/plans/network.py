@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import geometry as G, scalar as S
+from ..functions import geometry as G, paths, scalar as S
 from ..operators import graph, spatial, tables
 from ..session import cut_lineage, never_sent
 
@@ -19,6 +19,8 @@ STREET_RADIUS, WAY_RADIUS, MIN_WAY_DISTANCE, NAME_RADIUS = 100.0, 2000.0, 0.1, 1
 WAY_RINGS = (1 / 32, 1 / 8, 1.0)
 NAME_RINGS = (1 / 8, 1 / 4, 1.0)
 CONNECTOR, SEGMENT = "connection_line", "segmented_way"
+# parts of a group that are ordered in the row of the line they join to
+PARTS_IN_ROW = 16
 
 
 def centroid_of_parts(parts) -> Column:
@@ -139,9 +141,30 @@ def half_edges(ways: DataFrame) -> DataFrame:
     return cut_lineage(at.withColumn("place", F.monotonically_increasing_id()))
 
 
+def _company(places: DataFrame, tol: float) -> DataFrame | None:
+    """The places that may have another one of their municipality within ``tol``; None if there are none.
+
+    A place is counted in the wide cells it reaches into by half the tolerance; two that are near share one. Only counts are
+    shuffled, so a crowded cell is nothing special.
+    """
+    cell, half = 2.0 ** spatial.point_level(8 * tol), 0.51 * tol
+
+    def cells(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - half) / cell), F.floor((F.col(c) + half) / cell)))
+
+    filed = places.select("place", "ags", "y", cells("x").alias("cx")).select("place", "ags", "cx", cells("y").alias("cy"))
+    shared = cut_lineage(filed.groupBy("ags", "cx", "cy").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if shared.isEmpty():
+        return None
+    return places.join(never_sent(filed.join(never_sent(shared), ["ags", "cx", "cy"]).select("place").distinct()), "place", "left_semi")
+
+
 def _near_places(places: DataFrame, tol: float) -> DataFrame:
     """(place, other) for different places of one municipality at most ``tol`` apart, in both directions."""
-    spots = spatial.with_point_box(places.select("place", "ags", "x", "y"), G.make_point("x", "y"))
+    met = _company(places.select("place", "ags", "x", "y"), tol)
+    if met is None:
+        return places.select("place", F.col("place").alias("other")).limit(0)
+    spots = spatial.with_point_box(met, G.make_point("x", "y"))
     pairs = spatial.half_pairs(spots, "place", ["ags", "x", "y"], lambda a, b: G.distance_points(
         G.make_point(a("x"), a("y")), G.make_point(b("x"), b("y"))) <= tol, tol, [spatial.point_level(tol)], same=["ags"])
     return cut_lineage(pairs.select(F.explode(F.array(F.struct(F.col("a_place").alias("place"), F.col("b_place").alias("other")),
@@ -188,11 +211,14 @@ def chain_edges(ways: DataFrame, tol: float = MERGE_TOL) -> DataFrame:
     places = cut_lineage(single.groupBy("ags", "x", "y").agg(
         F.count("*").alias("n"), F.min("way_id").alias("w1"), F.max("way_id").alias("w2")).withColumn("place", F.monotonically_increasing_id()))
     near = _near_places(places, tol)
-    alone = places.filter("n = 2").join(near.select("place").distinct(), "place", "left_anti").select(F.col("w1").alias("u"), F.col("w2").alias("v"))
+    two = places.filter("n = 2")
+    if near.isEmpty():
+        return two.select(F.col("w1").alias("u"), F.col("w2").alias("v")).distinct()
+    alone = two.join(never_sent(near.select("place").distinct()), "place", "left_anti").select(F.col("w1").alias("u"), F.col("w2").alias("v"))
     few = near.groupBy("place").agg(F.count("*").alias("k")).filter("k <= 4").select("place")
-    others = near.join(few, "place").join(places.select(F.col("place").alias("other"), F.col("n").alias("m"), F.array("w1", "w2").alias("w")), "other").groupBy("place").agg(
+    others = near.join(never_sent(few), "place").join(never_sent(places.select(F.col("place").alias("other"), F.col("n").alias("m"), F.array("w1", "w2").alias("w"))), "other").groupBy("place").agg(
         F.max("m").alias("m"), F.flatten(F.collect_list("w")).alias("w")).filter("m <= 2").drop("m")
-    met = places.filter("n <= 2").join(others, "place").withColumn("w", F.array_distinct(F.concat("w", F.array("w1", "w2"))))
+    met = places.filter("n <= 2").join(never_sent(others), "place").withColumn("w", F.array_distinct(F.concat("w", F.array("w1", "w2"))))
     own = met.select("w", F.explode(F.array_distinct(F.array("w1", "w2"))).alias("h")).withColumn("w", F.array_remove("w", F.col("h"))).filter(F.size("w") == 1)
     mixed = own.select(F.least("h", F.get("w", 0)).alias("u"), F.greatest("h", F.get("w", 0)).alias("v"))
     return alone.unionByName(mixed).distinct()
@@ -270,21 +296,49 @@ def ordered_parts(parts: DataFrame, group: str, line: str = "geom", tol: float =
                                               F.when(turned, F.col("rank0")).otherwise(F.col("rank1")).alias("pos"))), "pid")
 
 
-def line_merge(df: DataFrame, group: str, line: str = "geom", tol: float = SNAP_TOL) -> DataFrame:
-    """Longest merged line per group (the one with the smallest part, should several be as long).
+def _joined(parts: Column, part, at) -> Column:
+    """Points of the ``parts`` (array) in order, a place where two meet once; ``part`` and ``at`` give the line and the direction of one."""
+    def piece(v: Column, i: Column) -> Column:
+        line = part(v)
+        path = F.when(at(v), F.reverse(line)).otherwise(line)
+        return F.when(i == 0, path).otherwise(F.slice(path, 2, F.greatest(F.size(line) - 1, F.lit(1))))
 
-    Parts are ordered by joins; only the points of the result come together, in the one row they are.
-    """
+    return F.flatten(F.transform(parts, piece))
+
+
+def _merged_at_once(rest: DataFrame, group: str, line: str, tol: float) -> DataFrame:
+    """group, v: points of the longest line of groups of few parts, which are ordered in the row of the result."""
+    rows = rest.groupBy(group).agg(F.sort_array(F.collect_list(line)).alias("l"))
+    steps = rows.withColumn("s", paths.longest_path("l", tol))
+    return steps.select(group, _joined(F.col("s"), lambda s: F.get("l", F.shiftright(s, 1)), lambda s: s % 2 == 1).alias("v"))
+
+
+def _merged_by_joins(rest: DataFrame, group: str, line: str, tol: float) -> DataFrame:
+    """The same for any number of parts: they are ordered by joins, only the points of the result come together."""
     # numbers in the order of the parts themselves, however the rows are spread
-    rest = df.filter(F.size(line) > 1).select(group, line).orderBy(group, line)
-    parts = cut_lineage(rest.withColumn("pid", F.monotonically_increasing_id()))
+    parts = cut_lineage(rest.orderBy(group, line).withColumn("pid", F.monotonically_increasing_id()))
     placed = cut_lineage(ordered_parts(parts, group, line, tol))
     sizes = placed.groupBy(group, "chain").agg(F.sum(G.length(line)).alias("len"))
     longest = sizes.groupBy(group).agg(F.min_by("chain", F.struct((-F.col("len")).alias("l"), F.col("chain"))).alias("chain"))
-    path = F.when(F.col("reverse"), F.reverse(line)).otherwise(F.col(line))
-    piece = F.when(F.col("pos") == 0, path).otherwise(F.slice(path, 2, F.greatest(F.size(line) - 1, F.lit(1))))
-    joined = placed.join(never_sent(longest), [group, "chain"]).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("v")))).alias("p"))
-    points = joined.select(group, F.flatten(F.transform("p", lambda v: v["v"])).alias("v"))
+    rows = placed.join(never_sent(longest), [group, "chain"]).groupBy(group).agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.col(line).alias("l"), "reverse"))).alias("p"))
+    return rows.select(group, _joined(F.col("p"), lambda p: p["l"], lambda p: p["reverse"]).alias("v"))
+
+
+def line_merge(df: DataFrame, group: str, line: str = "geom", tol: float = SNAP_TOL) -> DataFrame:
+    """Longest merged line per group (the one with the smallest part, should several be as long).
+
+    Groups of up to ``PARTS_IN_ROW`` parts are ordered in one row each; others, and those with a length that
+    is no number, by joins.
+    """
+    rest = cut_lineage(df.filter((F.size(line) > 1) & F.col(group).isNotNull()).select(group, line))
+    odd = ~F.coalesce(G.length(line) < float("inf"), F.lit(False))
+    large = cut_lineage(rest.groupBy(group).agg(F.count("*").alias("n"), F.max(odd).alias("odd")).filter((F.col("n") > PARTS_IN_ROW) | F.col("odd")).select(group))
+    if large.isEmpty():
+        points = _merged_at_once(rest, group, line, tol)
+    else:
+        points = _merged_at_once(rest.join(never_sent(large), group, "left_anti"), group, line, tol).unionByName(
+            _merged_by_joins(rest.join(never_sent(large), group, "left_semi"), group, line, tol))
     kept = points.select(group, F.filter("v", lambda p, i: (i == 0) | (F.get("v", i - 1) != p)).alias(line))
     # a line without length keeps two points
     return kept.withColumn(line, F.when(F.size(line) == 1, F.concat(line, line)).otherwise(F.col(line)))
@@ -292,16 +346,18 @@ def line_merge(df: DataFrame, group: str, line: str = "geom", tol: float = SNAP_
 
 def merge_chains(ways: DataFrame, tol: float = MERGE_TOL) -> tuple[DataFrame, DataFrame]:
     """Merged network and map old -> new way id. The first member lends its attributes."""
-    members = cut_lineage(graph.connected_components(chain_edges(ways, tol), "u", "v")).select(
+    members = cut_lineage(graph.connected_components(chain_edges(ways, tol), "u", "v", small=True)).select(
         F.col("node").alias("id"), "component")
-    in_chain = ways.join(members, "id")
+    # every way once, for the rest, the lines and the attributes
+    named = cut_lineage(ways.join(never_sent(members), "id", "left").select(*ways.columns, "component"))
+    in_chain = named.filter("component IS NOT NULL")
     attrs = [c for c in ways.columns if c not in ("id", "geom", "length_geo")]
     head = tables.first_by(in_chain.select("component", "id", *attrs), ["component"], [F.col("id")])
     lines = line_merge(in_chain, "component")
     new_id = F.md5(F.concat(F.lit("chain:"), F.col("component")))
-    merged = head.drop("id").join(lines, "component").withColumn("id", new_id).withColumn(
+    merged = head.drop("id").join(never_sent(lines), "component").withColumn("id", new_id).withColumn(
         "length_geo", G.length("geom")).drop("component")
-    rest = ways.join(members.select("id"), "id", "left_anti")
+    rest = named.filter("component IS NULL").drop("component")
     mapping = members.select(F.col("id").alias("old_way_id"), new_id.alias("new_way_id"))
     return rest.unionByName(merged.select(*rest.columns)), mapping
 
