@@ -112,7 +112,9 @@ def points_in_cover(points: DataFrame, cover: DataFrame, x: Column, y: Column, b
     levels = sorted(r["lv"] for r in cover.select("lv").distinct().collect())  # at most one per even power of two
     names = {c: f"__{c}" for c in ("lv", "cx", "cy", "odd", "edges")}
     right = cover.withColumnsRenamed(names)
-    left = points.withColumns({"__px": x, "__py": y}).filter("__px IS NOT NULL AND __py IS NOT NULL").withColumn(
+    # places out of a generator: conditions on them would be pushed below and work out the places again, each for itself
+    at = points.select("*", F.explode(F.array(F.struct(x.alias("x"), y.alias("y")))).alias("__at"))
+    left = at.select(*points.columns, F.col("__at.x").alias("__px"), F.col("__at.y").alias("__py")).filter("__px IS NOT NULL AND __py IS NOT NULL").withColumn(
         "__plv", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
     cell = {f"__p{c}": F.floor((F.col(f"__p{v}") - SHIFT) / F.pow(F.lit(2.0), F.col("__plv"))) for c, v in (("cx", "x"), ("cy", "y"))}
     met = left.withColumns(cell).join(right, F.expr(" AND ".join(

@@ -417,13 +417,14 @@ def nearest_within(points: DataFrame, lines: DataFrame, key: str, line_key: str,
     carried = list(dict.fromkeys([key, "x", "y", *on, *([exclude[0]] if exclude else [])]))
     todo = points.select(*carried).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     ends = todo.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    right = right.filter(_inside_span(list(ends), radius))
+    right = _boxes_once(right, _inside_span(list(ends), radius))
     done = None
     for part in rings:
         r = radius * part
         left = todo.withColumns({"xmin": F.col("x"), "ymin": F.col("y"), "xmax": F.col("x"), "ymax": F.col("y")}).filter(_inside_span(span, r))
+        # out of a generator: each condition on the distance would work it out again
         found = spatial_join(left, right, None, r, [point_level(r)], levels, on=[(c, f"__on_{c}") for c in on]).withColumn(
-            "dist", G.distance_point_line(G.make_point("x", "y"), line)).filter(F.col("dist") <= r)
+            "dist", F.explode(F.array(G.distance_point_line(G.make_point("x", "y"), line)))).filter(F.col("dist") <= r)
         if beyond is not None:
             found = found.filter(F.col("dist") > beyond)
         if exclude is not None:
